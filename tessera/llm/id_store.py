@@ -329,7 +329,6 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
             lists = batch.column(3)
             first = lists.offsets.to_numpy()
             flat = lists.values
-            first = first - first[0] if len(flat) == first[-1] - first[0] else first
             crc, n = flat.field("crc").to_numpy(), flat.field("n_ids").to_numpy().astype(np.int64)
             sizes = np.diff(first)
             total, tokens = np.zeros(len(batch), np.uint32), np.zeros(len(batch), np.int64)
