@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, id_store, language_id, ngram_join, toxicity
+from tessera.llm import bpe, id_store, language_id, ngram_join, substring_dedup, toxicity
 from tessera.plans.scratch import shared_root
 
 
@@ -24,6 +24,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_read(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(_read(spark, sf_dir, "documents"), digest=True)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -45,6 +49,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_join": op2_ngram_join,
     "op3_language_id": op3_language_id,
+    "op5_substring_dedup": op5_substring_dedup,
     "op7_toxicity": op7_toxicity,
     "op9_id_store": op9_id_store,
     "op10_byte_bpe": op10_byte_bpe,
@@ -70,4 +75,15 @@ SELECT w.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.y)::BI
 FROM w LEFT JOIN n USING (doc_id) JOIN r ON r.x = w.doc_id GROUP BY w.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_ngram_join": _OP2}
+_OP5 = f"""
+WITH w AS (SELECT doc_id, coalesce({_WORDS.format("text")}, []) AS ws FROM documents),
+p AS (SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w)),
+m AS (SELECT g, min(doc_id) AS low FROM p GROUP BY g),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM p JOIN m USING (g) WHERE low < doc_id),
+x AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS k FROM w),
+t AS (SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS kept, count(*) AS n FROM x ANTI JOIN c USING (doc_id, k) GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN t USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_ngram_join": _OP2, "op5_substring_dedup": _OP5}
