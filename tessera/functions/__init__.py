@@ -1 +1 @@
-"""functions."""
+"""Column builders: vector algebra, special functions, tokens, reproducible draws."""

@@ -1 +1 @@
-"""operators."""
+"""Operators over DataFrames."""
