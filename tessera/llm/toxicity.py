@@ -2,8 +2,8 @@
 
 One weight per word is shared by all thresholds: ``P(grade > k) = sigmoid(x . w - cut_k)`` with ascending
 cuts. ``x`` marks which words a text holds (presence, so a long text is not worse than a short one for
-its length alone). Weights come from proximal gradient steps with an L1 penalty, so few words carry
-weight. The score is the expected severity, ``sum_k P(grade > k)``.
+its length alone). Words are chosen by proximal gradient steps with an L1 penalty, and the few that are chosen are fitted again
+without it. The score is the expected severity, ``sum_k P(grade > k)``.
 
 The model is fitted on a bounded sample of labelled rows; every text is scored whole.
 
@@ -14,6 +14,7 @@ are scored each.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,13 +24,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._text import Texts, signed, slices, spans, word_hashes
+from tessera.plans.scratch import Scratch
 
 #: Labelled rows used for fitting, at most this many of toxic and of other ones.
-SAMPLE_TOXIC, SAMPLE_CLEAN = 4_000, 8_000
+SAMPLE_TOXIC, SAMPLE_CLEAN = 3_000, 6_000
 #: Words kept by screening, and the rows that must hold a word.
-FEATURES, LEAST_ROWS = 4_096, 3
-#: Penalty on the sum of absolute weights, and gradient steps.
-L1, STEPS = 2e-4, 400
+FEATURES, LEAST_ROWS = 2_048, 3
+#: Penalties on the sum of absolute weights that are tried, the ridge of the final fit, and gradient steps.
+PENALTIES, RIDGE, STEPS = (0.03, 0.01, 0.003, 0.001), 5e-5, 150
+#: Least distance of two cuts.
+GAP = 0.05
 #: Highest derived grade.
 TOP_GRADE = 3
 
@@ -47,11 +51,12 @@ def _words(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class OrdinalModel:
-    """Sorted word hashes with their shared weights, and ascending cuts between grades."""
+    """Sorted word hashes with their shared weights, ascending cuts between grades, and the P(grade > 0) from which a text counts as toxic."""
 
     words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     cuts: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    decide: float = 0.5
 
     def linear(self, texts: Texts) -> np.ndarray:
         """``x . w`` of each text."""
@@ -84,82 +89,140 @@ def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["grade", "words"])
 
 
-def screen(rows: list[np.ndarray], positive: np.ndarray, *, features: int = FEATURES, least_rows: int = LEAST_ROWS) -> np.ndarray:
-    """The words whose presence differs most between positive and other rows (absolute z of the two shares)."""
-    flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    owner = np.repeat(positive, [len(r) for r in rows]) if rows else np.zeros(0, bool)
-    words, inverse = np.unique(flat, return_inverse=True)
-    n1, n0 = max(1, int(positive.sum())), max(1, int((~positive).sum()))
-    a = np.bincount(inverse, owner, len(words))
-    total = np.bincount(inverse, minlength=len(words))
-    pooled = (total + 1) / (n1 + n0 + 2)
-    z = np.abs(a / n1 - (total - a) / n0) / np.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0) + 1e-12)
-    z[total < least_rows] = -1
-    best = np.argsort(-z, kind="stable")[:features]
-    return np.sort(words[best[z[best] > 0]])
+def screen(sample: DataFrame, n1: int, n0: int, *, features: int = FEATURES, least_rows: int = LEAST_ROWS) -> DataFrame:
+    """The words of ``sample(grade, words)`` whose presence differs most between positive and other rows.
 
+    ``word, a, total``: rows that hold it, positive and all; the greatest absolute z of the two shares come first.
+    """
+    counts = sample.select((F.col("grade") > 0).cast("long").alias("y"), F.explode("words").alias("word")).groupBy("word").agg(F.sum("y").alias("a"), F.count(F.lit(1)).alias("total"))
+    pooled = (F.col("total") + 1) / (n1 + n0 + 2)
+    z = F.abs(F.col("a") / max(1, n1) - (F.col("total") - F.col("a")) / max(1, n0)) / F.sqrt(pooled * (1 - pooled))
+    return counts.where(F.col("total") >= least_rows).orderBy(z.desc(), "word").limit(features)
 
-def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, *, l1: float = L1, steps: int = STEPS) -> OrdinalModel:
-    """Fit shared weights and ordered cuts to word sets and grades 0, 1, ... by accelerated proximal gradient."""
-    top = int(grades.max()) if len(grades) else 0
-    if top < 1:
-        return OrdinalModel()
-    words = screen(rows, grades > 0)
-    flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    at = np.searchsorted(words, flat)
-    at[at == len(words)] = 0
-    keep = words[at] == flat if len(words) else np.zeros(len(flat), bool)
-    at, owner = at[keep], owner[keep]
-    n, m = len(rows), len(words)
+
+@dataclass
+class _Sets:
+    """Rows as word indexes, flat, with the row of each."""
+
+    at: np.ndarray
+    owner: np.ndarray
+    rows: int
+
+    @classmethod
+    def of(cls, rows: list[np.ndarray]) -> _Sets:
+        return cls(np.concatenate([np.zeros(0, np.int64), *rows]), np.repeat(np.arange(len(rows)), [len(r) for r in rows]), len(rows))
+
+    def only(self, words: np.ndarray) -> _Sets:
+        keep = words[self.at]
+        return _Sets(self.at[keep], self.owner[keep], self.rows)
+
+    def times(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.owner, weights[self.at], self.rows)
+
+
+def _ascending(cuts: np.ndarray) -> np.ndarray:
+    """Cuts at least ``GAP`` apart, so that every grade keeps some probability."""
+    at = np.arange(len(cuts)) * GAP
+    return np.maximum.accumulate(cuts - at) + at
+
+
+def _steepness(x: _Sets, m: int) -> float:
+    """Greatest eigenvalue of X'X / n, by power iteration."""
+    v = np.ones(m) / max(1.0, m**0.5)
+    value = 0.0
+    for _ in range(20):
+        w = np.bincount(x.at, x.times(v)[x.owner], m) / max(1, x.rows)
+        value = float(np.linalg.norm(w))
+        if not value:
+            break
+        v = w / value
+    return value
+
+
+def _solve(x: _Sets, grades: np.ndarray, m: int, top: int, l1: float, l2: float, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and ascending cuts by accelerated proximal gradient (with restarts) on the cumulative-link likelihood."""
+    n = x.rows
     weights, cuts = np.zeros(m), np.zeros(top)
     for k in range(top):
         p = np.clip((grades > k).mean(), 1e-3, 1 - 1e-3)
         cuts[k] = np.log((1 - p) / p)
-    step = 4.0 / max(1.0, np.bincount(owner, minlength=n).mean())
-    momentum_w, momentum_c, t = weights.copy(), cuts.copy(), 1.0
+    cuts = _ascending(cuts)
+    step = 1 / (0.3 * (_steepness(x, m) + 2) + l2)
+    ahead_w, ahead_c, t = weights, cuts, 1.0
+    low, high = grades > 0, grades < top
     for _ in range(steps):
-        eta = np.bincount(owner, momentum_w[at], n) if m else np.zeros(n)
-        # edges of the grade's interval: P = sigmoid(upper - eta) - sigmoid(lower - eta)
-        upper = np.where(grades < top, momentum_c[np.minimum(grades, top - 1)] - eta, np.inf)
-        lower = np.where(grades > 0, momentum_c[np.maximum(grades - 1, 0)] - eta, -np.inf)
-        su, sl = _sigmoid(upper), _sigmoid(lower)
-        p = np.maximum(su - sl, 1e-12)
-        du, dl = su * (1 - su) / p, sl * (1 - sl) / p
-        g_eta = (du - dl) / n
+        eta = x.times(ahead_w)
+        # P(grade) = sigmoid(upper - eta) - sigmoid(lower - eta)
+        upper = np.clip(ahead_c[np.minimum(grades, top - 1)] - eta, -30, 30)
+        lower = np.clip(ahead_c[np.maximum(grades - 1, 0)] - eta, -30, 30)
+        su, sl = np.where(high, _sigmoid(upper), 1.0), np.where(low, _sigmoid(lower), 0.0)
+        p = np.maximum(su - sl, 1e-15)
+        du, dl = np.minimum(su * (1 - su) / p, 1 / GAP), np.minimum(sl * (1 - sl) / p, 1 / GAP)
         g_cut = np.zeros(top)
-        np.add.at(g_cut, np.minimum(grades, top - 1)[grades < top], -du[grades < top] / n)
-        np.add.at(g_cut, np.maximum(grades - 1, 0)[grades > 0], dl[grades > 0] / n)
-        g_w = np.bincount(at, g_eta[owner], m) if m else np.zeros(0)
-        new_w = momentum_w - step * g_w
+        np.add.at(g_cut, grades[high], -du[high] / n)
+        np.add.at(g_cut, grades[low] - 1, dl[low] / n)
+        new_w = ahead_w - step * (np.bincount(x.at, ((du - dl) / n)[x.owner], m) + l2 * ahead_w)
         new_w = np.sign(new_w) * np.maximum(np.abs(new_w) - step * l1, 0)
-        new_c = np.maximum.accumulate(momentum_c - step * g_cut)
+        new_c = _ascending(ahead_c - step * g_cut)
+        if (ahead_w - new_w) @ (new_w - weights) + (ahead_c - new_c) @ (new_c - cuts) > 0:
+            t = 1.0  # the momentum points uphill
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        momentum_w = new_w + (t - 1) / t2 * (new_w - weights)
-        momentum_c = np.maximum.accumulate(new_c + (t - 1) / t2 * (new_c - cuts))
+        ahead_w = new_w + (t - 1) / t2 * (new_w - weights)
+        ahead_c = _ascending(new_c + (t - 1) / t2 * (new_c - cuts))
         weights, cuts, t = new_w, new_c, t2
+    return weights, cuts
+
+
+def _relaxed(x: _Sets, grades: np.ndarray, m: int, top: int, l1: float, markers: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Choose words under the penalty ``l1``; fit them and the markers again with a light ridge, so that weights are shared, not shrunk."""
+    chosen = (_solve(x, grades, m, top, l1, 0.0, steps)[0] != 0) | markers
+    return _solve(x.only(chosen), grades, m, top, 0.0, RIDGE, 2 * steps)
+
+
+def _decision(p: np.ndarray, y: np.ndarray) -> float:
+    """The probability, 0.5 at most, that parts held-out rows with the least sum of both error shares (midway between its neighbours)."""
+    at = np.unique(np.append(p[p <= 0.5], 0.5))
+    error = [(p[y] < c).mean() + ((p[~y] >= c).mean() if (~y).any() else 0) for c in at]
+    k = len(at) - 1 - int(np.argmin(error[::-1]))
+    below = p[p < at[k]]
+    return float((at[k] + below.max()) / 2) if len(below) else float(at[k])
+
+
+def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, words: np.ndarray, *, markers: np.ndarray | None = None, penalties: tuple[float, ...] = PENALTIES, steps: int = STEPS) -> OrdinalModel:
+    """Fit to word sets (indexes of ``words``) and grades 0, 1, ...; the penalty is the one that loses least on every fifth row.
+
+    ``markers`` are words that are used whatever the penalty.
+    """
+    top = int(grades.max()) if len(grades) else 0
+    if top < 1:
+        return OrdinalModel()
+    m = len(words)
+    markers = np.zeros(m, bool) if markers is None else markers
+    test = np.arange(len(rows)) % 5 == 0
+    best, penalty, decide = np.inf, penalties[0], 0.5
+    if (grades[~test] > 0).any() and (grades[test] > 0).any():
+        learn = _Sets.of([r for r, held in zip(rows, test, strict=True) if not held])
+        check = _Sets.of([r for r, held in zip(rows, test, strict=True) if held])
+        y = grades[test] > 0
+        for l1 in penalties:
+            weights, cuts = _relaxed(learn, np.minimum(grades[~test], top), m, top, l1, markers, steps)
+            p = np.clip(_sigmoid(check.times(weights) - cuts[0]), 1e-4, 1 - 1e-4)
+            loss = -np.log(p[y]).mean() - (np.log(1 - p[~y]).mean() if (~y).any() else 0)
+            if loss < best - 1e-3:
+                best, penalty, decide = loss, l1, _decision(p, y)
+    weights, cuts = _relaxed(_Sets.of(rows), grades, m, top, penalty, markers, steps)
     used = weights != 0
-    return OrdinalModel(words[used], weights[used], cuts)
+    return OrdinalModel(words[used], weights[used], cuts, decide)
 
 
-def derived_grades(rows: list[np.ndarray], toxic: np.ndarray, top: int = TOP_GRADE) -> np.ndarray:
+def derived_grades(rows: list[np.ndarray], toxic: np.ndarray, markers: np.ndarray, top: int = TOP_GRADE) -> np.ndarray:
     """Ordered grades where labels only say toxic or not.
 
-    0 is not toxic; a toxic row is graded 1 to ``top`` by how many distinct marker words it holds (1, 2 to
-    3, 4 or more). A marker is a word in at least 1 % of the toxic rows that is ten times as frequent there.
+    0 is not toxic; a toxic row is graded 1 to ``top`` by how many distinct marker words it holds (1 or none, 2 to
+    3, 4 or more). ``markers`` tells which words are; see ``fit``.
     """
-    grades = toxic.astype(np.int64)
-    if not toxic.any():
-        return grades
-    n1, n0 = int(toxic.sum()), max(1, int((~toxic).sum()))
-    bad, times = np.unique(np.concatenate([r for r, y in zip(rows, toxic, strict=True) if y]), return_counts=True)
-    good, seen = np.unique(np.concatenate([np.zeros(0, np.int64), *[r for r, y in zip(rows, toxic, strict=True) if not y]]), return_counts=True)
-    at = np.minimum(np.searchsorted(good, bad), max(0, len(good) - 1))
-    other = np.where(good[at] == bad, seen[at], 0) if len(good) else np.zeros(len(bad))
-    markers = bad[(times >= max(2, 0.01 * n1)) & (times / n1 > 10 * (other + 1) / n0)]
-    for i in np.flatnonzero(toxic):
-        held = np.isin(rows[i], markers, assume_unique=True).sum()
-        grades[i] = min(top, 1 + (held >= 2) + (held >= 4))
-    return grades
+    held = np.array([int(markers[r].sum()) for r in rows], np.int64)
+    return np.where(toxic, np.minimum(top, 1 + (held >= 2) + (held >= 4)), 0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, grade: str | None = None, text: str = "text", sample: tuple[int, int] = (SAMPLE_TOXIC, SAMPLE_CLEAN)) -> OrdinalModel:
@@ -176,18 +239,40 @@ def fit(docs: DataFrame, labels: DataFrame, *, grade: str | None = None, text: s
     drawn = rows.where(F.col("draw") < F.when(F.col("grade") > 0, share[0]).otherwise(share[1])).select("doc_id", "grade")
     # the sample is bounded by its parameter, so its ids can go to every executor
     texts = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(drawn), "doc_id").select("grade", "text")
-    got = texts.mapInArrow(_distinct_words, "grade long, words array<long>").toPandas()
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    held = texts.mapInArrow(_distinct_words, "grade long, words array<long>")
+    # copies of one text would vouch for all of its words: of sampled rows with the same grade and two equal min-hashes one stays
+    held = held.withColumn("a", F.array_min("words")).withColumn("b", F.array_min(F.transform("words", lambda w: F.xxhash64(w))))
+    held = scratch.table(held.dropDuplicates(["grade", "a", "b"]).drop("a", "b"), "sample")
+    n = {r[0]: r[1] for r in held.groupBy((F.col("grade") > 0).alias("positive")).count().collect()}
+    n1, n0 = n.get(True, 0), n.get(False, 0)
+    chosen = sorted(tuple(r) for r in screen(held, n1, n0).collect())
+    words = np.array([r[0] for r in chosen], np.int64)
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [np.flatnonzero(np.isin(words, np.asarray(r, np.int64))).astype(np.int32) for r in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], ["grade", "words"])
+
+    got = held.mapInArrow(index, "grade long, words array<int>").toPandas()
+    scratch.drop("sample")
     sets = [np.asarray(w, np.int64) for w in got["words"]]
     grades = got["grade"].to_numpy(np.int64)
-    order = sorted(range(len(sets)), key=lambda i: (grades[i], len(sets[i]), sets[i].tobytes()))
+    # an order that follows from the rows alone, and spreads grades over the folds
+    order = sorted(range(len(sets)), key=lambda i: (hashlib.md5(sets[i].tobytes()).digest(), grades[i]))
     sets, grades = [sets[i] for i in order], grades[order]
-    if grade is None:
-        grades = derived_grades(sets, grades > 0) if len(sets) else grades
-    return fit_ordinal(sets, grades)
+    # a marker is a word in at least 1 % of the positive rows that is ten times as frequent there, beyond chance
+    a, total = np.array([r[1:] for r in chosen], float).reshape(-1, 2).T
+    share = (total + 1) / (n1 + n0 + 2)
+    z = (a / max(1, n1) - (total - a) / max(1, n0)) / np.sqrt(share * (1 - share) * (1 / max(1, n1) + 1 / max(1, n0)))
+    markers = (a >= max(3, 0.01 * n1)) & (a / max(1, n1) > 10 * (total - a) / max(1, n0)) & (z > 4)
+    if grade is None and len(sets):
+        grades = derived_grades(sets, grades > 0, markers)
+    return fit_ordinal(sets, grades, words, markers=markers)
 
 
-def predict(docs: DataFrame, model: OrdinalModel, *, text: str = "text", names: tuple[str, str, str] = ("expected_severity", "severity", "toxic"), cut: float = 0.5) -> DataFrame:
-    """``docs`` with expected severity, most probable grade, and whether P(grade > 0) reaches ``cut``.
+def predict(docs: DataFrame, model: OrdinalModel, *, text: str = "text", names: tuple[str, str, str] = ("expected_severity", "severity", "toxic"), cut: float | None = None) -> DataFrame:
+    """``docs`` with expected severity, most probable grade, and whether P(grade > 0) reaches ``cut`` (the model's own unless given).
 
     Columns that already have one of these names are replaced.
     """
@@ -202,7 +287,7 @@ def predict(docs: DataFrame, model: OrdinalModel, *, text: str = "text", names:
             above = m.above(linear)
             full = np.concatenate([np.ones((len(linear), 1)), above, np.zeros((len(linear), 1))], 1)
             grade = (full[:, :-1] - full[:, 1:]).argmax(1)
-            toxic = above[:, 0] >= cut if above.shape[1] else np.zeros(len(linear), bool)
+            toxic = above[:, 0] >= (m.decide if cut is None else cut) if above.shape[1] else np.zeros(len(linear), bool)
             new = [pa.array(above.sum(1)), pa.array(grade.astype(np.int32)), pa.array(toxic)]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in order), *new], [*order, *names])
 
