@@ -1,13 +1,13 @@
 """String similarity and text-quality metrics of two columns.
 
-Set and n-gram metrics are expressions over arrays. Edit scripts that need a dynamic program over pairs of positions run as Arrow
-UDFs, whole batches at a time. Null on either side gives null.
+Set metrics and BLEU are expressions over arrays. What would compare all positions of two texts there (edit scripts, multisets of
+n-grams) runs as Arrow UDFs, whole batches at a time. Null on either side gives null.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -124,15 +124,31 @@ def _times(grams: Column, g: Column) -> Column:
     return F.size(F.filter(grams, lambda x: x == g))
 
 
-def clipped_matches(reference: Column, hypothesis: Column) -> Column:
-    """Size of the multiset intersection of two arrays, in one pass over each (array functions would compare all with all)."""
-    return _dp(lambda x, y: sum((Counter(x) & Counter(y)).values()), "long")(reference, hypothesis)
+def _clipped(units: Callable[[list[str]], list], tokenize: bool) -> Callable[[Column, Column], Column]:
+    """Of (reference, hypothesis): clipped matches of their units, and how many units each has, in time linear in both."""
+
+    def count(reference: str, hypothesis: str) -> list[int]:
+        r, h = (units(x.lower().split() if tokenize else list(x)) for x in (reference, hypothesis))
+        return [sum((Counter(r) & Counter(h)).values()), len(r), len(h)]
+
+    return _dp(count, "array<long>")
+
+
+def _runs(n: int) -> Callable[[list[str]], list]:
+    if n < 1:
+        raise ValueError("n must be at least 1")
+    return lambda parts: list(zip(*(parts[i:] for i in range(n)), strict=False))
+
+
+def _skips(most: int | None) -> Callable[[list[str]], list]:
+    """Ordered pairs with at most ``most`` parts between them (any number if None)."""
+    return lambda parts: [(x, y) for i, x in enumerate(parts) for y in parts[i + 1 : None if most is None else i + most + 2]]
 
 
 def ngram_overlap(reference: Column, hypothesis: Column, *, n: int = 2, tokenize: bool = True) -> Column:
     """Clipped n-gram precision of ``hypothesis``; 0 where it has no n-grams."""
-    r, h = ngrams(_parts(reference, tokenize), n), ngrams(_parts(hypothesis, tokenize), n)
-    return _known(reference, hypothesis, ratio(clipped_matches(r, h), F.size(h)))
+    c = _clipped(_runs(n), tokenize)(reference, hypothesis)
+    return _known(reference, hypothesis, ratio(c[0], c[2]))
 
 
 def _f(p: Column, r: Column, beta: float) -> Column:
@@ -142,9 +158,8 @@ def _f(p: Column, r: Column, beta: float) -> Column:
 
 def rouge_n(reference: Column, hypothesis: Column, *, n: int = 2, tokenize: bool = True) -> Column:
     """Struct ``precision, recall, f1`` of clipped n-gram matches."""
-    r, h = ngrams(_parts(reference, tokenize), n), ngrams(_parts(hypothesis, tokenize), n)
-    m = clipped_matches(r, h)
-    p, q = ratio(m, F.size(h)), ratio(m, F.size(r))
+    c = _clipped(_runs(n), tokenize)(reference, hypothesis)
+    p, q = ratio(c[0], c[2]), ratio(c[0], c[1])
     return _known(reference, hypothesis, F.struct(p.alias("precision"), q.alias("recall"), _f(p, q, 1.0).alias("f1")))
 
 
@@ -156,24 +171,10 @@ def rouge_l(reference: Column, hypothesis: Column, *, tokenize: bool = True, bet
     return _known(reference, hypothesis, F.struct(p.alias("precision"), q.alias("recall"), _f(p, q, beta).alias("f1")))
 
 
-def skip_bigrams(parts: Column, skip: int | None) -> Column:
-    """Ordered pairs of parts with at most ``skip`` parts between them (any number if None)."""
-
-
-    def all_pairs(s: Column) -> Column:
-        p, n = s["p"], F.size(s["p"])
-        last = (lambda i: n) if skip is None else (lambda i: F.least(n, i + skip + 1))
-        pairs = F.flatten(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.transform(F.sequence(i + 1, last(i)), lambda j: F.concat_ws(" ", F.get(p, i - 1), F.get(p, j - 1)))))
-        return F.when(n >= 2, pairs).otherwise(F.array().cast("array<string>"))
-
-    return let(all_pairs, p=parts)
-
-
 def rouge_s(reference: Column, hypothesis: Column, *, tokenize: bool = True, beta: float = 1.2, skip_distance: int | None = None) -> Column:
     """Struct ``precision, recall, f1`` of clipped skip-bigram matches."""
-    r, h = skip_bigrams(_parts(reference, tokenize), skip_distance), skip_bigrams(_parts(hypothesis, tokenize), skip_distance)
-    m = clipped_matches(r, h)
-    p, q = ratio(m, F.size(h)), ratio(m, F.size(r))
+    c = _clipped(_skips(skip_distance), tokenize)(reference, hypothesis)
+    p, q = ratio(c[0], c[2]), ratio(c[0], c[1])
     return _known(reference, hypothesis, F.struct(p.alias("precision"), q.alias("recall"), _f(p, q, beta).alias("f1")))
 
 

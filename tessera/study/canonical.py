@@ -8,10 +8,10 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Mapping
-from datetime import date, datetime, time
+from collections.abc import Callable, Mapping
+from datetime import date, time
 from decimal import Decimal
-from enum import Enum
+from operator import itemgetter
 from typing import Any
 from uuid import UUID
 
@@ -21,25 +21,27 @@ def keytag(key: Any) -> str:
     return f"{type(key).__name__}::{key!r}"
 
 
+#: The tag of each kind that JSON lacks, and how its content is written.
+_TAGGED: tuple[tuple[tuple[type, ...], str, Callable[[Any], Any]], ...] = (
+    ((bytes,), "__bytes__", bytes.hex),
+    ((date, time), "__temporal__", lambda v: v.isoformat()),
+    ((Decimal,), "__decimal__", str),
+    ((UUID,), "__uuid__", str),
+    ((Mapping,), "__map__", lambda v: sorted(([keytag(k), canonical_plain(x)] for k, x in v.items()), key=itemgetter(0))),
+    ((set, frozenset), "__set__", lambda v: sorted(map(canonical_plain, v), key=repr)),
+)
+
+
 def canonical_plain(value: Any) -> Any:
-    """``value`` as plain JSON types."""
-    if value is None or isinstance(value, (bool, int, float, str)) and not isinstance(value, Enum):
-        return value
-    if isinstance(value, Enum):
-        return {"__enum__": f"{type(value).__name__}.{value.name}"}
-    if isinstance(value, Mapping):
-        return {"__map__": sorted(([keytag(k), canonical_plain(v)] for k, v in value.items()), key=lambda p: p[0])}
+    """``value`` as plain JSON types; kinds that JSON lacks become a one-entry object with a tag."""
     if isinstance(value, (list, tuple)):
         return [canonical_plain(v) for v in value]
-    if isinstance(value, (set, frozenset)):
-        return {"__set__": sorted((canonical_plain(v) for v in value), key=lambda v: json.dumps(v, sort_keys=True))}
-    if isinstance(value, (datetime, date, time)):
-        return {f"__{type(value).__name__}__": value.isoformat()}
-    if isinstance(value, (Decimal, UUID)):
-        return {f"__{type(value).__name__}__": str(value)}
-    if isinstance(value, (bytes, bytearray)):
-        return {"__bytes__": bytes(value).hex()}
-    raise TypeError(f"{type(value).__name__} has no canonical form")
+    for kinds, tag, write in _TAGGED:
+        if isinstance(value, kinds):
+            return {tag: write(value)}
+    if value is not None and not isinstance(value, (str, int, float)):
+        raise TypeError(f"{type(value).__name__} has no canonical form")
+    return value
 
 
 def canonical_json(value: Any) -> str:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+import hashlib
+import json
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from enum import Enum
 from typing import Any, Protocol
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.study.canonical import hash_text, hash_value
+from tessera.study.canonical import canonical_plain, hash_text, hash_value, stable_seed
 
 UNITS = "unit_id string, text string, attributes string, source_ref string"
 RELATIONS = "source_id string, target_id string, kind string, attributes string"
@@ -66,21 +69,51 @@ def subset_corpus(corpus: Corpus, ids: DataFrame) -> Corpus:
     return Corpus(units.select(*corpus.units.columns), relations.select(*corpus.relations.columns))
 
 
+def _row_json(df: DataFrame, names: dict[str, str], order: list[str]) -> DataFrame:
+    """Each row as canonical JSON text, sorted; ``attributes`` holds JSON text (null: empty)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            out = []
+            for row in p.to_dict("records"):
+                item = {short: row[name] for short, name in names.items()}
+                item["attrs"] = canonical_plain(json.loads(row["attributes"]) if row["attributes"] else {})
+                out.append(json.dumps(item, sort_keys=True, allow_nan=False))
+            yield pd.DataFrame({**{f"k{i}": p[c] for i, c in enumerate(order)}, "json": out})
+
+    keys = [f"k{i}" for i in range(len(order))]
+    return df.mapInPandas(run, ", ".join(f"{k} string" for k in keys) + ", json string").orderBy(*keys)
+
+
 def corpus_fingerprint(corpus: Corpus) -> str:
-    """A hash of all units, relations and metadata that does not depend on order or partitioning.
+    """SHA-256 over the canonical JSON of metadata, relations and units, in the order of their ids.
 
-    Rows are hashed where they lie; hashes are summed by their first bytes in sorted order on the executors (a two-level
-    tree), so the driver sees at most 4096 short strings.
+    Rows are written and sorted by Spark, and pass the driver one partition at a time, because one hash has to see them in
+    order. ``corpus_tree_fingerprint`` is the form for large corpora.
     """
+    digest = hashlib.sha256()
+
+    def stream(rows: DataFrame) -> None:
+        for i, r in enumerate(rows.select("json").toLocalIterator()):
+            digest.update(((", " if i else "") + r[0]).encode())
+
+    digest.update(('{"metadata": ' + json.dumps(canonical_plain(corpus.metadata), sort_keys=True, allow_nan=False) + ', "relations": [').encode())
+    stream(_row_json(corpus.relations, {"s": "source_id", "t": "target_id", "k": "kind"}, ["source_id", "target_id", "kind"]))
+    digest.update(b'], "units": [')
+    stream(_row_json(corpus.units, {"id": "unit_id", "text": "text"}, ["unit_id"]))
+    digest.update(b"]}")
+    return digest.hexdigest()
+
+
+def corpus_tree_fingerprint(corpus: Corpus) -> str:
+    """A hash of the same content that needs no global order: rows are hashed where they lie and hashes are added up in 4096 buckets."""
 
     def root(df: DataFrame) -> str:
         row = F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256)
-        # the inner level is a window-free sorted concatenation of at most n / 4096 hashes, folded bucket by bucket
         counts = df.select(row.alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
         limbs = [F.sum(F.conv(F.substring(F.sha2(F.concat_ws(":", "h", "n"), 256), 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)")).alias(f"l{i}") for i in range(8)]
         buckets = counts.groupBy(F.substring("h", 1, 3).alias("b")).agg(F.count(F.lit(1)).alias("c"), *limbs)
-        leaves = sorted("|".join(str(x) for x in r) for r in buckets.collect())
-        return hash_text("\n".join(leaves))
+        return hash_text("\n".join(sorted("|".join(str(x) for x in r) for r in buckets.collect())))
 
     return hash_value([root(corpus.units), root(corpus.relations), corpus.metadata])
 
@@ -178,8 +211,6 @@ class BaselineArtifact:
 
 def build_baseline_artifact(corpus: Corpus, contents: dict[str, DataFrame], *, component_versions: dict[str, str] | None = None, extra_inputs: dict[str, Any] | None = None, seed: int | None = None, corpus_hash: str | None = None, trust_corpus_hash: bool = False) -> BaselineArtifact:
     """Hash all inputs and derive the seed from them unless one is given; a wrong ``corpus_hash`` raises unless it is trusted."""
-    from tessera.study.canonical import stable_seed
-
     if "corpus" in (extra_inputs or {}):
         raise ValueError("'corpus' is reserved")
     found = corpus_hash if corpus_hash and trust_corpus_hash else corpus_fingerprint(corpus)
