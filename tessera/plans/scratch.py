@@ -20,7 +20,9 @@ def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
-        return root.rstrip("/")
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+        return full if "://" in full else full.replace("file:/", "file:///", 1)
     if spark.sparkContext.master.startswith("local"):
         return LOCAL_ROOT
     raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
@@ -44,9 +46,9 @@ class Scratch:
         self.path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
         atexit.register(self._clean)
 
-    def table(self, df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    def table(self, df: DataFrame, name: str, partition_by: tuple[str, ...] = (), compression: str = "zstd") -> DataFrame:
         where = f"{self.path}/{name}"
-        writer = df.write.mode("overwrite").option("compression", "zstd")
+        writer = df.write.mode("overwrite").option("compression", compression)
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(where)
         return self.spark.read.schema(df.schema).parquet(where)
 
