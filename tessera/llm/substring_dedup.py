@@ -144,18 +144,31 @@ def repeated_spans(rows: DataFrame, scratch: Scratch, *, k: int = K, m: int = M)
     part = edges.join(low, ["mini", "edge"]).where("low < source").groupBy("mini", "path", F.col("source").alias("doc_id")).agg(F.collect_list("i").alias("at"))
     partial = paths.join(part, ["mini", "path", "doc_id"]).select("doc_id", "whole", F.explode(F.transform("at", lambda i: i + F.col("start"))).alias("lo"))
     spans_ = full.unionByName(partial.select("doc_id", "whole", "lo", (F.col("lo") + k).alias("hi")))
-    gathered = spans_.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("whole", "lo", "hi"))).alias("spans"))
-    # one document's ranges, in order; touching ones become one
-    last = lambda a: F.element_at(a, -1)
-    joins = lambda a, x: (F.size(a) > 0) & (F.try_element_at(a, F.lit(-1))["whole"] == x["whole"]) & (F.try_element_at(a, F.lit(-1))["hi"] >= x["lo"])
-    merged = F.aggregate(
-        "spans",
-        F.expr("cast(array() as array<struct<whole: bigint, lo: int, hi: int>>)"),
-        lambda a, x: F.when(
-            joins(a, x), F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.struct(last(a)["whole"].alias("whole"), last(a)["lo"].alias("lo"), F.greatest(last(a)["hi"], x["hi"]).alias("hi"))))
-        ).otherwise(F.concat(a, F.array(x))),
-    )
-    return scratch.table(gathered.select("doc_id", merged.alias("spans")), "spans")
+    gathered = spans_.groupBy("doc_id").agg(F.collect_list(F.struct("whole", "lo", "hi")).alias("spans"))
+    return scratch.table(_merged(gathered), "spans")
+
+
+def _merged(gathered: DataFrame) -> DataFrame:
+    """Each document's ranges in order, touching ones joined; one sort for each batch, however many ranges a document has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            first, flat = lists.offsets.to_numpy(), lists.values
+            whole, lo, hi = (flat.field(c).to_numpy()[first[0] : first[-1]].astype(np.int64) for c in ("whole", "lo", "hi"))
+            owner = np.repeat(np.arange(len(batch)), np.diff(first))
+            order = np.lexsort((lo, whole, owner))
+            whole, lo, hi, owner = whole[order], lo[order], hi[order], owner[order]
+            group = np.cumsum(np.append(0, (whole[1:] != whole[:-1]) | (owner[1:] != owner[:-1]))) << 32 if len(lo) else lo
+            reach = np.maximum.accumulate(group + hi) if len(lo) else lo
+            new = np.append(True, (group + lo)[1:] > reach[:-1])[: len(lo)]  # a new group starts beyond all reaches before it
+            begin = np.flatnonzero(new)
+            end = np.append(begin[1:], len(lo)) - 1
+            kept = pa.StructArray.from_arrays([pa.array(whole[begin]), pa.array(lo[begin].astype(np.int32)), pa.array((reach[end] - group[end]).astype(np.int32))], ["whole", "lo", "hi"])
+            offsets = np.append(0, np.cumsum(np.bincount(owner[begin], minlength=len(batch))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), kept)], ["doc_id", "spans"])
+
+    return gathered.mapInArrow(run, gathered.schema)
 
 
 def _kept(text: bytes, mine: list[tuple[int, int]]) -> tuple[list[bytes], int]:
