@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 _HERE = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 #: Rows in one Arrow batch. Texts can be long, so batches stay far below Spark's default.
-ARROW_ROWS = "1024"
+ARROW_ROWS = "512"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
