@@ -693,3 +693,102 @@ def _nations(nation: DataFrame) -> graph.Graph:
 @_query("nation")
 def graph_dominant(df: DataFrame) -> DataFrame:
     return _r(graph.dominant_scores(_nations(df)), 4)
+
+
+# --- studies and streams ----------------------------------------------------------------------------------------------------
+
+
+def _corpus_tables(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents as units; each is related to the one before it in its source."""
+    from pyspark.sql import Window
+
+    units = docs.select(F.col("doc_id").cast("string").alias("unit_id"), "lang", "source")
+    before = F.lag("doc_id").over(Window.partitionBy("source").orderBy("doc_id"))
+    relations = docs.select(F.col("doc_id").cast("string").alias("source_id"), before.cast("string").alias("target_id")).where("target_id is not null")
+    return units, relations
+
+
+_LINKS = "WITH u AS (SELECT doc_id::VARCHAR AS unit_id, lang FROM documents), r AS (SELECT doc_id::VARCHAR AS source_id, lag(doc_id) OVER (PARTITION BY source ORDER BY doc_id)::VARCHAR AS target_id FROM documents QUALIFY target_id IS NOT NULL)"
+
+
+@_query("documents", f"{_LINKS} SELECT source_id, target_id FROM r JOIN u a ON a.unit_id = source_id JOIN u b ON b.unit_id = target_id WHERE a.lang = 'en' AND b.lang = 'en'")
+def study_subset_relations(df: DataFrame) -> DataFrame:
+    units, relations = _corpus_tables(df)
+    keep = units.where("lang = 'en'").select("unit_id")
+    ends = [keep.withColumnRenamed("unit_id", c) for c in ("source_id", "target_id")]
+    return relations.join(ends[0], "source_id", "left_semi").join(ends[1], "target_id", "left_semi").select("source_id", "target_id")
+
+
+@_query("documents", f"{_LINKS}, k AS (SELECT unit_id FROM u WHERE lang <> 'fr') SELECT DISTINCT unit_id FROM (SELECT unnest([source_id, target_id]) AS unit_id FROM r) WHERE unit_id NOT IN (SELECT unit_id FROM k)")
+def study_dangling_endpoints(df: DataFrame) -> DataFrame:
+    from tessera.study.contracts import dangling_endpoints
+
+    units, relations = _corpus_tables(df)
+    return dangling_endpoints(units.where("lang <> 'fr'"), relations)
+
+
+@_query("lineitem", "SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1")
+def study_duplicate_ids(df: DataFrame) -> DataFrame:
+    from tessera.study.contracts import duplicate_ids
+
+    return duplicate_ids(df, "l_orderkey")
+
+
+@_query("events", f"{_PS} SELECT id, CASE WHEN p > 0.05 THEN 'indeterminate' WHEN id % 2 = 0 THEN 'supported' ELSE 'contradicted' END AS label FROM p")
+def study_verdicts(df: DataFrame) -> DataFrame:
+    from tessera.study.methodology import verdict_column
+
+    return _p_values(df).select("id", verdict_column(F.col("p"), 0.05, F.col("id") % 2 == 0, F.lit(True)).alias("label"))
+
+
+_LABEL = "CASE WHEN quality = 0 THEN 'indeterminate' WHEN toxic = 1 THEN 'contradicted' ELSE 'supported' END"
+
+
+def study_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.study.methodology import score_table
+
+    verdict = F.when(F.col("quality") == 0, "indeterminate").when(F.col("toxic") == 1, "contradicted").otherwise("supported")
+    rows = _read(spark, sf_dir, "labels").join(_read(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id").withColumn("label", verdict)
+    return _r(score_table(rows))
+
+
+QUERIES["study_scorecard"] = study_scorecard
+ORACLE_SQL["study_scorecard"] = f"""
+WITH v AS (SELECT source, {_LABEL} AS label FROM labels JOIN documents USING (doc_id)),
+c AS (SELECT source, count(*) FILTER (label = 'supported') AS n_supported, count(*) FILTER (label = 'contradicted') AS n_contradicted, count(*) FILTER (label = 'indeterminate') AS n_indeterminate FROM v GROUP BY source)
+SELECT *, CASE WHEN n_supported + n_contradicted > 0 THEN round(n_supported / (n_supported + n_contradicted), 6) END AS alignment_rate FROM c
+"""
+
+
+@_query("embeddings", f"{_VECS} SELECT b.vec_id AS ref, round({_COS} / sqrt(list_sum(list_transform(a.x, lambda t: t * t)) * list_sum(list_transform(b.x, lambda t: t * t))), 6) AS score FROM (SELECT * FROM e ORDER BY vec_id LIMIT 1) a, e b ORDER BY score DESC, ref LIMIT 10")
+def store_top_k(df: DataFrame) -> DataFrame:
+    probe = df.orderBy("vec_id").limit(1).select(F.col("embedding").cast("array<double>")).first()[0]
+    scored = df.select(F.col("vec_id").alias("ref"), F.round(V.cosine(F.col("embedding").cast("array<double>"), F.array(*(F.lit(x) for x in probe))), 6).alias("score"))
+    return ranking.top_k(scored, 10, doc_id="ref")
+
+
+@_query("events", "SELECT epoch(time_bucket(INTERVAL 1 HOUR, ts))::BIGINT AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS std FROM events GROUP BY 1, 2")
+def stream_windowed_stats(df: DataFrame) -> DataFrame:
+    from tessera.streaming import windowed_stats
+
+    return _r(windowed_stats(df).withColumn("start", F.unix_timestamp("start")))
+
+
+def _three(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Three hypotheses: is the mean of a type above all; null and resampled values are means by user."""
+    means = df.groupBy("event_type", "user_id").agg(F.avg("value").alias("value"))
+    null = df.groupBy("user_id").agg(F.avg("value").alias("value")).crossJoin(df.select(F.col("event_type").alias("hypothesis_id")).distinct()).select("hypothesis_id", "value")
+    observed = df.groupBy(F.col("event_type").alias("hypothesis_id")).agg(F.max("value").alias("value")).withColumn("direction", F.lit("greater"))
+    return observed, null, means.select(F.col("event_type").alias("hypothesis_id"), "value")
+
+
+@_query("events", """
+WITH n AS (SELECT user_id, avg(value) AS v FROM events GROUP BY 1), o AS (SELECT event_type AS h, max(value) AS x FROM events GROUP BY 1), s AS (SELECT event_type AS h, user_id, avg(value) AS v FROM events GROUP BY ALL),
+p AS (SELECT h, x, (count(*) FILTER (v >= x) + 1) / (count(*) + 1) AS p, (count(*) FILTER (v <= x) + 1) / (count(*) + 1) AS q FROM o, n GROUP BY ALL),
+r AS (SELECT s.h, s.user_id, (count(*) FILTER (n.v >= s.v) + 1) / (count(*) + 1) AS p FROM s, n GROUP BY ALL), t AS (SELECT h, avg((p <= 0.05)::INT) AS stability FROM r GROUP BY h)
+SELECT h AS hypothesis_id, x AS observed, round(p, 6) AS p_value, round(stability, 6) AS stability, CASE WHEN q <= 0.05 THEN 'contradicted' WHEN stability < 0.9 THEN 'indeterminate' WHEN p <= 0.05 THEN 'supported' ELSE 'indeterminate' END AS label FROM p JOIN t USING (h)
+""")
+def study_whole_corpus_verdicts(df: DataFrame) -> DataFrame:
+    from tessera.study.methodology import whole_corpus_table
+
+    return _r(whole_corpus_table(*_three(df)))
