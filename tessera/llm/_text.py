@@ -20,7 +20,7 @@ _BASE = 0xD6E8FEB86659FD93  # odd, so it has an inverse modulo 2**64
 _BASE2 = 0xA0761D6478BD642F
 
 #: Bytes of text that one vectorised pass handles; a longer single text makes a longer pass.
-SLICE = 1 << 21
+SLICE = 1 << 19
 
 
 def mix(z: np.ndarray) -> np.ndarray:

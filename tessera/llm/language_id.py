@@ -32,8 +32,8 @@ ORDER = 3
 SAMPLE_ROWS = 400
 #: Occurrences that make a context a node, and nodes of all trees at most.
 LEAST, MOST_NODES = 6, 9_000
-#: Bytes per text, in bits, above which a text is taken for no language at all (the pipeline's rule).
-MOST_BITS = 6.5
+#: Bits a byte above which the pipeline takes a text for no learned language: the best model codes it worse than plain bytes.
+MOST_BITS = 8.0
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
