@@ -2,7 +2,7 @@
 
 One weight per word is shared by all thresholds: ``P(grade > k) = sigmoid(x . w - cut_k)`` with ascending
 cuts. ``x`` marks which words a text holds (presence, so a long text is not worse than a short one for
-its length alone). Words are chosen by proximal gradient steps with an L1 penalty, and the few that are chosen are fitted again
+its length alone), and weights are not negative: a text without any of the words is never worse than another. Words are chosen by proximal gradient steps with an L1 penalty, and the few that are chosen are fitted again
 without it. The score is the expected severity, ``sum_k P(grade > k)``.
 
 The model is fitted on a bounded sample of labelled rows; every text is scored whole.
@@ -162,7 +162,7 @@ def _solve(x: _Sets, grades: np.ndarray, m: int, top: int, l1: float, l2: float,
         np.add.at(g_cut, grades[high], -du[high] / n)
         np.add.at(g_cut, grades[low] - 1, dl[low] / n)
         new_w = ahead_w - step * (np.bincount(x.at, ((du - dl) / n)[x.owner], m) + l2 * ahead_w)
-        new_w = np.sign(new_w) * np.maximum(np.abs(new_w) - step * l1, 0)
+        new_w = np.maximum(new_w - step * l1, 0)  # words add to severity or say nothing
         new_c = _ascending(ahead_c - step * g_cut)
         if (ahead_w - new_w) @ (new_w - weights) + (ahead_c - new_c) @ (new_c - cuts) > 0:
             t = 1.0  # the momentum points uphill
@@ -212,7 +212,8 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, words: np.ndarray, *
                 best, penalty, decide = loss, l1, _decision(p, y)
     weights, cuts = _relaxed(_Sets.of(rows), grades, m, top, penalty, markers, steps)
     used = weights != 0
-    return OrdinalModel(words[used], weights[used], cuts, decide)
+    bare = float(_sigmoid(-cuts[:1])[0])  # of a text that holds none of the words: never toxic
+    return OrdinalModel(words[used], weights[used], cuts, max(decide, bare + 1e-6))
 
 
 def derived_grades(rows: list[np.ndarray], toxic: np.ndarray, markers: np.ndarray, top: int = TOP_GRADE) -> np.ndarray:
