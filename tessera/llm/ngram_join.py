@@ -9,8 +9,8 @@ document has tokens for its own band and for the one below.
 1. Equal sets collapse to one; the rest of the work is on distinct sets.
 2. Tokens that only one set holds are useless. A set needs ``r = max(1, k - empty - d)`` tokens in common with any
    partner, so its ``r - 1`` most widely shared tokens are skipped, and a set with fewer than r shared tokens is done.
-3. Similar sets are put in groups (equal least hash); large groups are dealt into blocks of bounded size. The matrix
-   holds the union of tokens of each group.
+3. Similar sets are put in groups (by the most widely shared token they hold); large groups are dealt into blocks of bounded
+   size. The matrix holds the union of tokens of each group.
 4. The overlap of a query's tokens with each group's union bounds its similarity to any member. Groups
    that reach one kept token are opened; within, the full bound r is applied to each member and the exact
    overlap decides. Pairs already connected need no test, so a group of many near copies costs few.
@@ -141,24 +141,22 @@ def _name(grams: np.ndarray) -> bytes:
 
 
 def _describe(docs: DataFrame, text: str, n: int, bands: Bands) -> DataFrame:
-    """Per row: ``row, doc_id, n_grams, name, least`` and the tokens of its set."""
+    """Per row: ``row, doc_id, n_grams, name`` and the tokens of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = (TaskContext.get().partitionId() << 40) - 1  # the output is written before it is used, so row numbers hold
         for batch in batches:
-            size, names, least, keys, spaces, needs = [], [], [], [], [], []
+            size, names, keys, spaces, needs = [], [], [], [], []
             number += len(batch)
             for grams in gram_sets(batch.column(1), n):
                 size.append(len(grams))
                 if not len(grams):
                     names.append(None)
-                    least.append(None)
                     keys.append(np.zeros(0, np.int64))
                     spaces.append(np.zeros(0, np.int16))
                     needs.append(np.zeros(0, np.int32))
                     continue
                 names.append(_name(grams))
-                least.append(int(signed(grams[:1])[0]))
                 key, space, need = tokens_of(grams, bands)
                 keys.append(signed(key))
                 spaces.append(space)
@@ -167,12 +165,12 @@ def _describe(docs: DataFrame, text: str, n: int, bands: Bands) -> DataFrame:
             offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
             flat = lambda parts, kind: pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(parts), kind))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(number - len(batch) + 1, number + 1)), batch.column(0), pa.array(size, pa.int64()), pa.array(names, pa.binary()), pa.array(least, pa.int64()), flat(keys, pa.int64()), flat(spaces, pa.int16()), flat(needs, pa.int32())],
-                ["row", "doc_id", "n_grams", "name", "least", "keys", "spaces", "needs"],
+                [pa.array(np.arange(number - len(batch) + 1, number + 1)), batch.column(0), pa.array(size, pa.int64()), pa.array(names, pa.binary()), flat(keys, pa.int64()), flat(spaces, pa.int16()), flat(needs, pa.int32())],
+                ["row", "doc_id", "n_grams", "name", "keys", "spaces", "needs"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text).mapInArrow(run, f"row long, doc_id {kind}, n_grams long, name binary, least long, keys array<long>, spaces array<short>, needs array<int>")
+    return docs.select("doc_id", text).mapInArrow(run, f"row long, doc_id {kind}, n_grams long, name binary, keys array<long>, spaces array<short>, needs array<int>")
 
 
 def _linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -271,7 +269,7 @@ def similar_documents(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, te
     # 1. distinct sets; one row stands for each
     named = base.where("name is not null")
     first = scratch.table(
-        named.groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("row", "doc_id")).alias("of"), F.min("n_grams").alias("n_grams"), F.min("least").alias("least")).select("name", "doc_id", F.col("of.row").alias("row"), F.col("of.doc_id").alias("row_doc"), "n_grams", "least"),
+        named.groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("row", "doc_id")).alias("of"), F.min("n_grams").alias("n_grams")).select("name", "doc_id", F.col("of.row").alias("row"), F.col("of.doc_id").alias("row_doc"), "n_grams"),
         "distinct",
     )
     copies = scratch.table(named.select("row", "name").join(first.select("row"), "row", "left_anti").select("row"), "copies")
@@ -280,16 +278,19 @@ def similar_documents(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, te
     tokens = one.select(F.col("t.keys").alias("key"), "name", F.col("t.spaces").alias("space"), F.col("t.needs").alias("need"))
     # 2. tokens that several sets hold; the window's partition is one token's holders, which spills if it is large
     holders = tokens.withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("held > 1")
-    ranked = holders.withColumn("rank", F.row_number().over(Window.partitionBy("name", "space").orderBy(F.desc("held"), "key"))).where("rank >= need")
-    hits = scratch.table(ranked.select("key", "name"), "hits")
-    # 3. groups of similar sets, dealt into blocks
-    active = hits.select("name").distinct().join(first, "name")
-    active = scratch.table(active, "active")
-    sizes = active.groupBy("least").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n_grams") / BLOCK_GRAMS)).alias("blocks"))
-    member = active.join(sizes, "least").select("name", F.xxhash64("least", F.pmod(F.xxhash64("name"), F.col("blocks"))).alias("block"))
+    widest = Window.partitionBy("name", "space").orderBy(F.desc("held"), "key")
+    top = F.first(F.struct("held", F.bitwise_not("key").alias("last"))).over(widest)
+    ranked = holders.withColumn("rank", F.row_number().over(widest)).withColumn("top", top).where("rank >= need")
+    hits = scratch.table(ranked.select("key", "name", "top"), "hits")
+    # 3. groups of sets with the same most widely shared token, dealt into blocks. Near copies agree on that token even where
+    # each has n-grams of its own, so a group of many copies makes few blocks
+    active = hits.groupBy("name").agg(F.max("top").alias("top")).join(first.select("name", "n_grams"), "name")
+    active = scratch.table(active.select("name", "n_grams", F.col("top.last").alias("token")), "active")
+    sizes = active.groupBy("token").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n_grams") / BLOCK_GRAMS)).alias("blocks"))
+    member = active.join(sizes, "token").select("name", F.xxhash64("token", F.pmod(F.xxhash64("name"), F.col("blocks"))).alias("block"))
     member = scratch.table(member, "members")
     # 4. the matrix, and which groups each query opens; each pair of groups is looked at from one side
-    placed = scratch.table(hits.join(member, "name"), "placed")
+    placed = scratch.table(hits.select("key", "name").join(member, "name"), "placed")
     matrix = placed.select("key", "block").distinct()
     opened = placed.alias("q").join(matrix.alias("m"), "key").where("q.block > m.block").select("name", F.col("m.block").alias("block")).distinct()
     openings = scratch.table(member.withColumn("query", F.lit(False)).unionByName(opened.withColumn("query", F.lit(True))), "openings")
