@@ -19,8 +19,11 @@ one doc_id each keep their own recipe, ordered by content; an empty table makes
 from __future__ import annotations
 
 import hashlib
+import json
+import os
 import zlib
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -28,57 +31,140 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._text import mix
+from tessera.llm._text import Sequences, mix, slices
 from tessera.plans.scratch import Scratch, delete_path
 
 #: Ids that the rolling hash covers, mean, least and greatest chunk length in ids.
 WINDOW, MEAN, LEAST, MOST = 16, 512, 128, 4096
 #: Bytes of a digest.
 DIGEST = 16
-#: Words that a worker remembers before it starts afresh.
-MEMO_WORDS = 350_000
+#: Words that came more than once, and words that came once, that a worker remembers before it starts afresh.
+MEMO_WORDS, MEMO_FRESH = 600_000, 300_000
+#: Marks that the joint encoding of words may cut off.
+_MARKS = tuple(".,;:!?")
 _TABLE = mix(np.arange(1 << 16, dtype=np.uint64))
 
 
-class _Words(dict):
-    """Word -> its ids as little-endian uint32 bytes, encoded by the library at the first lookup."""
-
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.encode = tokenizer.encode
-
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= 64:
-            if len(self) >= MEMO_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
-
-
 class TextEncoder:
-    """Ids of whole texts, by words where the tokenizer treats words apart.
+    """Ids of whole texts by the tokenizers library, each distinct word encoded once.
 
-    If the tokenizer drops white space before it splits and no token can span it (``by_words``), a text's ids
-    are those of its words in order, so each distinct word is encoded once.
+    If the tokenizer drops white space before it splits and no token can span it (``by_words``), a text's ids are those of
+    its words in order. Where it also marks the last token of a run of letters (``</w>``) and splits letters from
+    punctuation, unknown words of letters alone are encoded together in one text, and parted at those marks.
     """
 
     def __init__(self, spec: str, end_id: int):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_str(spec)
         self.end = np.array([end_id], "<u4").tobytes()
         self.size = self.tokenizer.get_vocab_size()
-        self.words = _Words(self.tokenizer)
-        probe = "a  b\n\tc d"
+        self.words: dict[str, bytes] = {}
+        self.fresh: dict[str, bytes] = {}
         pre = self.tokenizer.pre_tokenizer
-        pieces = [p for p, _ in pre.pre_tokenize_str(probe)] if pre else []
+        pieces = [p for p, _ in pre.pre_tokenize_str("a  b\n\tc d")] if pre else []
         self.by_words = pieces == ["a", "b", "c", "d"] and self.tokenizer.post_processor is None
+        pieces = [p for p, _ in pre.pre_tokenize_str("ab. cd, e; f: g! h?")] if pre else []
+        apart = pieces == ["ab", ".", "cd", ",", "e", ";", "f", ":", "g", "!", "h", "?"]
+        self.joint = self.by_words and apart and json.loads(spec)["model"].get("end_of_word_suffix") == "</w>"
+        # the same model for words that need no normalising and no splitting but at spaces
+        self.plain = Tokenizer.from_str(spec)
+        if self.joint:
+            self.plain.normalizer = normalizers.Sequence([])
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        normal = self.tokenizer.normalizer
+        self.lowers = normal is not None and normal.normalize_str("aBZ") == "abz"
+        self.last = np.zeros(self.size, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.last[i] = token.endswith("</w>")
+
+    def _each(self, words: list[str], out: dict[str, bytes]) -> None:
+        for word, found in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+            out[word] = np.array(found.ids, "<u4").tobytes()
+
+    def _together(self, words: list[str], out: dict[str, bytes]) -> None:
+        """Words of letters alone, in the form that normalising gives."""
+        ids = np.array(self.plain.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+        if len(ends) != len(words):  # some letter is none to the library
+            return self._each(words, out)
+        raw, lo = ids.tobytes(), 0
+        for word, hi in zip(words, ends, strict=True):
+            out[word] = raw[4 * lo : 4 * hi]
+            lo = hi
+
+    def learn(self, new: set[str]) -> dict[str, bytes]:
+        """Ids of words that are not known yet (and of the stems they are made of)."""
+        out: dict[str, bytes] = {}
+        if not self.joint:
+            self._each(list(new), out)
+            return out
+        stems, marked, capital, other = set(), [], [], []
+        for word in new:
+            if word.isalpha() and word.isascii() and word.islower():
+                stems.add(word)
+                continue
+            stem = word[:-1] if word[-1:] in _MARKS else word
+            # two letters are lower-cased by context in Python, but not in the library
+            if not stem.isalpha() or not (stem.isascii() or (is_normalized("NFC", stem) and "\u03a3" not in stem and "\u0130" not in stem)):
+                other.append(word)
+                continue
+            if stem is not word:
+                marked.append(word)
+            if self.lowers and not stem.islower():
+                capital.append(stem)
+                stem = stem.lower()
+            stems.add(stem)
+        for stem in stems:
+            known = self.words.get(stem) or self.fresh.get(stem)
+            if known:
+                out[stem] = known
+        unknown = [w for w in stems if w not in out]
+        for lo in range(0, len(unknown), 4096):
+            self._together(unknown[lo : lo + 4096], out)
+        self._each([*other, *_MARKS], out)
+        for word in capital:
+            out[word] = out[word.lower()]
+        for word in marked:
+            out[word] = out[word[:-1]] + out[word[-1]]
+        return out
 
-    def __call__(self, text: str) -> bytes:
-        if self.by_words:
-            return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" "))) + self.end
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + self.end
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text with the end id, as little-endian uint32."""
+        if not self.by_words:
+            return [np.array(x.ids, "<u4").tobytes() + self.end for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        known = self.words.get
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        found = [list(map(known, words)) for words in split]
+        gaps = [_gaps(ids) for ids in found]
+        new = {words[i] for words, at in zip(split, gaps, strict=True) for i in at}
+        if new:
+            # most new words never come again: only those that do move to the lasting memory
+            again = {w: self.fresh.pop(w) for w in new & self.fresh.keys()}
+            learned = self.learn(new - again.keys())
+            learned.update(again)
+            for words, ids, at in zip(split, found, gaps, strict=True):
+                for i in at:
+                    ids[i] = learned[words[i]]
+            if len(self.words) > MEMO_WORDS:
+                self.words.clear()
+            self.words.update(again)
+            if len(self.fresh) > MEMO_FRESH:
+                self.fresh.clear()
+            self.fresh.update((w, learned[w]) for w in new - again.keys())
+        return [b"".join(ids) + self.end for ids in found]
+
+
+def _gaps(items: list) -> list[int]:
+    """Where items are None."""
+    out, at = [], -1
+    try:
+        while True:
+            at = items.index(None, at + 1)
+            out.append(at)
+    except ValueError:
+        return out
 
 
 _LOADED: dict[tuple[str, int], TextEncoder] = {}
@@ -96,11 +182,9 @@ def cuts(ids: np.ndarray, *, mean: int = MEAN, least: int = LEAST, most: int = M
     n = len(ids)
     if n <= least:
         return [n] if n else []
-    value = _TABLE[ids & 0xFFFF] + (ids >> 16).astype(np.uint64)
-    rolled = np.zeros(n, np.uint64)
-    for back in range(min(WINDOW, n)):  # hash of the last WINDOW ids, each shifted by its age
-        rolled[back:] += value[: n - back] << np.uint64(back)
-    marks = np.flatnonzero(rolled >> np.uint64(40) & np.uint64(mean - 1) == 0) + 1
+    seq = Sequences(_TABLE[ids & 0xFFFF] + (ids >> 16).astype(np.uint64))
+    end = np.arange(WINDOW, n + 1)
+    marks = end[seq(end - WINDOW, end) >> np.uint64(40) & np.uint64(mean - 1) == 0]
     out, last = [], 0
     for mark in [*marks.tolist(), n]:
         while mark - last > most:
@@ -143,6 +227,15 @@ def _store_part(pieces: list[tuple[bytes, int, bytes]], recipes: list[tuple], ki
     return pa.RecordBatch.from_arrays(columns, ["kind", "digest", "n_ids", "payload", "doc_id", "n_tokens", "digests"])
 
 
+def _encoded(batch: pa.RecordBatch, encoder: TextEncoder, at_once: int = 1 << 21) -> Iterator[tuple[object, np.ndarray]]:
+    """Key and ids of each row (key, text), encoded in runs of about ``at_once`` bytes of text."""
+    for t in slices(batch.column(1), at_once):
+        texts = [x or "" for x in batch.column(1).slice(t.lo, t.hi - t.lo).to_pylist()]
+        keys = batch.column(0).slice(t.lo, t.hi - t.lo).to_pylist()
+        for key, ids in zip(keys, encoder(texts), strict=True):
+            yield key, np.frombuffer(ids, "<u4")
+
+
 def write_store(docs: DataFrame, path: str, spec: str, *, end_id: int, text: str = "text", doc_id: str = "doc_id") -> str:
     """Encode every whole text and write the store to ``path`` (a folder any executor can reach)."""
     spark = docs.sparkSession
@@ -155,8 +248,7 @@ def write_store(docs: DataFrame, path: str, spec: str, *, end_id: int, text: str
         for batch in batches:
             kind, held = batch.column(0).type, set()
             pieces, recipes, size = [], [], 0
-            for key, value in zip(batch.column(0), batch.column(1), strict=True):
-                ids = np.frombuffer(encoder(value.as_py() or ""), "<u4")
+            for key, ids in _encoded(batch, encoder):
                 names, last = [], 0
                 narrow = ids.astype(store)
                 for end in cuts(ids):
@@ -168,7 +260,7 @@ def write_store(docs: DataFrame, path: str, spec: str, *, end_id: int, text: str
                         pieces.append((name, end - last, payload))
                         size += len(payload)
                     last = end
-                recipes.append((key.as_py(), len(ids), b"".join(names)))
+                recipes.append((key, len(ids), b"".join(names)))
                 if size > 8 << 20:
                     yield _store_part(pieces, recipes, kind)
                     pieces, recipes, size = [], [], 0
@@ -178,7 +270,7 @@ def write_store(docs: DataFrame, path: str, spec: str, *, end_id: int, text: str
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
         run, f"kind int, digest binary, n_ids int, payload binary, doc_id {id_type}, n_tokens long, digests binary"
     )
-    encoded = scratch.table(rows, "encoded", ("kind",))
+    encoded = scratch.table(rows, "encoded", ("kind",), "snappy")  # read once and dropped
     # one copy of each chunk, named by content; any copy is as good as another
     chunks = encoded.where("kind = 0").select("digest", "n_ids", "payload").dropDuplicates(["digest"])
     chunks.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/chunks")
