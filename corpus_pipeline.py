@@ -6,12 +6,14 @@ and read again. All but the last return the columns of ``documents``.
 1. toxicity: documents whose probability of any toxic grade reaches one half go.
 2. language_id: documents without a letter, and those that the best language's model codes worse than ``MOST_BITS`` bits a
    byte, go; a missing ``lang`` is filled in.
-3. ngram_join: of documents linked by Jaccard similarity 0.8 of five-word shingles, the one with the smallest doc_id stays.
+3. ngram_join: of rows linked by Jaccard similarity 0.8 of five-word shingles, one stays: that with the smallest doc_id
+   (nulls last), and of several texts under it the one of least md5.
 4. substring_dedup: words in passages of 50 words that also start in a document with a smaller doc_id go; ``n_chars`` follows, and a
    document that loses all its words goes.
 5. best_fit_packing: what is left is packed into sequences.
 
-Rows with a null doc_id cannot be told apart: they stay in stage 3 unless all their groups have a named document.
+Stage 3 decides for each row by its own text, so a null or repeated doc_id does not tie different texts together; of copies that
+all have a null doc_id one stays.
 """
 
 from __future__ import annotations
@@ -42,14 +44,21 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline-join")
-    groups = scratch.table(ngram_join.similar_documents(docs, n=5, threshold=0.8), "groups")
-    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(broadcast_if_small(gone, gone.count(), 1_000_000), F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
-    repeated = groups.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("__id"))
+    groups = scratch.table(ngram_join.similar_rows(docs, n=5, threshold=0.8), "groups")
+    # a row is known by doc_id and text: equal ones are always in one component
+    linked = groups.where("component is not null")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")
+    stays = linked.groupBy("component").agg(F.min(order).alias("stays"))
+    gone = linked.join(stays, "component").where(~order.eqNullSafe(F.col("stays"))).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct()
+    gone = scratch.table(gone, "gone")
+    copied = F.col("doc_id").isNotNull() | F.col("component").isNotNull()
+    repeated = groups.where(copied).groupBy("doc_id", "key").count().where("count > 1").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"))
+    repeated = scratch.table(repeated, "repeated")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (ngram_join.text_key("text") == F.col("__key"))
+    kept = docs.join(broadcast_if_small(gone, gone.count(), 1_000_000), same, "left_anti")
     n = repeated.count()
     if not n:
         return kept
-    same = F.col("doc_id") == F.col("__id")
     again = kept.join(broadcast_if_small(repeated, n, 1_000_000), same, "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.join(broadcast_if_small(repeated, n, 1_000_000), same, "left_anti").unionByName(again)
 

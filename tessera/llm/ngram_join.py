@@ -33,7 +33,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm._text import Sequences, U, mix, signed, slices, spans, word_hashes
@@ -140,8 +140,8 @@ def _name(grams: np.ndarray) -> bytes:
     return np.array([mix(grams).sum(), mix(grams ^ U(0x5851F42D4C957F2D)).sum() + U(len(grams))], np.uint64).tobytes()
 
 
-def _describe(docs: DataFrame, text: str, n: int, bands: Bands) -> DataFrame:
-    """Per row: ``row, doc_id, n_grams, name`` and the tokens of its set."""
+def _describe(docs: DataFrame, text: str, n: int, bands: Bands, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: ``row, doc_id, n_grams, name``, the tokens of its set and the columns in ``keep``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = (TaskContext.get().partitionId() << 40) - 1  # the output is written before it is used, so row numbers hold
@@ -165,12 +165,13 @@ def _describe(docs: DataFrame, text: str, n: int, bands: Bands) -> DataFrame:
             offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
             flat = lambda parts, kind: pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(parts), kind))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(number - len(batch) + 1, number + 1)), batch.column(0), pa.array(size, pa.int64()), pa.array(names, pa.binary()), flat(keys, pa.int64()), flat(spaces, pa.int16()), flat(needs, pa.int32())],
-                ["row", "doc_id", "n_grams", "name", "keys", "spaces", "needs"],
+                [pa.array(np.arange(number - len(batch) + 1, number + 1)), batch.column(0), pa.array(size, pa.int64()), pa.array(names, pa.binary()), flat(keys, pa.int64()), flat(spaces, pa.int16()), flat(needs, pa.int32()), *batch.columns[2:]],
+                ["row", "doc_id", "n_grams", "name", "keys", "spaces", "needs", *keep],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text).mapInArrow(run, f"row long, doc_id {kind}, n_grams long, name binary, keys array<long>, spaces array<short>, needs array<int>")
+    more = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select("doc_id", text, *keep).mapInArrow(run, f"row long, doc_id {kind}, n_grams long, name binary, keys array<long>, spaces array<short>, needs array<int>{more}")
 
 
 def _linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -256,16 +257,36 @@ def _open_blocks(rows: DataFrame, bands: Bands) -> DataFrame:
     return rows.select("block", "query", "name", "grams").mapInArrow(run, "u binary, v binary")
 
 
+def text_key(text: str) -> Column:
+    """16 bytes that name a text; none for null."""
+    return F.coalesce(F.unhex(F.md5(text)), F.lit(b""))
+
+
 def similar_documents(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``.
 
     Links are pairs whose sets of n-word shingles have Jaccard similarity of at least ``threshold``, tested in whole
     numbers; ``component_id`` is the smallest doc_id reachable by links, the row's own included.
     """
-    spark, bands = docs.sparkSession, _bands(threshold)
-    scratch = Scratch(spark, "ngram-join")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    base = scratch.table(_describe(rows, "text", n, bands), "sets")
+    rows_of, least = _linked_rows(rows, n, threshold)
+    return rows_of.join(least, "component", "left").select("doc_id", F.col("n_grams").alias("n_shingles"), F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def similar_rows(docs: DataFrame, *, n: int = 5, threshold: float = 0.8) -> DataFrame:
+    """``doc_id, key, component`` for every row of ``docs(doc_id, text)``: ``text_key`` and a name of what its links reach.
+
+    Rows without words have a null component. Equal texts always have the same one, whatever their doc_ids.
+    """
+    rows = docs.select("doc_id", "text", text_key("text").alias("key"))
+    return _linked_rows(rows, n, threshold, ("key",))[0].select("doc_id", "key", "component")
+
+
+def _linked_rows(rows: DataFrame, n: int, threshold: float, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, n_grams, name, component`` and the columns in ``keep`` of each row, and the smallest doc_id of each component."""
+    spark, bands = rows.sparkSession, _bands(threshold)
+    scratch = Scratch(spark, "ngram-join")
+    base = scratch.table(_describe(rows, "text", n, bands, keep), "sets")
     # 1. distinct sets; one row stands for each
     named = base.where("name is not null")
     first = scratch.table(
@@ -311,6 +332,6 @@ def similar_documents(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, te
     links = scratch.table(_open_blocks(dealt, bands), "links")
     # 5. components; the smallest doc_id of each
     parts = connected_components(links, "u", "v")
-    rows_of = base.select("doc_id", "n_grams", "name").join(parts.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
+    rows_of = base.select("doc_id", "n_grams", "name", *keep).join(parts.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
     least = first.join(parts.withColumnRenamed("node", "name"), "name", "left").groupBy(F.coalesce("component", "name").alias("component")).agg(F.min("doc_id").alias("component_id"))
-    return rows_of.join(least, "component", "left").select("doc_id", F.col("n_grams").alias("n_shingles"), F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return rows_of, least

@@ -56,6 +56,21 @@ def test_stages_in_turn(spark, tables):
     assert kept.count()
 
 
+def test_near_duplicates_are_removed_by_row(spark):
+    """Rows that share a null or repeated doc_id, but not a text, are decided on their own."""
+    text = {c: " ".join(f"{c}{i}" for i in range(60)) for c in "abcdef"}
+    near = {c: f"{t} more" for c, t in text.items()}
+    rows = [
+        (1, text["a"]), (None, near["a"]), (None, text["b"]),  # a null copy of a named row, and a null row of its own
+        (2, text["c"]), (5, near["c"]), (5, text["d"]),  # 5 is a copy of 2 and also a text of its own
+        (None, text["e"]), (None, text["e"]), (None, near["e"]),  # copies without any name: one stays
+        (7, text["f"]), (7, text["f"]), (7, near["f"]),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
+    got = [(r.doc_id, r.text[0]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([(1, "a"), (None, "b"), (2, "c"), (5, "d"), (None, "e"), (7, "f")], key=str)
+
+
 def test_run_is_the_stages(spark, tables):
     got = corpus_pipeline.run(spark, tables)
     assert got.count() > 0 and "bin_id" in got.columns
