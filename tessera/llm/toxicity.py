@@ -5,7 +5,8 @@ cuts. ``x`` marks which words a text holds (presence, so a long text is not wors
 its length alone), and weights are not negative: a text without any of the words is never worse than another. Words are chosen by proximal gradient steps with an L1 penalty, and the few that are chosen are fitted again
 without it. The score is the expected severity, ``sum_k P(grade > k)``.
 
-The model is fitted on a bounded sample of labelled rows; every text is scored whole.
+The model is fitted on a bounded sample of labelled rows, of which those with the same grade and the same set of words count once, and
+on a bounded number of words (``SAMPLE_TOXIC``, ``SAMPLE_CLEAN``, ``FEATURES``); every text is scored whole.
 
 Defined results: null or empty text has no words and gets the base rates of the cuts; without labels
 nothing is toxic (severity 0); labels without a document, and null labels, are not used; repeated rows
@@ -90,13 +91,14 @@ def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def screen(sample: DataFrame, n1: int, n0: int, *, features: int = FEATURES, least_rows: int = LEAST_ROWS) -> DataFrame:
-    """The words of ``sample(grade, words)`` whose presence differs most between positive and other rows.
+    """The words of ``sample(grade, words)`` that are most more frequent in positive rows than in other ones.
 
-    ``word, a, total``: rows that hold it, positive and all; the greatest absolute z of the two shares come first.
+    ``word, a, total``: rows that hold it, positive and all; the greatest signed z of the two shares come first, because a
+    word that is rarer in positive rows may get no weight and must not take another's place.
     """
     counts = sample.select((F.col("grade") > 0).cast("long").alias("y"), F.explode("words").alias("word")).groupBy("word").agg(F.sum("y").alias("a"), F.count(F.lit(1)).alias("total"))
     pooled = (F.col("total") + 1) / (n1 + n0 + 2)
-    z = F.abs(F.col("a") / max(1, n1) - (F.col("total") - F.col("a")) / max(1, n0)) / F.sqrt(pooled * (1 - pooled))
+    z = (F.col("a") / max(1, n1) - (F.col("total") - F.col("a")) / max(1, n0)) / F.sqrt(pooled * (1 - pooled))
     return counts.where(F.col("total") >= least_rows).orderBy(z.desc(), "word").limit(features)
 
 
@@ -242,9 +244,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, grade: str | None = None, text: s
     texts = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(drawn), "doc_id").select("grade", "text")
     scratch = Scratch(docs.sparkSession, "toxicity")
     held = texts.mapInArrow(_distinct_words, "grade long, words array<long>")
-    # copies of one text would vouch for all of its words: of sampled rows with the same grade and two equal min-hashes one stays
-    held = held.withColumn("a", F.array_min("words")).withColumn("b", F.array_min(F.transform("words", lambda w: F.xxhash64(w))))
-    held = scratch.table(held.dropDuplicates(["grade", "a", "b"]).drop("a", "b"), "sample")
+    # copies of one text would vouch for all of its words: of sampled rows with the same grade and the same words one stays
+    held = scratch.table(held.dropDuplicates(["grade", "words"]), "sample")
     n = {r[0]: r[1] for r in held.groupBy((F.col("grade") > 0).alias("positive")).count().collect()}
     n1, n0 = n.get(True, 0), n.get(False, 0)
     chosen = sorted(tuple(r) for r in screen(held, n1, n0).collect())

@@ -367,6 +367,25 @@ def test_ordinal_model_orders_grades_and_cuts():
     assert np.corrcoef(score, grades)[0, 1] > 0.95
 
 
+def test_toxicity_drops_only_equal_word_sets(spark, monkeypatch):
+    """Texts that share all words but one are rows of their own; equal word sets count once."""
+    common = " ".join(f"w{i}" for i in range(200))
+    texts = [f"{common} x{i}" for i in range(40)] + [f"x0 {common} X0"] + [f"plain y{i}" for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i <= 40)) for i in range(81)], "doc_id long, toxic int")
+    seen = []
+    screen = toxicity.screen
+    monkeypatch.setattr(toxicity, "screen", lambda sample, n1, n0: seen.append((n1, n0)) or screen(sample, n1, n0))
+    toxicity.fit(docs, labels)
+    assert seen == [(40, 40)]
+
+
+def test_screen_prefers_words_of_positive_rows(spark):
+    rows = [(1, [1, 2]), (1, [1]), (1, [1, 3]), (1, [3])] * 5 + [(0, [4, 5, 2]), (0, [4, 5]), (0, [4, 5]), (0, [4, 5, 3])] * 5
+    got = toxicity.screen(spark.createDataFrame(rows, "grade long, words array<long>"), 20, 20, features=2).collect()
+    assert [r.word for r in got] == [1, 3]
+
+
 def test_toxicity_odd_tables(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "you idiot"), (3, "you idiot"), (None, "x")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, None), (None, 1), (99, 1)], "doc_id long, toxic int")
