@@ -63,15 +63,12 @@ def _open_size(length: int, sizes: list[int], cost: Callable[[int], float], leng
             continue
         room, fill = size - length, length
         upto = int(np.searchsorted(lengths, room, "right"))
-        for _ in range(8):  # greedy look-ahead over the longest lengths that fit
-            while upto and (counts[upto - 1] == 0 or lengths[upto - 1] > room):
-                upto -= 1
-            if not upto:
-                break
-            take = min(int(counts[upto - 1]), room // int(lengths[upto - 1]))
-            fill += take * int(lengths[upto - 1])
-            room -= take * int(lengths[upto - 1])
-            upto -= 1
+        while upto:  # greedy look-ahead over the longest lengths that fit, until none does
+            one, n = int(lengths[upto - 1]), int(counts[upto - 1])
+            take = min(n, room // one)
+            fill += take * one
+            room -= take * one
+            upto = min(upto - 1, int(np.searchsorted(lengths, room, "right")))
         if cost(size) / fill < best:
             best, choice = cost(size) / fill, size
     return choice

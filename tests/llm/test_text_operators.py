@@ -424,6 +424,16 @@ def test_plan_is_best_fit():
     assert fills == [10, 10]
 
 
+def test_new_bins_are_judged_by_all_lengths_to_come():
+    """One piece of each length up to 100 fills a bin of 4,096 almost whole; at little cost a token it must not look empty."""
+    lengths, counts = np.arange(1, 101), np.ones(100, np.int64)
+    counts[-1] = 0
+    cost = {512: 1.05 * 512, 4096: 1.02 * 4096}.get
+    assert packing._open_size(100, [512, 4096], cost, lengths, counts) == 4096
+    plan = packing.plan_bins(dict.fromkeys(range(1, 101), 1), (512, 4096), cost)
+    assert plan.bin_capacity.max() == 4096 and plan.bin_fill.sum() == 5050
+
+
 def test_warc_round_trip(spark, sf_dir, tmp_path):
     rows = [(1, "http://a/ b", "<p>x</p>"), (2, None, "<p>x</p>"), (3, "u", None), (4, "u", ""), (5, "http://é", "é" * 5000), (9, "v", "<p>x</p>"), (9, "v", "<p>x</p>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
