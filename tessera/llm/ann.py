@@ -37,8 +37,8 @@ DEGREE, SWEEPS, SLACK = 10, 6, 1.05
 HIDDEN, EPOCHS = 128, 25
 #: Recall on held-out queries that decides how many parts are looked into.
 AIM = 0.96
-#: Entries of a block at most, and queries scored at once.
-BLOCK, AT_ONCE = 8_192, 256
+#: Entries of a block at most, queries scored at once, and exact cosines taken at once.
+BLOCK, AT_ONCE, PAIRS = 8_192, 256, 16_384
 
 
 @dataclass
@@ -250,14 +250,20 @@ def search(df: DataFrame, is_query: Column, *, k: int = 5, vec_id: str = "vec_id
 
 
 def _best(nodes: list[bytes], queries: np.ndarray, block: np.ndarray, owners: list[list], k: int, id_type: pa.DataType) -> pa.RecordBatch:
-    """The k best ids of a block for each query, by exact cosine; a few more are scored so that ties fall right."""
+    """The k best ids of a block for each query, by exact cosine and id; all that may reach the k-th best score are scored."""
     near = unit(queries) @ unit(block).T
-    m = min(len(block), k + 6)
-    top = np.argpartition(-near, m - 1, axis=1)[:, :m] if m < len(block) else np.tile(np.arange(len(block)), (len(queries), 1))
-    score = cosines(np.repeat(queries, m, 0), block[top.ravel()]).reshape(top.shape)
+    m = min(len(block), k)
+    least = np.partition(near, len(block) - m, axis=1)[:, len(block) - m]
+    # rough and exact cosines differ by rounding only, so nothing below the margin can be among the k best
+    margin = 4 * (block.shape[1] + 16) * np.finfo(np.float64).eps
+    of, at = np.nonzero(near >= (least - margin)[:, None])
+    score = np.concatenate([np.zeros(0), *(cosines(queries[of[a : a + PAIRS]], block[at[a : a + PAIRS]]) for a in range(0, len(of), PAIRS))])
+    first = np.searchsorted(of, np.arange(len(queries) + 1))
     out_node, out_id, out_score = [], [], []
-    for node, row, s in zip(nodes, top.tolist(), score.tolist(), strict=True):
-        rows = sorted((-x, i) for j, x in zip(row, s, strict=True) for i in owners[j])[:k]
+    for node, lo, hi in zip(nodes, first[:-1].tolist(), first[1:].tolist(), strict=True):
+        s = score[lo:hi]
+        enough = np.flatnonzero(s >= np.partition(s, len(s) - m)[len(s) - m])
+        rows = sorted((-x, i) for j, x in zip(at[lo:hi][enough].tolist(), s[enough].tolist(), strict=True) for i in owners[j])[:k]
         out_node += [node] * len(rows)
         out_id += [i for _, i in rows]
         out_score += [-x for x, _ in rows]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +88,16 @@ def test_search_recall_and_order(table, rows):
     assert hits >= 0.9 * total
 
 
+def test_ties_at_the_last_rank_go_to_smaller_ids():
+    """40 different vectors with one cosine; the smallest ids come last in the block."""
+    block = np.vstack([2 * np.eye(40), -np.eye(40)[:5]])
+    owners = [[39 - i] for i in range(40)] + [[100 + i] for i in range(5)]
+    for k in (3, 6, 20):
+        got = ann._best([b"q"], np.ones((1, 40)), block, owners, k, pa.int64()).to_pydict()
+        assert got["vec_id"] == list(range(k)) and set(got["node"]) == {b"q"}
+        assert np.allclose(got["score"], 40**-0.5)
+
+
 def test_odd_tables(spark, table):
     empty = table.limit(0)
     assert ann.search(empty, F.col("vec_id") % 5 == 0).count() == 0
