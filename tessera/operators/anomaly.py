@@ -10,7 +10,7 @@ from math import log
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.draws import md5_key
@@ -65,22 +65,68 @@ def _c(n: int) -> float:
     return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
 
 
+_U = np.uint64
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit values that spreads every bit (the finisher of splitmix64)."""
+    h = (h ^ (h >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> _U(27))) * _U(0x94D049BB133111EB)
+    return h ^ (h >> _U(31))
+
+
+def _tree_samples(rows: DataFrame, n_trees: int, size: int, seed: int) -> list[np.ndarray]:
+    """For each tree the values of the ``size`` rows of ``rows(id, x)`` that have the least keys, sorted.
+
+    A key is the first half of the row's md5 key, mixed with the number of the tree. Each task hands on its own least keys.
+    """
+
+    def least(tree: np.ndarray, key: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.lexsort((x, key, tree))
+        tree, key, x = tree[order], key[order], x[order]
+        few = np.arange(len(tree)) - np.searchsorted(tree, tree) < size
+        return tree[few], key[few], x[few]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        salt = _mix(np.arange(1, n_trees + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))[:, None]
+        bound = np.full(n_trees, np.iinfo(np.int64).max)
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        held, waiting = [none], 0
+        for p in batches:
+            h = np.frombuffer(b"".join(p["k"]), ">u8").astype(_U)
+            keys = (_mix(h[None, :] ^ salt) >> _U(1)).astype(np.int64)
+            tree, at = np.nonzero(keys <= bound[:, None])
+            held.append((tree, keys[tree, at], p["x"].to_numpy()[at]))
+            waiting += len(tree)
+            if waiting > 2 * n_trees * size:
+                held, waiting = [least(*map(np.concatenate, zip(*held, strict=True)))], 0
+                tree, key, _ = held[0]
+                last = np.searchsorted(tree, np.arange(n_trees), "right") - 1
+                full = np.bincount(tree, minlength=n_trees) >= size
+                bound[full] = key[last[full]]
+        tree, key, x = least(*map(np.concatenate, zip(*held, strict=True)))
+        yield pd.DataFrame({"tree": tree, "key": key, "x": x})
+
+    keyed = rows.select(F.unhex(F.substring(md5_key(seed, "isolation", F.col("id")), 1, 16)).alias("k"), "x")
+    rank = F.row_number().over(Window.partitionBy("tree").orderBy("key", "x"))
+    found = keyed.mapInPandas(run, "tree long, key long, x double").withColumn("rank", rank).where(F.col("rank") <= size).select("tree", "x")
+    got = found.toPandas()  # n_trees x size rows at most
+    return [np.sort(got["x"].to_numpy()[got["tree"].to_numpy() == t]) for t in range(n_trees)]
+
+
 def isolation_score(df: DataFrame, value: str, id_col: str, *, n_trees: int = 100, subsample_size: int = 256, threshold: float = 0.6, seed: int = 0) -> DataFrame:
     """``id, score, is_outlier`` of a one-dimensional isolation forest: ``2 ** (-mean depth / c(sample))``.
 
-    Trees are built on ``n_trees`` bounded samples of ``subsample_size`` values (rows of least md5 keys per tree), which every
-    executor then applies to its own rows. Agreement with other implementations is statistical.
+    Trees are built on ``n_trees`` samples of ``subsample_size`` values, each drawn from the whole table (rows of least md5 keys,
+    mixed per tree); every executor then applies them to its own rows. Agreement with other implementations is statistical.
     """
     rows = df.where(F.col(value).isNotNull()).select(F.col(id_col).alias("id"), F.col(value).cast("double").alias("x"))
     n = rows.count()
     size = min(subsample_size, n)
-    pool = rows.withColumn("k", md5_key(seed, "isolation", F.col("id"))).orderBy("k", "id").limit(min(n, 16 * subsample_size)).select("x")
-    values = np.array([r[0] for r in pool.collect()])  # at most 16 samples' worth
     rng = np.random.default_rng(seed)
     depth_limit = int(np.ceil(np.log2(max(size, 2))))
     trees = []
-    for _ in range(n_trees if n else 0):
-        sample = np.sort(rng.choice(values, size, replace=False))
+    for sample in _tree_samples(rows, n_trees, size, seed) if n else []:
         cuts: list[tuple[float, float, float]] = []  # (from, to, depth): a tree on a line is a row of intervals
         stack = [(sample, -np.inf, np.inf, 0)]
         while stack:

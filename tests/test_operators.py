@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 from collections import Counter
@@ -199,6 +200,24 @@ def test_anomalies(spark):
     assert iso.id == 50 and iso.is_outlier
 
 
+def test_isolation_trees_draw_from_the_whole_table(spark):
+    """Values differ only outside the 4,096 rows of least md5 key: trees that see only those rows could not part any."""
+    n = 6_000
+    least = set(sorted(range(n), key=lambda i: hashlib.md5(f"0|isolation|{i}".encode()).hexdigest())[:4096])
+    rows = [(i, 1.0 if i in least else 2.0 + i) for i in range(n)]
+    df = spark.createDataFrame(rows, "id long, x double").repartition(7)
+    score = {r.id: r.score for r in anomaly.isolation_score(df, "x", "id").collect()}
+    assert len(score) == n and score[max(set(range(n)) - least)] > score[min(least)] + 0.05
+    # each tree's rows are those of least key, whatever the partitions and batches
+    h = np.array([int(hashlib.md5(f"3|isolation|{i}".encode()).hexdigest()[:16], 16) for i in range(n)], np.uint64)
+    ids = spark.range(n).select("id", F.col("id").cast("double").alias("x"))
+    got = anomaly._tree_samples(ids.repartition(3), 20, 50, 3)
+    for t, sample in enumerate(got):
+        salt = anomaly._mix(np.array([t + 1], np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        assert sample.tolist() == sorted(np.argsort(anomaly._mix(h ^ salt) >> np.uint64(1), kind="stable")[:50].tolist())
+    assert len(np.unique(np.concatenate(got))) > 900
+
+
 BLOBS = [(i, [1 + 0.1 * (i % 2), 1 + 0.1 * (i // 2)]) for i in range(4)] + [(4 + i, [9 + 0.1 * (i % 2), 9 + 0.1 * (i // 2)]) for i in range(4)]
 
 
