@@ -48,7 +48,7 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-_BYTE_POWERS, _WORD_POWERS = _Powers(_BASE), _Powers(_BASE2)
+_BYTE_POWERS, _WORD_POWERS, _CHECK_POWERS = _Powers(_BASE), _Powers(_BASE2), _Powers(0x8EBC6AF09C88C6E3)
 
 _SYMBOL = mix(np.arange(256, dtype=U) + U(977))
 _FOLD = np.arange(256)
@@ -116,10 +116,10 @@ def spans(texts: Texts, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarr
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word; ``lower`` folds A-Z first."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, check: bool = False) -> np.ndarray:
+    """A 64-bit hash of each word; ``lower`` folds A-Z first, ``check`` takes another base for a second, independent hash."""
     n = len(data)
-    up, down = _BYTE_POWERS(n + 1)
+    up, down = (_CHECK_POWERS if check else _BYTE_POWERS)(n + 1)
     prefix = np.zeros(n + 1, U)
     np.cumsum((_SYMBOL_LOWER if lower else _SYMBOL)[data] * up[:n], out=prefix[1:])
     return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(U) * _STEP)

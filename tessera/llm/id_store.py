@@ -23,6 +23,7 @@ import json
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 from unicodedata import is_normalized
 
 import numpy as np
@@ -31,26 +32,96 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._text import Sequences, mix, slices
+from tessera.llm._text import Sequences, Texts, mix, slices, spans, word_hashes
 from tessera.plans.scratch import Scratch, delete_path
 
 #: Ids that the rolling hash covers, mean, least and greatest chunk length in ids.
 WINDOW, MEAN, LEAST, MOST = 16, 512, 128, 4096
 #: Bytes of a digest.
 DIGEST = 16
-#: Words that came more than once, and words that came once, that a worker remembers before it starts afresh.
-MEMO_WORDS, MEMO_FRESH = 600_000, 300_000
+#: Words that a worker remembers before it keeps only those that came again; longer words (in bytes) are not remembered.
+MEMO_WORDS, MEMO_BYTES = 1_000_000, 256
 #: Marks that the joint encoding of words may cut off.
 _MARKS = tuple(".,;:!?")
+_MARK_NUMBER = np.zeros(256, np.int64)
+_MARK_NUMBER[[ord(c) for c in _MARKS]] = np.arange(1, len(_MARKS) + 1)
+_UPPER = np.zeros(256, bool)
+_UPPER[65:91] = True
+_LETTER = _UPPER | np.roll(_UPPER, 32)
 _TABLE = mix(np.arange(1 << 16, dtype=np.uint64))
 
 
+class _Memo:
+    """Ids of words by two 64-bit hashes of their bytes: sorted keys in two levels, and one flat array of ids."""
+
+    def __init__(self, fixed: list[list[int]]):
+        """``fixed``: ids of the first slots, which have no key."""
+        self.fixed = fixed
+        self._clear()
+
+    def _clear(self) -> None:
+        self.levels = [(np.zeros(0, np.uint64), np.zeros(0, np.int64)) for _ in range(2)]
+        self.check, self.again = np.zeros(len(self.fixed), np.uint64), np.zeros(len(self.fixed), bool)
+        self.size = np.array([len(x) for x in self.fixed], np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.flat = np.array([i for x in self.fixed for i in x], np.uint32)
+
+    def find(self, keys: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """The slot of each key, -1 where it is not known."""
+        out = np.full(len(keys), -1)
+        for known, slots in self.levels:
+            if len(known):
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                hit = (known[at] == keys) & (self.check[slots[at]] == check)
+                out[hit] = slots[at[hit]]
+        return out
+
+    def add(self, keys: np.ndarray, check: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Slots of new words."""
+        slots = np.arange(len(self.first), len(self.first) + len(keys))
+        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.size = np.concatenate([self.size, sizes])
+        self.flat = np.concatenate([self.flat, ids])
+        self.check = np.concatenate([self.check, check])
+        self.again = np.concatenate([self.again, np.zeros(len(keys), bool)])
+        self.levels[1] = self._merged(self.levels[1], (keys, slots))
+        if 4 * len(self.levels[1][0]) > len(self.levels[0][0]):
+            self.levels = [self._merged(*self.levels), (np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+        return slots
+
+    @staticmethod
+    def _merged(a: tuple, b: tuple) -> tuple:
+        keys, slots = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+        order = np.argsort(keys, kind="stable")
+        return keys[order], slots[order]
+
+    def gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of slots in order, and where those of each begin (one more at the end)."""
+        sizes = self.size[slots]
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        return self.flat[np.repeat(self.first[slots] - at[:-1], sizes) + np.arange(at[-1])], at
+
+    def shrink(self) -> None:
+        """Beyond ``MEMO_WORDS``, forget words that came in one batch only."""
+        if len(self.first) <= MEMO_WORDS:
+            return
+        keys, slots = self._merged(*self.levels)
+        keep = self.again[slots]
+        keys, slots = keys[keep], slots[keep]
+        if 2 * len(keys) > MEMO_WORDS:
+            return self._clear()
+        check, sizes, ids = self.check[slots], self.size[slots], self.gather(slots)[0]
+        self._clear()
+        self.add(keys, check, sizes, ids)
+
+
 class TextEncoder:
     """Ids of whole texts by the tokenizers library, each distinct word encoded once.
 
     If the tokenizer drops white space before it splits and no token can span it (``by_words``), a text's ids are those of
-    its words in order. Where it also marks the last token of a run of letters (``</w>``) and splits letters from
-    punctuation, unknown words of letters alone are encoded together in one text, and parted at those marks.
+    its words in order: words are hashed and looked up in Arrow buffers, and only unknown ones become strings. Where it also
+    marks the last token of a run of letters (``</w>``) and splits letters from punctuation (``joint``), a mark after ASCII letters is a
+    word by itself, and unknown words of letters alone are encoded together in one text, and parted at those marks.
     """
 
     def __init__(self, spec: str, end_id: int):
@@ -58,13 +129,10 @@ class TextEncoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_str(spec)
-        self.end = np.array([end_id], "<u4").tobytes()
         self.size = self.tokenizer.get_vocab_size()
-        self.words: dict[str, bytes] = {}
-        self.fresh: dict[str, bytes] = {}
         pre = self.tokenizer.pre_tokenizer
-        pieces = [p for p, _ in pre.pre_tokenize_str("a  b\n\tc d")] if pre else []
-        self.by_words = pieces == ["a", "b", "c", "d"] and self.tokenizer.post_processor is None
+        pieces = [p for p, _ in pre.pre_tokenize_str("a  b\n\tc d\re\x0bf\x0cg")] if pre else []
+        self.by_words = pieces == list("abcdefg") and self.tokenizer.post_processor is None
         pieces = [p for p, _ in pre.pre_tokenize_str("ab. cd, e; f: g! h?")] if pre else []
         apart = pieces == ["ab", ".", "cd", ",", "e", ";", "f", ":", "g", "!", "h", "?"]
         self.joint = self.by_words and apart and json.loads(spec)["model"].get("end_of_word_suffix") == "</w>"
@@ -78,93 +146,109 @@ class TextEncoder:
         self.last = np.zeros(self.size, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.last[i] = token.endswith("</w>")
-
-    def _each(self, words: list[str], out: dict[str, bytes]) -> None:
-        for word, found in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            out[word] = np.array(found.ids, "<u4").tobytes()
-
-    def _together(self, words: list[str], out: dict[str, bytes]) -> None:
-        """Words of letters alone, in the form that normalising gives."""
-        ids = np.array(self.plain.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
-        if len(ends) != len(words):  # some letter is none to the library
-            return self._each(words, out)
-        raw, lo = ids.tobytes(), 0
-        for word, hi in zip(words, ends, strict=True):
-            out[word] = raw[4 * lo : 4 * hi]
-            lo = hi
-
-    def learn(self, new: set[str]) -> dict[str, bytes]:
-        """Ids of words that are not known yet (and of the stems they are made of)."""
-        out: dict[str, bytes] = {}
+        self.memo = _Memo([[end_id], *(self.tokenizer.encode(m, add_special_tokens=False).ids for m in _MARKS)])
+
+    def _each(self, words: list[str]) -> list[list[int]]:
+        return [found.ids for found in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each word and all ids; words of letters alone, in the form that normalising gives."""
+        sizes, parts = [], []
+        for lo in range(0, len(words), 4096):
+            some = words[lo : lo + 4096]
+            ids = np.array(self.plain.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(some):  # some letter is none to the library
+                size, ids = _flat(self._each(some))
+            else:
+                size = np.diff(ends, prepend=0)
+            sizes.append(size)
+            parts.append(ids.astype(np.uint32))
+        return np.concatenate([np.zeros(0, np.int64), *sizes]), np.concatenate([np.zeros(0, np.uint32), *parts])
+
+    def _others(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each word and all ids; any words."""
         if not self.joint:
-            self._each(list(new), out)
-            return out
-        stems, marked, capital, other = set(), [], [], []
-        for word in new:
-            if word.isalpha() and word.isascii() and word.islower():
-                stems.add(word)
-                continue
-            stem = word[:-1] if word[-1:] in _MARKS else word
+            return _flat(self._each(words))
+        # what each word is made of: a stem of letters that needs no normalising, and a mark after it
+        stems, made, other = {}, [], []
+        for word in words:
+            mark = word[-1] if word[-1] in _MARKS else ""
+            stem = word[:-1] if mark else word
             # two letters are lower-cased by context in Python, but not in the library
             if not stem.isalpha() or not (stem.isascii() or (is_normalized("NFC", stem) and "\u03a3" not in stem and "\u0130" not in stem)):
+                made.append((None, len(other)))
                 other.append(word)
                 continue
-            if stem is not word:
-                marked.append(word)
-            if self.lowers and not stem.islower():
-                capital.append(stem)
-                stem = stem.lower()
-            stems.add(stem)
-        for stem in stems:
-            known = self.words.get(stem) or self.fresh.get(stem)
-            if known:
-                out[stem] = known
-        unknown = [w for w in stems if w not in out]
-        for lo in range(0, len(unknown), 4096):
-            self._together(unknown[lo : lo + 4096], out)
-        self._each([*other, *_MARKS], out)
-        for word in capital:
-            out[word] = out[word.lower()]
-        for word in marked:
-            out[word] = out[word[:-1]] + out[word[-1]]
-        return out
+            made.append((mark, stems.setdefault(stem.lower() if self.lowers else stem, len(stems))))
+        sizes, ids = self._letters(list(stems))
+        ends = np.cumsum(sizes)
+        of_stem = [ids[a:b].tolist() for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+        of_other, of_mark = self._each(other), {m: list(x) for m, x in zip(_MARKS, self.memo.fixed[1:], strict=True)}
+        return _flat([of_other[i] if mark is None else of_stem[i] + of_mark[mark] if mark else of_stem[i] for mark, i in made])
+
+    def _slots(self, texts: Texts, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """The memo's slots of the words, marks and end ids in order, and where those of each text begin; None if two words share a hash."""
+        data, marks = texts.data, np.zeros(len(starts), np.int64)
+        if self.joint:
+            other = np.concatenate([[0], np.cumsum(~_LETTER[data])])
+            marks = _MARK_NUMBER[data[ends - 1]] * (ends - starts > 1)
+            cut = ends - (marks > 0)
+            plain = other[cut] == other[starts]
+            marks = marks * plain
+            ends = np.where(plain, cut, ends)
+            if self.lowers:
+                within = np.zeros(len(data) + 1, np.int8)
+                within[starts[plain]] = 1
+                within[ends[plain]] -= 1
+                data = np.where(_UPPER[data] & (np.cumsum(within[:-1], dtype=np.int8) > 0), data + np.uint8(32), data)
+        key, check = (word_hashes(data, starts, ends, check=c) for c in (False, True))
+        keys, at, inverse = np.unique(key, return_index=True, return_inverse=True)
+        checks = check[at]
+        if not np.array_equal(checks[inverse], check):
+            return None
+        slots = self.memo.find(keys, checks)
+        new = np.flatnonzero(slots < 0)
+        self.memo.again[slots[slots >= 0]] = True
+        raw = data.tobytes()
+        letters = plain[at[new]] if self.joint else np.zeros(len(new), bool)
+        for some, learn in ((new[letters], self._letters), (new[~letters], self._others)):
+            if len(some):
+                words = [raw[a:b].decode() for a, b in zip(starts[at[some]].tolist(), ends[at[some]].tolist(), strict=True)]
+                slots[some] = self.memo.add(keys[some], checks[some], *learn(words))
+        marked = np.flatnonzero(marks)
+        out = np.insert(slots[inverse], np.concatenate([marked + 1, first[1:]]), np.concatenate([marks[marked], np.zeros(len(first) - 1, np.int64)]))
+        return out, first + np.searchsorted(marked, first) + np.arange(len(first))
+
+    def _rows(self, texts: list[str]) -> Iterator[np.ndarray]:
+        for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            yield np.array([*found.ids, self.memo.fixed[0][0]], np.uint32)
+
+    def __call__(self, column: pa.Array, at_once: int = 1 << 21) -> Iterator[np.ndarray]:
+        """The ids of each text with the end id, encoded in runs of about ``at_once`` bytes of text."""
+        for texts in slices(column, at_once):
+            rows = column.slice(texts.lo, texts.hi - texts.lo)
+            starts, ends, first = spans(texts)
+            # very long words are left to the library with their whole text: their hashes could be made to meet
+            if not self.by_words or (len(starts) and int((ends - starts).max()) > MEMO_BYTES):
+                for i in range(len(rows)):
+                    plain = self.by_words and not (ends[first[i] : first[i + 1]] - starts[first[i] : first[i + 1]] > MEMO_BYTES).any()
+                    yield from self(rows.slice(i, 1)) if plain else self._rows([rows[i].as_py() or ""])
+                continue
+            found = self._slots(texts, starts, ends, first)
+            if found is None:
+                yield from self._rows([x or "" for x in rows.to_pylist()])
+                continue
+            ids, at = self.memo.gather(found[0])
+            bounds = at[found[1]].tolist()
+            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                yield ids[lo:hi]
+            self.memo.shrink()
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text with the end id, as little-endian uint32."""
-        if not self.by_words:
-            return [np.array(x.ids, "<u4").tobytes() + self.end for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        known = self.words.get
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        found = [list(map(known, words)) for words in split]
-        gaps = [_gaps(ids) for ids in found]
-        new = {words[i] for words, at in zip(split, gaps, strict=True) for i in at}
-        if new:
-            # most new words never come again: only those that do move to the lasting memory
-            again = {w: self.fresh.pop(w) for w in new & self.fresh.keys()}
-            learned = self.learn(new - again.keys())
-            learned.update(again)
-            for words, ids, at in zip(split, found, gaps, strict=True):
-                for i in at:
-                    ids[i] = learned[words[i]]
-            if len(self.words) > MEMO_WORDS:
-                self.words.clear()
-            self.words.update(again)
-            if len(self.fresh) > MEMO_FRESH:
-                self.fresh.clear()
-            self.fresh.update((w, learned[w]) for w in new - again.keys())
-        return [b"".join(ids) + self.end for ids in found]
-
-
-def _gaps(items: list) -> list[int]:
-    """Where items are None."""
-    out, at = [], -1
-    try:
-        while True:
-            at = items.index(None, at + 1)
-            out.append(at)
-    except ValueError:
-        return out
+
+def _flat(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+    return sizes, np.fromiter(chain.from_iterable(rows), np.uint32, int(sizes.sum()))
 
 
 _LOADED: dict[tuple[str, int], TextEncoder] = {}
@@ -227,15 +311,6 @@ def _store_part(pieces: list[tuple[bytes, int, bytes]], recipes: list[tuple], ki
     return pa.RecordBatch.from_arrays(columns, ["kind", "digest", "n_ids", "payload", "doc_id", "n_tokens", "digests"])
 
 
-def _encoded(batch: pa.RecordBatch, encoder: TextEncoder, at_once: int = 1 << 21) -> Iterator[tuple[object, np.ndarray]]:
-    """Key and ids of each row (key, text), encoded in runs of about ``at_once`` bytes of text."""
-    for t in slices(batch.column(1), at_once):
-        texts = [x or "" for x in batch.column(1).slice(t.lo, t.hi - t.lo).to_pylist()]
-        keys = batch.column(0).slice(t.lo, t.hi - t.lo).to_pylist()
-        for key, ids in zip(keys, encoder(texts), strict=True):
-            yield key, np.frombuffer(ids, "<u4")
-
-
 def write_store(docs: DataFrame, path: str, spec: str, *, end_id: int, text: str = "text", doc_id: str = "doc_id") -> str:
     """Encode every whole text and write the store to ``path`` (a folder any executor can reach)."""
     spark = docs.sparkSession
@@ -248,7 +323,7 @@ def write_store(docs: DataFrame, path: str, spec: str, *, end_id: int, text: str
         for batch in batches:
             kind, held = batch.column(0).type, set()
             pieces, recipes, size = [], [], 0
-            for key, ids in _encoded(batch, encoder):
+            for key, ids in zip(batch.column(0).to_pylist(), encoder(batch.column(1)), strict=True):
                 names, last = [], 0
                 narrow = ids.astype(store)
                 for end in cuts(ids):
@@ -302,21 +377,32 @@ def _split(digests: bytes) -> list[bytes]:
 
 
 def _part_roots(recipes: DataFrame) -> DataFrame:
-    """The Merkle root of each recipe part, over its documents in order, in streaming form."""
+    """The Merkle root of each recipe part, over its documents in order, in streaming form: each one's place, key and chunk list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: dict[int, tuple[hashlib.blake2b, int]] = {}
+        state: dict[int, hashlib.blake2b] = {}
         for batch in batches:
-            for part, start, root in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for part, start, n_tokens, key, digests, root in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if merkle(_split(digests)) != root:
+                    raise ValueError("a document's root does not follow from its recipe")
                 if part not in state:
-                    state[part] = hashlib.blake2b(b"part", digest_size=DIGEST), 0
-                state[part][0].update(start.to_bytes(8, "little") + root)
-        yield pa.RecordBatch.from_arrays([pa.array(list(state), pa.int32()), pa.array([h.digest() for h, _ in state.values()], pa.binary())], ["part", "root"])
+                    state[part] = hashlib.blake2b(b"part", digest_size=DIGEST)
+                name = b"" if key is None else b"key" + key.encode()
+                state[part].update(start.to_bytes(8, "little") + n_tokens.to_bytes(8, "little") + len(name).to_bytes(8, "little") + name + root)
+        yield pa.RecordBatch.from_arrays([pa.array(list(state), pa.int32()), pa.array([h.digest() for h in state.values()], pa.binary())], ["part", "root"])
 
-    spread = recipes.select("part", "start", "root").repartition("part").sortWithinPartitions("part", "start", "root")
+    spread = recipes.select("part", "start", "n_tokens", F.col("doc_id").cast("string").alias("key"), "digests", "root").repartition("part").sortWithinPartitions("part", "start", "root")
     return spread.mapInArrow(run, "part int, root binary")
 
 
+def _bad_roots(spark: SparkSession, path: str, recipes: DataFrame) -> tuple[int, int]:
+    """Recipe parts whose root is not the manifest's, and whether the store's root does not follow from those of its parts."""
+    said = spark.read.parquet(f"{path}/manifest")
+    parts = said.where("part >= 0").alias("a").join(_part_roots(recipes).alias("b"), "part", "full").where("a.root is null or b.root is null or a.root <> b.root").count()
+    roots = [bytes(r[0]) for r in said.orderBy("part").select("root").collect()]  # one for each recipe file, and the store's
+    return parts, int(not roots or roots[0] != merkle(roots[1:]))
+
+
 def _write_manifest(spark: SparkSession, path: str, parts: DataFrame) -> None:
     roots = _part_roots(spark.read.parquet(f"{path}/recipes"))
     table = parts.join(roots, "part").select("part", "documents", "tokens", "root").orderBy("part").toPandas()
@@ -330,11 +416,7 @@ def _write_manifest(spark: SparkSession, path: str, parts: DataFrame) -> None:
 def verify_store(spark: SparkSession, path: str) -> dict[str, int]:
     """Recompute all Merkle roots and chunk names; counts of what does not agree (all 0 for a sound store)."""
     recipes = spark.read.parquet(f"{path}/recipes")
-    said = spark.read.parquet(f"{path}/manifest")
-    found = _part_roots(recipes)
-    bad_parts = said.where("part >= 0").alias("a").join(found.alias("b"), "part", "full").where("a.root is null or b.root is null or a.root <> b.root").count()
-    table = said.orderBy("part").toPandas()
-    bad_store = int(bytes(table["root"].iloc[0]) != merkle([bytes(x) for x in table["root"].iloc[1:]]))
+    bad_parts, bad_store = _bad_roots(spark, path, recipes)
     chunks = read_chunks(spark, path)
     bad_chunks = chunks.where(~F.col("sound")).count()
     names = recipes.select(F.explode(_digest_list()).alias("digest"))
@@ -404,10 +486,12 @@ def combine_crc(crc: np.ndarray, next_crc: np.ndarray, next_ids: np.ndarray) ->
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """Per document, from the files alone: ``doc_id, start, n_tokens, ids_crc32``.
 
-    Each chunk is read, checked against its name and summed once, however many documents share it; documents
+    The recipes are held against the manifest's Merkle roots first; a store that does not agree is refused (ValueError). Each chunk is read, checked against its name and summed once, however many documents share it; documents
     fetch the sums of their chunks and join them, so the ids themselves are not shuffled.
     """
     recipes = spark.read.parquet(f"{path}/recipes")
+    if any(_bad_roots(spark, path, recipes)):
+        raise ValueError("recipes and manifest of the store do not agree")
     uses = recipes.select("start", "doc_id", "n_tokens", F.posexplode(_digest_list()).alias("pos", "digest"))
     chunks = read_chunks(spark, path).select("digest", "n_ids", F.when(F.col("sound"), F.col("crc")).otherwise(F.raise_error(F.lit("a chunk's bytes do not have its name")).cast("long")).alias("crc"))
     # a chunk that very many documents share is one key: such joins are split by Spark's skew handling
