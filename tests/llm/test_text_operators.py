@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,6 +100,23 @@ def test_ngram_join_blocks_bound_memory_not_results(docs, rows, monkeypatch):
     assert sorted(((r.doc_id is not None, r.doc_id or 0), r.n_shingles, r.component_id) for r in got) == components(rows, 3, 8, 10)
 
 
+def test_ngram_join_of_a_large_group(spark, monkeypatch):
+    """Copies with few or many edits of one text, most of them linked through the text only, and copies of copies."""
+    rng = random.Random(11)
+    base = words(rng, 120, 10**6)
+    texts = [" ".join(base)]
+    for i in range(160):
+        source = texts[rng.randrange(len(texts))].split() if i % 4 == 0 else base
+        texts.append(" ".join(edited(rng, source, rng.choice([0.005, 0.02, 0.03, 0.05]))))
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)] + [(500, None, None, None, None), (501, texts[0], "en", "s", 0)]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({"key": F.lit("k"), "block": F.lit(1), "n_grams": F.lit(2)}).repartition(3)
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 16)
+    monkeypatch.setattr(ngram_join, "BLOCK_QUERIES", 8)
+    monkeypatch.setattr(ngram_join, "PILOTS", 4)
+    got = ngram_join.similar_documents(docs, n=5, threshold=0.8).collect()
+    assert sorted(((r.doc_id is not None, r.doc_id or 0), r.n_shingles, r.component_id) for r in got) == components(rows, 5, 8, 10)
+
+
 def test_ngram_join_of_nothing(spark):
     assert ngram_join.similar_documents(spark.createDataFrame([], DOCS)).count() == 0
 
@@ -235,6 +253,50 @@ def test_id_store_round_trip(spark, docs, rows, tmp_path):
     assert stored.count() == stored.select("digest").distinct().count()
 
 
+def nasty_texts(rng):
+    """Texts of letters in all cases, marks, digits, symbols, marks that combine, and all kinds of white space."""
+    parts = ["the", "The", "THE", "a.", "B!", "x,y", "...", "don't", "été", "Été,", "e\u0301t", "\u03a3as", "\u0130x", "naïve.", "7", "3.14", "<br/>", "日本語", "\U0001f600", ".", "z" * 300, "q" * 300 + "."]
+    gaps = [" ", "  ", "\n", "\t", "\r\n", "\x0b", "\x0c", "\u00a0", "\u2003"]
+    out = ["", " ", "\n", None, "Word", "end."]
+    for _ in range(60):
+        out.append("".join(rng.choice(parts + ["".join(rng.choices("abcXYZé.,", k=rng.randrange(1, 9)))]) + rng.choice(gaps) for _ in range(rng.randrange(1, 40))))
+    return out
+
+
+@pytest.mark.parametrize("most", [id_store.MEMO_WORDS, 20])
+def test_encoder_equals_the_library(monkeypatch, most):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(id_store, "MEMO_WORDS", most)
+    spec = open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()
+    library, encoder = Tokenizer.from_str(spec), id_store.TextEncoder(spec, 2)
+    texts = nasty_texts(random.Random(5))
+    for at_once in (1, 300, 1 << 21):
+        got = [x.tolist() for x in encoder(pa.array(texts, pa.string()), at_once)]
+        assert got == [[*library.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+
+
+def test_id_store_refuses_what_its_manifest_does_not_hold(spark, docs, tmp_path):
+    spec = open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()
+    path = f"file://{tmp_path}/store"
+    # columns of any name beside those that are read
+    id_store.write_store(docs.withColumns({"digest": F.lit(1), "part": F.lit(2), "root": F.lit("x")}), path, spec, end_id=2)
+    assert id_store.read_digests(spark, path).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+    recipes = spark.read.parquet(f"{path}/recipes")
+    changes = [
+        recipes.withColumn("doc_id", F.when(F.col("start") == 0, F.lit(-5).cast("long")).otherwise(F.col("doc_id"))),
+        recipes.withColumn("digests", F.concat(F.substring("digests", 17, 1 << 30), F.substring("digests", 1, 16))),
+        recipes.where("start > 0"),
+    ]
+    for i, changed in enumerate(changes):
+        other = f"file://{tmp_path}/other{i}"
+        spark.read.parquet(f"{path}/chunks").write.parquet(f"{other}/chunks")
+        spark.read.parquet(f"{path}/manifest").write.parquet(f"{other}/manifest")
+        changed.write.parquet(f"{other}/recipes")
+        with pytest.raises(Exception, match="agree|root"):
+            id_store.read_digests(spark, other)
+
+
 def test_id_store_of_nothing(spark, tmp_path):
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
         spec = f.read()
