@@ -12,10 +12,11 @@ document has tokens for its own band and for the one below.
 3. Similar sets are put in groups (by the most widely shared token they hold); large groups are dealt into blocks of bounded
    size. Each block links its members, and each member of a large group is compared with the group's pilots, the few
    members whose tokens are held most widely. So a group of f near copies becomes few components at a cost of O(f).
-4. The matrix holds the union of the tokens of each block. A query's candidate blocks are those that share a token which
+4. The matrix holds the union of the tokens of each group. A query's candidate groups are those that share a token which
    may find candidates, seen from the side of the fewer: under each token, sets of the component that holds it most are never queries,
-   for among themselves they are connected already. The number of a query's tokens in a block's union bounds its overlap with any
-   member; only blocks that reach r are opened, and there the exact overlap with each member of another component decides.
+   for among themselves they are connected already. The number of a query's tokens in a group's union bounds its overlap with any
+   member; only groups that reach r are opened, but for their blocks of the query's own component, and there the exact overlap with
+   each member of another component decides.
 5. Links give connected components.
 
 Nothing is dropped or capped: skipped tokens cannot hide a pair (the rarest of the r common tokens is kept on both
@@ -387,9 +388,9 @@ def _linked_rows(rows: DataFrame, n: int, threshold: float, keep: tuple[str, ...
     member = scratch.table(member, "members")
     near = scratch.table(_open_blocks(_dealt(_first_look(member), sources, first, n), bands, True), "near")
     parts = connected_components(near, "u", "v").select(F.col("node").alias("set"), "component")
-    placed = member.select("set", "block").join(parts, "set", "left").select("set", "block", F.coalesce("component", "set").alias("component"))
+    placed = member.select("set", "token", "block", "blocks").join(parts, "set", "left").select("set", F.col("token").alias("group"), "block", "blocks", F.coalesce("component", "set").alias("component"))
     placed = scratch.table(placed, "placed")
-    # 4. the matrix, and which blocks each query opens
+    # 4. the matrix, and which groups each query opens
     opened = scratch.table(_qualifying(hits, placed, scratch), "opened")
     far = scratch.table(_open_blocks(_dealt(_second_look(opened, placed), sources, first, n), bands, False), "far")
     # 5. components; the smallest doc_id of each
@@ -420,23 +421,26 @@ def _first_look(member: DataFrame) -> DataFrame:
 
 
 def _qualifying(hits: DataFrame, placed: DataFrame, scratch: Scratch) -> DataFrame:
-    """``set, block, component``: blocks whose token union has as many of a set's tokens as a linked member of another component would."""
+    """``set, block, component``: the blocks of each group whose token union has as many of a set's tokens as a linked member would."""
     finds = hits.where("finds").select("key", "set").join(placed, "set")
     # under a token, the sets of the component with most holders are never queries: they are connected among themselves
     most = finds.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("most"), F.count(F.lit(1)).alias("parts"))
     live = finds.join(most.where("parts > 1").select("key", "most"), "key").withColumn("inner", F.col("component") == F.col("most")).drop("most")
     live = scratch.table(live, "live")
-    cells = live.groupBy("key", F.col("block").alias("to")).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("inner").alias("any_inner"))
-    # a pair of blocks whose sets all are queries is looked at from one side
-    other = (F.col("block") != F.col("to")) & (F.col("any_inner") | (F.col("block") > F.col("to"))) & ((F.col("lo") != F.col("hi")) | (F.col("lo") != F.col("component")))
-    candidates = live.where("not inner").join(cells, "key").where(other).select("set", "component", F.col("to").alias("block")).distinct()
-    candidates = scratch.table(candidates, "candidates")
+    cells = live.groupBy("key", F.col("group").alias("to")).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("inner").alias("any_inner"))
+    # two groups whose sets all are queries are looked at from one side; a group of one block is known within
+    side = F.when(F.col("group") == F.col("to"), F.col("blocks") > 1).otherwise(F.col("any_inner") | (F.col("group") > F.col("to")))
+    candidates = live.where("not inner").join(cells, "key").where(side & ((F.col("lo") != F.col("hi")) | (F.col("lo") != F.col("component"))))
+    candidates = scratch.table(candidates.select("set", "component", "block", F.col("to").alias("group")).distinct(), "candidates")
     scratch.drop("live")
-    places = placed.select("set", "block").join(candidates.select("block").distinct(), "block", "left_semi")
-    matrix = hits.select("key", "set").join(places, "set").select("key", "block").distinct()
-    overlap = candidates.join(hits.select("set", "key", "space", "need"), "set").join(matrix, ["key", "block"])
-    enough = overlap.groupBy("set", "component", "block", "space").agg(F.count(F.lit(1)).alias("common"), F.max("need").alias("need")).where("common >= need")
-    return enough.select("set", "component", "block").distinct()
+    places = placed.select("set", "group").join(candidates.select("group").distinct(), "group", "left_semi")
+    matrix = hits.select("key", "set").join(places, "set").select("key", "group").distinct()
+    overlap = candidates.join(hits.select("set", "key", "space", "need"), "set").join(matrix, ["key", "group"])
+    enough = overlap.groupBy("set", "component", "block", "group", "space").agg(F.count(F.lit(1)).alias("common"), F.max("need").alias("need")).where("common >= need")
+    queries = enough.select("set", "component", F.col("block").alias("home"), "group").distinct()
+    blocks = placed.groupBy("group", "block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    opened = queries.join(blocks, "group").where((F.col("block") != F.col("home")) & ((F.col("lo") != F.col("hi")) | (F.col("lo") != F.col("component"))))
+    return opened.select("set", "component", "block")
 
 
 def _second_look(opened: DataFrame, placed: DataFrame) -> DataFrame:
