@@ -16,7 +16,7 @@ from tessera.functions import vectors as V
 from tessera.functions.draws import uniform
 from tessera.functions.vectors import ratio
 from tessera.operators.components import connected_components
-from tessera.operators.pairs import pairwise, within
+from tessera.operators.pairs import label_distances, within
 from tessera.plans.ordered import running
 from tessera.plans.scratch import Scratch
 
@@ -161,10 +161,8 @@ def agglomerative(df: DataFrame, n_clusters: int, *, linkage: str = "average", i
 def silhouette_score(df: DataFrame, label: str, *, id_col: str = "id", vector: str = "v") -> DataFrame:
     """``silhouette``: mean of (b - a) / max(a, b) without noise; 0 for fewer than 2 clusters; a lone member has a = 0 and so scores 1."""
     rows = df.where((F.col(label) >= 0) & F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(label).alias("label"))
-    half = pairwise(rows, V.euclidean, diagonal=False)
-    names = rows.select(F.col("id").alias("j"), F.col("label").alias("lj"))
-    both = half.unionByName(half.select(F.col("j").alias("i"), F.col("i").alias("j"), "value"))
-    means = both.join(names, "j").groupBy("i", "lj").agg(F.avg("value").alias("d"))
+    sums = label_distances(rows, "label")
+    means = sums.groupBy("i", "lj").agg((F.sum("total") / F.sum("n")).alias("d"))
     own = rows.select(F.col("id").alias("i"), F.col("label").alias("li"))
     per = own.join(means, "i").groupBy("i").agg(F.coalesce(F.max(F.when(F.col("lj") == F.col("li"), F.col("d"))), F.lit(0.0)).alias("a"), F.min(F.when(F.col("lj") != F.col("li"), F.col("d"))).alias("b"))
     return per.agg(F.coalesce(F.avg(F.when(F.col("b").isNotNull(), ratio(F.col("b") - F.col("a"), F.greatest("a", "b")))), F.lit(0.0)).alias("silhouette"))

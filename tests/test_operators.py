@@ -83,6 +83,37 @@ def test_matrices_and_blocks_agree(spark, monkeypatch):
     assert [r.j for r in near] == [int(j) for j in np.argsort(d, kind="stable")[1:4]]
 
 
+def test_block_products_equal_pair_by_pair_values(spark, monkeypatch):
+    """Copies, close and far vectors, zero rows, ties, null ids and vectors, string ids, tables of one block and of none."""
+    monkeypatch.setattr(pairs, "BLOCK", 6)
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((24, 5)) * 100
+    x[5], x[6], x[7], x[8] = x[4], x[4] + 1e-7, 0, x[4] * 1e6
+    rows = [(f"n{i:02d}", [float(v) for v in r], i % 3) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "id string, v array<double>, g long")
+    noisy = df.unionByName(spark.createDataFrame([("z", None, 0), (None, [1.0] * 5, 0)], df.schema))
+    got = {(r.i, r.j): r.value for r in pairs.distance_matrix(noisy).collect()}
+    assert len(got) == 25 * 25 and got["n00", "z"] is None and got["z", "z"] == 0 and got["n04", "n05"] == 0
+    for i, a in enumerate(x):
+        for j, b in enumerate(x):
+            assert got[f"n{i:02d}", f"n{j:02d}"] == pytest.approx(float(np.sqrt(((a - b) ** 2).sum())), rel=1e-9)
+    cos = {(r.i, r.j): r.value for r in pairs.similarity_matrix(df).collect()}
+    slow = {(r.i, r.j): r.value for r in pairs.similarity_matrix(df, lambda a, b: V.cosine(a, b)).collect()}
+    assert cos.keys() == slow.keys() and all(cos[k] == pytest.approx(slow[k], abs=1e-12) for k in cos)
+    for k in (1, 4, 30):
+        fast = [tuple(r) for r in pairs.nearest(noisy, k).select("i", "r", "j").orderBy("i", "r").collect()]
+        slow = [tuple(r) for r in pairs.nearest(df, k, lambda a, b: V.euclidean(a, b)).select("i", "r", "j").orderBy("i", "r").collect()]
+        assert fast == slow and len(fast) == 24 * min(k, 23)
+    sums = {(r.i, r.lj): (r.total, r.n) for r in pairs.label_distances(df, "g").groupBy("i", "lj").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).collect()}
+    for i, a in enumerate(x):
+        for g in range(3):
+            others = [float(np.sqrt(((a - b) ** 2).sum())) for j, b in enumerate(x) if j % 3 == g and j != i]
+            assert sums[f"n{i:02d}", g] == (pytest.approx(sum(others)), len(others))
+    assert pairs.similarity_matrix(df.limit(0)).count() == 0 and pairs.nearest(df.limit(0), 2).count() == 0
+    with pytest.raises(Exception, match="same, positive length"):
+        pairs.similarity_matrix(df.unionByName(spark.createDataFrame([("y", [1.0], 0)], df.schema))).collect()
+
+
 def test_special_functions(spark):
     one = spark.range(1)
     for z in (-4.0, -0.3, 0.0, 1.96):
