@@ -5,7 +5,8 @@ from __future__ import annotations
 import ipaddress
 import os
 import re
-from urllib.parse import urlsplit
+from collections.abc import Iterable
+from urllib.parse import parse_qsl, urlsplit
 
 
 class NonLocalEndpointError(ValueError):
@@ -54,13 +55,51 @@ def require_loopback_url(url: str, *, what: str = "URL") -> str:
     return url
 
 
+#: Keys of a connection that name its hosts, and those that hand the choice to a service file. Fixed values of the client library.
+HOST_KEYS, SERVICE_KEYS = ("host", "hostaddr"), ("service", "servicefile")
+#: ``key = value`` of a connection string; values may be quoted.
+_SETTING = re.compile(r"(\w+)\s*=\s*('(?:[^'\\]|\\.)*'|\S*)")
+
+
+def _leaves(hosts: str, *, sockets: bool) -> bool:
+    """Whether any host of a comma list is elsewhere; empty ones mean the default, which is here."""
+    named = [h for h in map(str.strip, hosts.split(",")) if h]
+    return not all(is_loopback_host(h) or sockets and is_local_socket_path(h) for h in named)
+
+
+def _settings_leave(settings: Iterable[tuple[str, str]]) -> bool:
+    return any(key in SERVICE_KEYS or key in HOST_KEYS and _leaves(value, sockets=True) for key, value in ((k.lower(), v) for k, v in settings) if value)
+
+
+def _authority_leaves(authority: str) -> bool:
+    """Whether the authority of a URI names any host elsewhere, or none at all.
+
+    The first ``@`` ends the credentials, as for the client library; another one, or a backslash, may be read in two ways.
+    """
+    credentials, at, rest = authority.partition("@")
+    hosts = [h for h in map(str.strip, (rest if at else credentials).split(",")) if h]
+    bare = [re.fullmatch(r"(\[[^\]]*\]|[^:\[\]]*)(:\d*)?", h) for h in hosts]
+    return "\\" in authority or not hosts or not all(m and is_loopback_host(m[1]) for m in bare)
+
+
 def require_local_uri(uri: str, *, what: str = "URI") -> str:
-    """A path, a file URI, or a URI all of whose hosts are loopback."""
-    parts = urlsplit(uri)
-    if parts.scheme in ("", "file", "sqlite") and not parts.netloc:
-        return uri
-    hosts = [re.sub(r":\d+$", "", h) for h in parts.netloc.rpartition("@")[2].split(",")]
-    if not all(is_loopback_host(h) or is_local_socket_path(h) for h in hosts):
+    """``uri`` if all that it names is on this machine; else, and where that cannot be told, ``NonLocalEndpointError``.
+
+    A URI with an authority needs loopback hosts there and in the query keys that override them. A connection string of
+    ``key=value`` settings needs loopback hosts or local sockets. Either must not name a service file. Anything else is a local
+    path, unless it begins as a network share does, or is the bare scheme of a database whose host the environment would choose.
+    """
+    try:
+        parts = urlsplit(uri)
+        if parts.netloc:
+            leaves = _authority_leaves(parts.netloc) or _settings_leave(parse_qsl(parts.query))
+        elif "=" in uri:
+            leaves = _settings_leave((k, v.strip("'\"")) for k, v in _SETTING.findall(uri))
+        else:
+            leaves = parts.scheme in ("postgres", "postgresql") or re.match(r"\s*[\\/]{2}", uri) is not None
+    except ValueError:
+        leaves = True
+    if leaves:
         raise NonLocalEndpointError(f"{what} leaves this machine")
     return uri
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
@@ -35,23 +36,33 @@ class RateLimitError(ReasoningError):
     """Too many requests; has a budget of its own."""
 
 
+#: A string literal, closed or cut off, or a bracket.
+_PIECE = re.compile(r'"(?:[^"\\]|\\.)*(?:"|\\?\Z)|[{}\[\]]', re.DOTALL)
+
+
 def first_balanced_json(text: str) -> str | None:
-    """The first span that is a whole JSON object or array."""
-    decoder = json.JSONDecoder()
-    for i, c in enumerate(text):
-        if c in "{[":
-            try:
-                return text[i : decoder.raw_decode(text, i)[1]]
-            except ValueError:
-                continue
+    """The span from the first opening bracket to the one that closes it, not counting brackets in strings; it need not parse."""
+    first = re.search(r"[{\[]", text)
+    if first is None:
+        return None
+    opens, closes = "{}" if first[0] == "{" else "[]"
+    depth = 0
+    for piece in _PIECE.finditer(text, first.start()):
+        depth += (piece[0] == opens) - (piece[0] == closes)
+        if not depth:
+            return text[first.start() : piece.end()]
     return None
 
 
 def extract_json(text: str) -> Any:
+    """The value of the first balanced span; if there is none, or it does not parse, ``ReasoningError``."""
     span = first_balanced_json(text)
     if span is None:
         raise ReasoningError("no JSON in the answer")
-    return json.loads(span)
+    try:
+        return json.loads(span)
+    except ValueError as e:
+        raise ReasoningError("malformed JSON in the answer") from e
 
 
 class UnconfiguredReasoningSeam:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.study.contracts import BaselineArtifact, BaselineDriftReport, ClaimRecord, Corpus, FeatureMatrix, StudyDefinition, StudyMode, claim_set_fingerprint, corpus_fingerprint, diff_baseline_fingerprints
 from tessera.study.governance import GateDecision, GateError, Phase, required_phases
-from tessera.study.methodology import ClaimBlindGuard, DiscoverConfirmSplit, FirewallViolation, Hypothesis, SourceScorecard, TimestampAuthority, Verdict, adjudicate, discover_and_confirm, require_preregistered
+from tessera.study.methodology import ClaimBlindGuard, DiscoverConfirmSplit, FirewallViolation, Hypothesis, SourceScorecard, TimestampAuthority, Verdict, adjudicate_with_baseline, discover_and_confirm
 from tessera.study.provenance import ProvenanceTrail
 
 
@@ -46,14 +46,15 @@ class StudyPlan:
     split: Callable[[Corpus], DiscoverConfirmSplit] | None = None
     discover: Callable[[Corpus], Iterable[Hypothesis]] | None = None
     confirm: Callable[[Hypothesis, Corpus], Verdict] | None = None
-    confirm_claim: Callable[[ClaimRecord, Corpus, BaselineArtifact], tuple[Hypothesis, Verdict]] | None = None
+    hypothesis_for: Callable[[ClaimRecord], Hypothesis] | None = None
+    confirm_claim: Callable[[Hypothesis, BaselineArtifact, ClaimRecord], Verdict] | None = None
     prior_fingerprint: str | None = None
 
     def __post_init__(self) -> None:
         if StudyMode.DISCOVERY in self.study.modes and not (self.split and self.discover and self.confirm):
             raise ValueError("discovery needs split, discover and confirm")
-        if StudyMode.ADJUDICATE_EXTERNAL_CLAIMS in self.study.modes and not self.confirm_claim:
-            raise ValueError("adjudication needs confirm_claim")
+        if StudyMode.ADJUDICATE_EXTERNAL_CLAIMS in self.study.modes and not (self.hypothesis_for and self.confirm_claim):
+            raise ValueError("adjudication needs hypothesis_for and confirm_claim")
 
 
 @dataclass
@@ -135,12 +136,12 @@ def run_study(spark: SparkSession, plan: StudyPlan, *, gate_handler: Callable[[G
             enter(Phase.ADJUDICATE, claims=len(claims))
             gate("adjudication", claims=len(claims))
 
-            def judge(c: ClaimRecord) -> tuple[Hypothesis, Verdict]:
-                h, v = plan.confirm_claim(c, corpus, baseline)
-                require_preregistered(h, authority=plan.authority, not_after=datetime.now(UTC))
-                return h, v
+            def step(h: Hypothesis, v: Verdict) -> None:
+                trail.record("verdict", f"{v.hypothesis_id}: {v.label.value}", {"claim": h.source_claim_id, "rule": v.decision_rule})
 
-            result.scorecard, verdicts = adjudicate(study.name, claims, judge)
+            result.scorecard, verdicts = adjudicate_with_baseline(
+                baseline, claims, hypothesis_for=plan.hypothesis_for, confirm=plan.confirm_claim, authority=plan.authority, not_after=not_after, source=study.name, on_step=step
+            )
             result.verdicts += verdicts
             enter(Phase.SCORE, supported=result.scorecard.n_supported, contradicted=result.scorecard.n_contradicted, indeterminate=result.scorecard.n_indeterminate)
         enter(Phase.REPORT, not_after=not_after.isoformat())

@@ -165,9 +165,9 @@ def plan(spark, **kw):
     both = frozenset(contracts.StudyMode)
     study = contracts.StudyDefinition("study", both, Parser(), claims_source=Claims())
 
-    def judge(c, corpus, baseline):
-        h = methodology.lock_hypothesis(hypothesis(hypothesis_id=f"h-{c.claim_id}", origin=methodology.HypothesisOrigin.EXTERNAL_CLAIM, source_claim_id=c.claim_id), authority=AUTHORITY)
-        return h, methodology.verdict_from_pvalue(h, 0.01, favourable=c.claim_id == "c1")
+    def stated(c):
+        h = hypothesis(hypothesis_id=f"h-{c.claim_id}", origin=methodology.HypothesisOrigin.EXTERNAL_CLAIM, source_claim_id=c.claim_id)
+        return methodology.lock_hypothesis(h, authority=AUTHORITY, instant=datetime(2024, 1, 1, tzinfo=UTC))
 
     base = dict(
         study=study, source="x", authority=AUTHORITY,
@@ -175,11 +175,30 @@ def plan(spark, **kw):
         split=lambda c: methodology.DiscoverConfirmSplit(ids(spark, "u0", "u1", "u2"), ids(spark, "u3", "u4", "u5")),
         discover=lambda c: [methodology.lock_hypothesis(hypothesis(), authority=AUTHORITY, instant=datetime(2024, 1, 1, tzinfo=UTC))],
         confirm=lambda h, c: methodology.verdict_from_pvalue(h, 0.2),
-        confirm_claim=judge,
+        hypothesis_for=stated,
+        confirm_claim=lambda h, baseline, c: methodology.verdict_from_pvalue(h, 0.01, favourable=c.claim_id == "c1"),
     )
     return runner.StudyPlan(**{**base, **kw})
 
 
+def test_claims_are_locked_before_the_baseline(spark):
+    """A hypothesis that is locked when the baseline exists is refused before it is judged; so is one that states no claim."""
+    asked = []
+
+    def late(c):
+        return methodology.lock_hypothesis(hypothesis(hypothesis_id=f"h-{c.claim_id}", origin=methodology.HypothesisOrigin.EXTERNAL_CLAIM, source_claim_id=c.claim_id), authority=AUTHORITY)
+
+    def surfaced(c):
+        return methodology.lock_hypothesis(hypothesis(hypothesis_id=f"h-{c.claim_id}"), authority=AUTHORITY, instant=datetime(2024, 1, 1, tzinfo=UTC))
+
+    for bad, what in ((late, methodology.PreRegistrationError), (surfaced, methodology.FirewallViolation)):
+        with pytest.raises(what):
+            runner.run_study(spark, plan(spark, hypothesis_for=bad, confirm_claim=lambda h, baseline, c: asked.append(h)))
+    with pytest.raises(methodology.FirewallViolation, match="no verdict"):
+        runner.run_study(spark, plan(spark, confirm_claim=lambda h, baseline, c: None))
+    assert not asked
+
+
 def test_run_study(spark, tmp_path):
     result = runner.run_study(spark, plan(spark))
     assert [v.label.value for v in result.verdicts] == ["indeterminate", "supported", "contradicted"]
@@ -223,11 +242,23 @@ def test_parser_guards_and_seam(spark, tmp_path):
     p = TableParser(attributes=("n",))
     assert p.parse(spark, path).units.orderBy("unit_id").first().attributes == '{"n":1}' and len(p.source_fingerprint(spark, path)) == 64
     guards.require_loopback_url("http://127.0.0.1:80/x")
-    for bad in ("http://example.com", "postgresql://u:p@10.0.0.1/db"):
+    remote = (
+        "http://example.com", "postgresql://u:p@10.0.0.1/db", "host=evil.example dbname=x", "hostaddr = '8.8.8.8'", "host=localhost,evil.example", "host=/tmp,evil.example",
+        "service=elsewhere", "postgresql://localhost/db?host=evil.example", "postgresql://localhost/db?service=x", "postgresql://localhost,evil.example/db", "postgresql://u@evil.example:1@localhost/db",
+        "postgresql://@/db", "postgresql:", "http://localhost\\@evil.example/", "\\\\evil\\share", "//evil/share", "/\\evil/share", "http://[::1/x",
+    )
+    for bad in remote:
         with pytest.raises(guards.NonLocalEndpointError):
             guards.require_local_uri(bad)
+    for good in ("/data/x", "file:///data/x", "sqlite:///x.db", "runs/part=1/x", "host=localhost dbname=x", "host='/var/run/db' user=u", "postgresql://u:p@127.0.0.1:5432,[::1]:5432/db?host=/tmp", "C:\\data"):
+        assert guards.require_local_uri(good) == good
     assert "secret" not in guards.redact_credentials("postgresql://u:secret@h/db password=secret")
     assert reasoning.extract_json('so {"a": [1, "}"]} end') == {"a": [1, "}"]}
+    assert reasoning.first_balanced_json('x {not json} then [1,2]') == "{not json}" and reasoning.first_balanced_json('["a\\"]", [1]] x') == '["a\\"]", [1]]'
+    assert reasoning.first_balanced_json("none") is None and reasoning.first_balanced_json('{"open') is None and reasoning.first_balanced_json("{" * 50_000) is None
+    for bad in ("x {not json} then [1,2]", "none", '{"cut'):
+        with pytest.raises(reasoning.ReasoningError):
+            reasoning.extract_json(bad)
     answers = iter(["no", '{"x": 1}'])
     seam = reasoning.ReasoningSeam({reasoning.StakesTier.BULK: lambda r: next(answers)}, sleep=lambda s: None)
     assert seam.run_json(reasoning.ReasoningRequest("p")) == {"x": 1}
