@@ -226,19 +226,15 @@ def _u(stream: str, ids: str, seed: int = 0) -> str:
     return f"(('0x' || substr({_KEY.format(seed=seed, stream=stream, ids=ids)}, 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
 
 
-@_query("labels", f"""
+QUERIES["test_permutation"] = lambda spark, sf_dir: _r(
+    testing.permutation_test(_read(spark, sf_dir, "labels").join(_read(spark, sf_dir, "documents"), "doc_id"), "n_chars", "toxic", 1, 0, id_col="doc_id", n_permutations=200), 4
+)
+ORACLE_SQL["test_permutation"] = f"""
 WITH e AS (SELECT l.doc_id::VARCHAR AS id, d.n_chars::DOUBLE AS x, l.toxic = 1 AS f FROM labels l JOIN documents d USING (doc_id)), n AS (SELECT count(*) FILTER (f) AS n1, count(*) FILTER (NOT f) AS n2, avg(x) FILTER (f) - avg(x) FILTER (NOT f) AS s FROM e),
 r AS (SELECT run, x, row_number() OVER (PARTITION BY run ORDER BY {_KEY.format(seed=0, stream="permutation", ids="run, id")}, id) <= n1 AS f FROM e, range(200) t(run), n),
 p AS (SELECT avg(x) FILTER (f) - avg(x) FILTER (NOT f) AS d FROM r GROUP BY run)
 SELECT round(s, 4) AS statistic, round((count(*) FILTER (abs(d) >= abs(s) - 1e-12) + 1) / 201.0, 4)::DOUBLE AS p_value, n1, n2 FROM p, n GROUP BY ALL
-""")
-def test_permutation(df: DataFrame) -> DataFrame:
-    raise NotImplementedError  # registered below: it reads two tables
-
-
-QUERIES["test_permutation"] = lambda spark, sf_dir: _r(
-    testing.permutation_test(_read(spark, sf_dir, "labels").join(_read(spark, sf_dir, "documents"), "doc_id"), "n_chars", "toxic", 1, 0, id_col="doc_id", n_permutations=200), 4
-)
+"""
 
 _PS = "WITH p AS (SELECT user_id AS id, least(1, power(10, -abs(avg(value) - 50) / 5)) AS p FROM events GROUP BY user_id), m AS (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p, id) AS rn FROM p)"
 
@@ -306,11 +302,11 @@ SELECT round(p, 6) AS macro_precision, round(r, 6) AS macro_recall, round(2 * p
 
 
 def eval_roc_curve(e: DataFrame) -> DataFrame:
-    return evaluation.roc_curve(e, "y", "s").where(F.col("threshold") < 2)
+    return evaluation.roc_curve(e, "y", "s")
 
 
 _STEPS = ", c AS (SELECT s, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y <> 1) AS neg FROM e GROUP BY s), w AS (SELECT s, pos, neg, sum(pos) OVER (ORDER BY s DESC) AS tp, sum(neg) OVER (ORDER BY s DESC) AS fp, sum(pos) OVER () AS p, sum(neg) OVER () AS n FROM c)"
-_evaluated(eval_roc_curve, f"{_STEPS} SELECT round(s, 6)::DOUBLE AS threshold, round((fp - neg) / n, 6) AS fpr, round((tp - pos) / p, 6) AS tpr FROM w UNION ALL SELECT 0.0, 1.0, 1.0")
+_evaluated(eval_roc_curve, f"{_STEPS} SELECT round(s, 6)::DOUBLE AS threshold, round((fp - neg) / n, 6) AS fpr, round((tp - pos) / p, 6) AS tpr FROM w UNION ALL SELECT 0.0, 1.0, 1.0 UNION ALL SELECT 'inf'::DOUBLE, 0.0, 0.0")
 
 
 def eval_roc_auc(e: DataFrame) -> DataFrame:
