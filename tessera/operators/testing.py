@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tessera.functions.draws import md5_key
 from tessera.functions.special import chi2_tail, normal_cdf, t_two_tailed
 from tessera.functions.vectors import ratio
-from tessera.plans.ordered import running
+from tessera.plans.ordered import row_numbers, running
 
 _INF = float("inf")
 
@@ -158,15 +158,13 @@ def bonferroni(df: DataFrame, p: str, by: Sequence[str] = (), *, alpha: float =
 
 
 def _step(df: DataFrame, p: str, by: Sequence[str], id_col: str, up: bool) -> DataFrame:
-    """Ranked p-values with a running extreme. A family of tests is small, so its window is one task's at most."""
-    ranked = _family(df, p, by)
-    order = Window.partitionBy(*by).orderBy(p, id_col) if by else Window.partitionBy(F.lit(0)).orderBy(p, id_col)
-    ranked = ranked.withColumn("__rn", F.row_number().over(order))
+    """Ranked p-values with a running extreme; a family without groups is range-partitioned, not gathered in one window."""
+    x, m, rn = F.col(p), F.col("__m"), F.col("__rn")
+    ranked = row_numbers(_family(df, p, by), [x, F.col(id_col)], "__rn", by)
     if up:
-        w = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-        return ranked.withColumn("adjusted_p", F.least(F.lit(1.0), F.min(F.col(p) * F.col("__m") / F.col("__rn")).over(w)))
-    w = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return ranked.withColumn("adjusted_p", F.max(F.least(F.lit(1.0), F.col(p) * (F.col("__m") - F.col("__rn") + 1))).over(w))
+        least = running(ranked, [x.desc(), F.col(id_col).desc()], {"adjusted_p": -(x * m / rn)}, by, most=True)
+        return least.withColumn("adjusted_p", F.least(F.lit(1.0), -F.col("adjusted_p")))
+    return running(ranked, [x, F.col(id_col)], {"adjusted_p": F.least(F.lit(1.0), x * (m - rn + 1))}, by, most=True)
 
 
 def holm(df: DataFrame, p: str, by: Sequence[str] = (), *, id_col: str, alpha: float = 0.05) -> DataFrame:

@@ -14,24 +14,27 @@ from pyspark.sql import functions as F
 from tessera.plans.scratch import Scratch
 
 
-def running(df: DataFrame, order: Sequence[Column], sums: dict[str, Column], by: Sequence[str] = (), *, before: bool = False) -> DataFrame:
+def running(df: DataFrame, order: Sequence[Column], sums: dict[str, Column], by: Sequence[str] = (), *, before: bool = False, most: bool = False) -> DataFrame:
     """``df`` with running sums in ``order`` (which must be total), within groups ``by`` or over the whole table.
 
-    ``before`` leaves the row itself out.
+    ``before`` leaves the row itself out. ``most`` takes running maxima instead (null where there is nothing before).
     """
+    fold = F.max if most else lambda v: F.coalesce(F.sum(v), F.lit(0))
+    over = (lambda v, w: F.max(v).over(w)) if most else lambda v, w: F.coalesce(F.sum(v).over(w), F.lit(0))
+    join = F.greatest if most else lambda a, b: a + b
     upto = -1 if before else Window.currentRow
     if by:
         w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, upto)
-        return df.withColumns({k: F.coalesce(F.sum(v).over(w), F.lit(0)) for k, v in sums.items()})
+        return df.withColumns({k: over(v, w) for k, v in sums.items()})
     scratch = Scratch(df.sparkSession, "running")
     terms = {f"__t_{k}": v for k, v in sums.items()}
     ranged = scratch.table(df.withColumns(terms).repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranged")
-    totals = ranged.groupBy("__range").agg(*(F.sum(f"__t_{k}").alias(f"__s_{k}") for k in sums))
+    totals = ranged.groupBy("__range").agg(*(fold(F.col(f"__t_{k}")).alias(f"__s_{k}") for k in sums))
     earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
-    offsets = totals.select("__range", *(F.coalesce(F.sum(f"__s_{k}").over(earlier), F.lit(0)).alias(f"__o_{k}") for k in sums))
+    offsets = totals.select("__range", *(over(F.col(f"__s_{k}"), earlier).alias(f"__o_{k}") for k in sums))
     local = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, upto)
-    out = ranged.withColumns({k: F.coalesce(F.sum(f"__t_{k}").over(local), F.lit(0)) for k in sums}).join(F.broadcast(offsets), "__range")
-    return out.select(*[c for c in df.columns if c not in sums], *((F.col(k) + F.col(f"__o_{k}")).alias(k) for k in sums))
+    out = ranged.withColumns({k: over(F.col(f"__t_{k}"), local) for k in sums}).join(F.broadcast(offsets), "__range")
+    return out.select(*[c for c in df.columns if c not in sums], *(join(F.col(k), F.col(f"__o_{k}")).alias(k) for k in sums))
 
 
 def row_numbers(df: DataFrame, order: Sequence[Column], name: str = "rn", by: Sequence[str] = ()) -> DataFrame:

@@ -300,3 +300,25 @@ def test_graphs(spark):
     assert vecs.count() == 3
     scores = graph.link_scores(vecs, g.edges).collect()
     assert len(scores) == 3 and all(0 < r.score < 1 for r in scores)
+
+
+def test_step_wise_corrections_of_whole_tables_and_groups(spark):
+    """Range-partitioned and grouped families give what the definitions give, ties included."""
+    rng = np.random.default_rng(3)
+    p = np.round(rng.random(120) ** 3, 2)
+    df = spark.createDataFrame([(i, i % 2, float(x)) for i, x in enumerate(p)], "id long, g long, p double").repartition(5)
+
+    def expected(ids, up):
+        order = sorted(ids, key=lambda i: (p[i], i))
+        m = len(order)
+        if up:
+            raw = [min(1.0, min(p[j] * m / (s + 1) for s, j in list(enumerate(order))[r:])) for r in range(m)]
+        else:
+            raw = [max(min(1.0, p[j] * (m - s)) for s, j in list(enumerate(order))[: r + 1]) for r in range(m)]
+        return dict(zip(order, raw, strict=True))
+
+    for fn, up in ((testing.benjamini_hochberg, True), (testing.holm, False)):
+        whole = {r.id: r.adjusted_p for r in fn(df, "p", id_col="id").collect()}
+        assert whole == pytest.approx(expected(range(120), up))
+        grouped = {r.id: r.adjusted_p for r in fn(df, "p", ["g"], id_col="id").collect()}
+        assert grouped == pytest.approx({**expected(range(0, 120, 2), up), **expected(range(1, 120, 2), up)})
