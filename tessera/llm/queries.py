@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, bpe, id_store, language_id, ngram_join, packing, substring_dedup, toxicity, vector_dedup, warc
+from tessera.llm import ann, bpe, filter_audit, id_store, language_id, ngram_join, packing, substring_dedup, toxicity, vector_dedup, warc
 from tessera.plans.scratch import shared_root
 
 
@@ -63,6 +63,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
     "op2_ngram_join": op2_ngram_join,
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_vector_dedup": op8_vector_dedup,
     "op9_id_store": op9_id_store,
     "op10_byte_bpe": op10_byte_bpe,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 #: Words of a text as SQL: runs of anything but the six ASCII white-space characters.
@@ -107,4 +112,37 @@ SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT
 FROM w LEFT JOIN t USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_ngram_join": _OP2, "op5_substring_dedup": _OP5}
+_OP13 = f"""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x, coalesce({_WORDS.format("text")}, []) AS ws FROM documents),
+m AS (SELECT x, min(doc_id) AS low FROM t GROUP BY x),
+l AS (SELECT doc_id, max(coalesce(quality = 1, false)::INT) AS good, max(coalesce(toxic = 1, false)::INT) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    (len(ws) < 200)::INT + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::INT
+    + 4 * (100 * (length(x) - length(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 2 * length(x))::INT
+    + 8 * regexp_matches(x, '[#$%&*|]')::INT + 16 * coalesce(low < t.doc_id, false)::INT AS fails
+  FROM t JOIN m USING (x) LEFT JOIN l ON l.doc_id = t.doc_id
+), c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY 1, 2),
+o AS (
+  SELECT '' AS filter_order, 0 AS step, 0 AS own, 0 AS before, 0 AS after
+  UNION ALL
+  SELECT filter_order || substr('ABCDE', i + 1, 1), step + 1, (1 << i)::INT, after, (after | (1 << i))::INT
+  FROM o, (SELECT unnest(range(0, 5))::INT AS i) WHERE step < 5 AND (after & (1 << i)) = 0
+), r AS (SELECT a.filter_order, b.step, b.own, b.before, b.after FROM o a JOIN o b ON starts_with(a.filter_order, b.filter_order) WHERE a.step = 5 AND b.step > 0),
+d AS (SELECT DISTINCT own, before, after FROM r),
+s AS (
+  SELECT part, own, before, after,
+    sum(n * ((fails & after) = 0)::INT)::BIGINT AS kept,
+    sum(n * ((fails & before) = 0 AND (fails & own) <> 0)::INT)::BIGINT AS removed,
+    sum(n * ((fails & before) <> 0 AND (fails & own) <> 0)::INT)::BIGINT AS redundant,
+    sum(n * (fails = own)::INT)::BIGINT AS unique_fails,
+    sum(good * ((fails & before) = 0 AND (fails & own) <> 0)::INT)::BIGINT AS good_lost,
+    sum(toxic * ((fails & before) = 0 AND (fails & own) <> 0)::INT)::BIGINT AS toxic_lost
+  FROM c, d GROUP BY part, own, before, after
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM s JOIN r USING (own, before, after)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op13_filter_audit": _OP13, "op2_ngram_join": _OP2, "op5_substring_dedup": _OP5}
