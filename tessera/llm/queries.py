@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, bpe, filter_audit, id_store, language_id, ngram_join, packing, substring_dedup, toxicity, vector_dedup, warc
+from tessera.llm import ann, bpe, divergence_audit, filter_audit, id_store, language_id, ngram_join, packing, substring_dedup, toxicity, vector_dedup, warc
 from tessera.plans.scratch import shared_root
 
 
@@ -63,6 +63,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op11_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_audit.audit(_read(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_vector_dedup": op8_vector_dedup,
     "op9_id_store": op9_id_store,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_divergence_audit": op11_divergence_audit,
     "op13_filter_audit": op13_filter_audit,
 }
 
@@ -112,6 +117,31 @@ SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT
 FROM w LEFT JOIN t USING (doc_id)
 """
 
+_OP11 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents
+), t AS (SELECT i, lang, source, unnest(ts) AS term FROM d),
+kept AS (SELECT lang, term, count(*)::HUGEINT AS lc FROM t GROUP BY 1, 2 HAVING count(DISTINCT i) >= 30),
+ls AS (SELECT lang, sum(lc)::HUGEINT AS ln, count(*)::HUGEINT AS v FROM kept GROUP BY 1),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM t JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+gn AS (SELECT lang, source, coalesce(sum(n), 0)::HUGEINT AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY 1, 2),
+p AS (
+  SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS cn,
+    1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (gn.n + 5 * v) AS p,
+    1 + (1000000000::HUGEINT * (lc + 5)) // (ln + 5 * v) AS q
+  FROM g JOIN gn USING (lang, source) JOIN kept USING (lang) JOIN ls USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term
+), f AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3
+), r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE cn > 0 AND p > q
+), k AS (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)))::INT AS rank FROM r)
+SELECT lang, source, part, item, value, rank FROM k WHERE part = 'pair' OR rank <= 50
+"""
+
 _OP13 = f"""
 WITH RECURSIVE t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x, coalesce({_WORDS.format("text")}, []) AS ws FROM documents),
 m AS (SELECT x, min(doc_id) AS low FROM t GROUP BY x),
@@ -145,4 +175,4 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
 FROM s JOIN r USING (own, before, after)
 """
 
-ORACLE_SQL: dict[str, str] = {"op13_filter_audit": _OP13, "op2_ngram_join": _OP2, "op5_substring_dedup": _OP5}
+ORACLE_SQL: dict[str, str] = {"op11_divergence_audit": _OP11, "op13_filter_audit": _OP13, "op2_ngram_join": _OP2, "op5_substring_dedup": _OP5}
