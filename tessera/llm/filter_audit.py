@@ -120,7 +120,7 @@ def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
         return full.select("part", F.col("passed").alias(name), F.struct("n", "good", "toxic").alias(f"at_{name}"))
 
     found = pairs.join(of("before"), "before").join(of("after"), ["part", "after"]).withColumn("removed", F.col("at_before.n") - F.col("at_after.n"))
-    alone = pairs.where("before = 0").select("own").join(found.where("before = 0").select("part", "own", F.col("removed").alias("fails")), "own")
+    alone = found.where("before = 0").select("part", "own", F.col("removed").alias("fails"))
     last = found.where(F.col("after") == everything).select("part", "own", F.col("removed").alias("unique_fails"))
     figures = found.join(alone, ["part", "own"]).join(last, ["part", "own"]).select(
         "part", "own", "before", "after", "removed", "unique_fails",

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, bpe, divergence_audit, filter_audit, id_store, language_id, ngram_join, packing, substring_dedup, toxicity, vector_dedup, warc
+from tessera.llm import ann, bpe, divergence_audit, filter_audit, html_text, id_store, language_id, ngram_join, packing, substring_dedup, toxicity, vector_dedup, warc
 from tessera.plans.scratch import shared_root
 
 
@@ -67,6 +67,10 @@ def op11_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence_audit.audit(_read(spark, sf_dir, "documents"))
 
 
+def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_id_store": op9_id_store,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_divergence_audit": op11_divergence_audit,
+    "op12_html_text": op12_html_text,
     "op13_filter_audit": op13_filter_audit,
 }
 
