@@ -78,13 +78,13 @@ def test_run_is_the_stages(spark, tables):
 
 def test_every_operator_is_registered():
     names = list(__spark_entry__.queries())
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(names)
 
 
-@pytest.mark.parametrize("name", ["op2_ngram_join", "op5_substring_dedup"])
+@pytest.mark.parametrize("name", ["op2_ngram_join", "op5_substring_dedup", "op11_divergence_audit", "op13_filter_audit"])
 def test_sql_agrees(spark, sf_dir, name):
     import duckdb
 
