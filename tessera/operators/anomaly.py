@@ -17,6 +17,7 @@ from tessera.functions.draws import md5_key
 from tessera.functions.vectors import ratio
 from tessera.operators.pairs import nearest
 from tessera.operators.stats import attach, robust_z_scores, z_scores
+from tessera.plans.selection import quantiles
 
 
 def _flagged(df: DataFrame, threshold: float) -> DataFrame:
@@ -33,7 +34,7 @@ def mad_detector(df: DataFrame, value: str, by: Sequence[str] = (), *, threshold
 
 def iqr_detector(df: DataFrame, value: str, by: Sequence[str] = (), *, threshold: float = 1.5) -> DataFrame:
     """Score: how far beyond a fence of ``threshold`` interquartile ranges, in those ranges; flagged beyond the fence."""
-    one = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("__q"))
+    one = quantiles(df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("x")), [0.25, 0.75], by, name="__q")
     rows = attach(df, one, by)
     lo, hi, x = F.col("__q")[0], F.col("__q")[1], F.col(value).cast("double")
     iqr = hi - lo

@@ -91,11 +91,11 @@ def kmeans(df: DataFrame, k: int, *, id_col: str = "id", vector: str = "v", max_
     return labels, centroids, float(inertia[best])
 
 
-def dbscan(df: DataFrame, *, eps: float = 0.5, min_samples: int = 5, id_col: str = "id", vector: str = "v", grid: int = 2) -> DataFrame:
+def dbscan(df: DataFrame, *, eps: float = 0.5, min_samples: int = 5, id_col: str = "id", vector: str = "v") -> DataFrame:
     """``id, label, core``: clusters numbered by their smallest core point; a border point joins the lowest-numbered one; noise is -1."""
     scratch = Scratch(df.sparkSession, "dbscan")
     points = scratch.table(_points(df, id_col, vector), "points")
-    near = scratch.table(within(points, eps, grid=grid), "near")
+    near = scratch.table(within(points, eps), "near")
     core = scratch.table(near.groupBy("i").count().where(F.col("count") >= min_samples).select(F.col("i").alias("core_id")), "core")
     among = near.join(core, near.i == core.core_id).select("i", "j").join(core, F.col("j") == core.core_id).select("i", "j")
     parts = connected_components(among, "i", "j")

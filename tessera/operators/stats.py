@@ -1,6 +1,6 @@
 """Descriptive statistics. Null values are left out; groups are the distinct values of ``by`` (all rows if empty).
 
-Quantiles interpolate linearly at ``p (n - 1)``. Variances divide by n - 1 and are 0 for one value.
+Quantiles interpolate linearly at ``p (n - 1)``; they are selected without gathering a large group (``plans/selection.py``). Variances divide by n - 1 and are 0 for one value.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions.vectors import ratio
 from tessera.plans.ordered import row_numbers
+from tessera.plans.scratch import Scratch
+from tessera.plans.selection import attach_groups, quantiles
 
 
 def _keyed(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
@@ -19,8 +21,8 @@ def _keyed(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
 
 
 def attach(df: DataFrame, summary: DataFrame, by: Sequence[str]) -> DataFrame:
-    """``df`` with the columns of a per-group summary: one row without groups, else an equi-join on the keys."""
-    return df.join(summary, list(by)) if by else df.crossJoin(F.broadcast(summary))
+    """``df`` with the columns of a per-group summary: one row without groups, else a join on the keys, null ones included."""
+    return attach_groups(df, summary, by)
 
 
 def _not_empty(df: DataFrame, n: Column) -> Column:
@@ -34,21 +36,21 @@ def describe(df: DataFrame, value: str, by: Sequence[str] = (), *, method: str =
     ``method="textbook"``; they need 3 and 4 values.
     """
     x = _keyed(df, value, by)
-    q = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     one = x.groupBy(*by).agg(
         F.count("x").alias("n"), F.avg("x").alias("mean"), F.coalesce(F.var_samp("x"), F.lit(0.0)).alias("variance"), F.min("x").alias("minimum"), F.max("x").alias("maximum"),
-        q.alias("q"), F.skewness("x").alias("g1"), F.kurtosis("x").alias("g2"),
+        F.skewness("x").alias("g1"), F.kurtosis("x").alias("g2"),
     )
     if not by:
         one = one.withColumn("n", _not_empty(one, F.col("n")))
-    deviation = attach(x, one.select(*by, F.col("q")[1].alias("m")), by).groupBy(*by).agg(F.percentile(F.abs(F.col("x") - F.col("m")), F.lit(0.5)).alias("mad"))
+    q = Scratch(df.sparkSession, "describe").table(quantiles(x, [0.25, 0.5, 0.75], by), "quantiles")
+    deviation = quantiles(attach(x, q, by).select(*by, F.abs(F.col("x") - F.col("q")[1]).alias("x")), [0.5], by, name="mad")
     n = F.col("n").cast("double")
     shrink = F.lit(1.0) if method == "textbook" else (n - 1) / n
     skew = F.col("g1") * F.pow(shrink, F.lit(1.5)) * ratio(F.sqrt(n * (n - 1)), n - 2)
     raw = (F.col("g2") + 3) * shrink * shrink
     kurt = ratio((n + 1) * (n - 1) * raw, (n - 2) * (n - 3)) - ratio(3 * (n - 1) * (n - 1), (n - 2) * (n - 3))
     flat = F.col("variance") == 0
-    out = one.join(deviation, list(by)) if by else one.crossJoin(F.broadcast(deviation))
+    out = attach(attach(one, q, by), deviation.withColumn("mad", F.col("mad")[0]), by) if by else one.join(F.broadcast(q)).join(F.broadcast(deviation.withColumn("mad", F.col("mad")[0])))
     return out.select(
         *by, "n", "mean", "variance", F.sqrt("variance").alias("std"), "minimum", F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q75"), "maximum",
         (F.col("q")[2] - F.col("q")[0]).alias("iqr"), F.when(flat | (F.col("n") < 3), 0.0).otherwise(skew).alias("skewness"), F.when(flat | (F.col("n") < 4), 0.0).otherwise(kurt).alias("kurtosis"), "mad",
@@ -59,17 +61,17 @@ def descriptive_stats(df: DataFrame, value: str, by: Sequence[str] = ()) -> Data
     """``n, mean, std, min, max, q25, median, q75``; NaN and infinities raise."""
     x = F.col("x")
     sound = F.when(F.isnan(x) | (F.abs(x) == float("inf")), F.raise_error(F.lit("values must be finite")).cast("double")).otherwise(x)
-    q = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    one = _keyed(df, value, by).withColumn("x", sound).groupBy(*by).agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.coalesce(F.stddev_samp("x"), F.lit(0.0)).alias("std"), F.min("x").alias("min"), F.max("x").alias("max"), q.alias("q"))
+    rows = _keyed(df, value, by).withColumn("x", sound)
+    one = rows.groupBy(*by).agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.coalesce(F.stddev_samp("x"), F.lit(0.0)).alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
     if not by:
         one = one.withColumn("n", _not_empty(one, F.col("n")))
-    return one.select(*by, "n", "mean", "std", "min", "max", F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q75"))
+    q = quantiles(rows, [0.25, 0.5, 0.75], by)
+    return (attach(one, q, by) if by else one.join(F.broadcast(q), how="left")).select(*by, "n", "mean", "std", "min", "max", F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q75"))
 
 
 def quantile(df: DataFrame, value: str, p: float, by: Sequence[str] = ()) -> DataFrame:
-    if not 0 <= p <= 1:
-        raise ValueError("p must lie in [0, 1]")
-    return _keyed(df, value, by).groupBy(*by).agg(F.percentile("x", F.lit(float(p))).alias("quantile"))
+    found = quantiles(_keyed(df, value, by), [p], by, name="quantile").withColumn("quantile", F.col("quantile")[0])
+    return found if by else df.sparkSession.range(1).join(F.broadcast(found), how="left").select("quantile")
 
 
 def z_scores(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -80,9 +82,10 @@ def z_scores(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
 
 def median_and_mad(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     x = _keyed(df, value, by)
-    mid = x.groupBy(*by).agg(F.percentile("x", F.lit(0.5)).alias("__median"))
-    mad = attach(x, mid, by).groupBy(*by).agg(F.any_value("__median").alias("__median"), F.percentile(F.abs(F.col("x") - F.col("__median")), F.lit(0.5)).alias("__mad"))
-    return mad
+    mid = quantiles(x, [0.5], by, name="m")
+    mid = Scratch(df.sparkSession, "median").table(mid.select(*by, F.col("m")[0].alias("__median")), "median")
+    mad = quantiles(attach(x, mid, by).select(*by, F.abs(F.col("x") - F.col("__median")).alias("x")), [0.5], by, name="m")
+    return attach(mid, mad.select(*by, F.col("m")[0].alias("__mad")), by)
 
 
 def robust_z_scores(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -106,7 +109,7 @@ def winsorise(df: DataFrame, value: str, by: Sequence[str] = (), *, lower: float
     """``df`` with ``winsorised``: the value clamped to two quantiles."""
     if not 0 <= lower <= upper <= 1:
         raise ValueError("0 <= lower <= upper <= 1 must hold")
-    one = _keyed(df, value, by).groupBy(*by).agg(F.percentile("x", F.array(F.lit(lower), F.lit(upper))).alias("__q"))
+    one = quantiles(_keyed(df, value, by), [lower, upper], by, name="__q")
     clamped = F.greatest(F.col("__q")[0], F.least(F.col("__q")[1], F.col(value).cast("double")))
     return attach(df, one, by).withColumn("winsorised", F.when(F.col(value).isNotNull(), clamped)).drop("__q")
 

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
 from tessera.operators import anomaly, clustering, evaluation, graph, pairs, ranking, sampling, stats, testing, text_metrics
+from tessera.plans.scratch import Scratch
+from tessera.plans.selection import quantiles
+from tessera.sources import stores
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -68,6 +71,14 @@ def stats_quantile(df: DataFrame) -> DataFrame:
     return _r(stats.quantile(df, "l_extendedprice", 0.9, ["l_returnflag"]), 4)
 
 
+@_query("lineitem", "SELECT status, round(quantile_cont(l_extendedprice, 0.01), 4) AS q01, round(quantile_cont(l_extendedprice, 0.5), 4) AS q50, round(quantile_cont(l_extendedprice, 0.999), 4) AS q999 FROM (SELECT *, nullif(l_linestatus, 'F') AS status FROM lineitem) GROUP BY status")
+def stats_quantiles_by_selection(df: DataFrame) -> DataFrame:
+    """Every group by selection, whatever its size; one key is null."""
+    rows = df.select(F.nullif("l_linestatus", F.lit("F")).alias("status"), F.col("l_extendedprice").alias("x"))
+    found = quantiles(rows, [0.01, 0.5, 0.999], ["status"], small=0)
+    return _r(found.select("status", *(F.col("q")[i].alias(n) for i, n in enumerate(("q01", "q50", "q999")))), 4)
+
+
 @_query("orders", "SELECT o_orderkey, round((o_totalprice - avg(o_totalprice) OVER (PARTITION BY o_orderstatus)) / stddev_samp(o_totalprice) OVER (PARTITION BY o_orderstatus), 6) + 0.0 AS z FROM orders")
 def stats_z_scores(df: DataFrame) -> DataFrame:
     return _r(stats.z_scores(df, "o_totalprice", ["o_orderstatus"]).select("o_orderkey", "z"))
@@ -160,6 +171,19 @@ def nearest_neighbours(df: DataFrame) -> DataFrame:
     return _r(pairs.nearest(df, 5, id_col="vec_id", vector="embedding").withColumn("r", F.col("r").cast("long")))
 
 
+@_query("embeddings", ORACLE_SQL["nearest_neighbours"])
+def nearest_by_pivots(df: DataFrame) -> DataFrame:
+    """The same by the triangle inequality, whatever the number of rows."""
+    return _r(pairs.nearest(df, 5, id_col="vec_id", vector="embedding", all_pairs=0).withColumn("r", F.col("r").cast("long")))
+
+
+@_query("events", "WITH p AS (SELECT event_id, user_id % 97 AS x, value AS y FROM events WHERE event_type = 'error') SELECT a.event_id AS i, b.event_id AS j FROM p a JOIN p b ON b.y BETWEEN a.y - 0.51 AND a.y + 0.51 AND power(a.x - b.x, 2) + power(a.y - b.y, 2) <= 0.25")
+def join_within_distance(df: DataFrame) -> DataFrame:
+    """Errors at a distance of at most one half in the plane of user class and value."""
+    points = df.where("event_type = 'error'").select("event_id", F.array((F.col("user_id") % 97).cast("double"), "value").alias("v"))
+    return pairs.within(points, 0.5, id_col="event_id")
+
+
 # --- tests ------------------------------------------------------------------------------------------------------------------
 
 _TWO = "WITH s AS (SELECT count(*) FILTER (event_type = 'click') AS n1, count(*) FILTER (event_type = 'error') AS n2, avg(value) FILTER (event_type = 'click') AS m1, avg(value) FILTER (event_type = 'error') AS m2, var_samp(value) FILTER (event_type = 'click') AS v1, var_samp(value) FILTER (event_type = 'error') AS v2 FROM events)"
@@ -758,9 +782,22 @@ SELECT *, CASE WHEN n_supported + n_contradicted > 0 THEN round(n_supported / (n
 
 @_query("embeddings", f"{_VECS} SELECT b.vec_id AS ref, round({_COS} / sqrt(list_sum(list_transform(a.x, lambda t: t * t)) * list_sum(list_transform(b.x, lambda t: t * t))), 6) AS score FROM (SELECT * FROM e ORDER BY vec_id LIMIT 1) a, e b ORDER BY score DESC, ref LIMIT 10")
 def store_top_k(df: DataFrame) -> DataFrame:
+    """Through the store: two generations of rows, of which the second replaces a third of the first, and a query."""
+    rows = df.select(F.col("vec_id").cast("string").alias("ref"), F.col("embedding").cast("array<double>").alias("v"))
     probe = df.orderBy("vec_id").limit(1).select(F.col("embedding").cast("array<double>")).first()[0]
-    scored = df.select(F.col("vec_id").alias("ref"), F.round(V.cosine(F.col("embedding").cast("array<double>"), F.array(*(F.lit(x) for x in probe))), 6).alias("score"))
-    return ranking.top_k(scored, 10, doc_id="ref")
+    store = stores.VectorTable(df.sparkSession, Scratch(df.sparkSession, "vectors").path, len(probe))
+    stale = F.when(F.pmod(F.xxhash64("ref"), F.lit(3)) == 0, F.reverse("v")).otherwise(F.col("v"))
+    store.upsert(rows.withColumn("v", stale))
+    store.upsert(rows.where(F.pmod(F.xxhash64("ref"), F.lit(3)) == 0))
+    return store.query(probe, 10).select(F.col("ref").cast("long").alias("ref"), F.round("score", 6).alias("score"))
+
+
+@_query("embeddings", f"{_VECS}, s AS (SELECT a.vec_id AS query_id, b.vec_id AS ref, greatest(-1, least(1, {_COS} / sqrt(list_sum(list_transform(a.x, lambda t: t * t)) * list_sum(list_transform(b.x, lambda t: t * t))))) AS score FROM e a, e b WHERE a.vec_id % 50 = 0) SELECT query_id, ref, round(score, 6) AS score, (row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, ref))::INT AS r FROM s QUALIFY r <= 5")
+def store_query_many(df: DataFrame) -> DataFrame:
+    store = stores.VectorTable(df.sparkSession, Scratch(df.sparkSession, "vectors").path, 64)
+    store.upsert(df.select(F.col("vec_id").cast("string").alias("ref"), F.col("embedding").alias("v")))
+    found = store.query_many(df.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v")), 5)
+    return found.select("query_id", F.col("ref").cast("long").alias("ref"), F.round("score", 6).alias("score"), "r")
 
 
 @_query("events", "SELECT epoch(time_bucket(INTERVAL 1 HOUR, ts))::BIGINT AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS std FROM events GROUP BY 1, 2")

@@ -1,4 +1,4 @@
-"""Stores over shared folders: files by content, vectors, experiment runs, run state."""
+"""Stores over shared folders: files by content, vectors, experiment runs. Run state is in ``study/durable.py``."""
 
 from __future__ import annotations
 
@@ -7,13 +7,16 @@ import re
 import shutil
 import uuid
 from collections.abc import Mapping
+from functools import reduce
 from hashlib import sha256
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
+from tessera.operators.pairs import best_of_base
+from tessera.plans.versions import Conflict, Versions
 
 
 class LocalDataVersioner:
@@ -51,43 +54,82 @@ def fingerprint_files(spark: SparkSession, pattern: str) -> DataFrame:
 
 
 class VectorTable:
-    """References with vectors in Parquet; ``upsert`` replaces equal references, ``query`` ranks by cosine."""
+    """References with vectors of one dimension, in Parquet under ``path``.
+
+    An upsert writes its own rows and commits them as one more generation (``plans/versions.py``); the newest generation of a
+    reference counts. So writing costs what is written, readers see whole generations only, a writer that dies leaves nothing
+    that is read, and of two writers at once both count. ``compact`` folds the generations into one.
+    """
 
     def __init__(self, spark: SparkSession, path: str, dimension: int):
-        self.spark, self.path, self.dimension = spark, path, dimension
-
-    def _now(self) -> DataFrame | None:
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return None
-        latest = max((s.getPath().getName() for s in fs.listStatus(root)), default=None)
-        return self.spark.read.parquet(f"{self.path}/{latest}") if latest else None
-
-    def upsert(self, rows: DataFrame) -> None:
-        """``rows(ref string, v array<double>)``; the new state is a new folder, so readers never see half of it."""
-        if not rows.where(F.size("v") != self.dimension).isEmpty():
-            raise ValueError(f"vectors must have {self.dimension} components")
-        now = self._now()
-        new = rows.select("ref", F.col("v").cast("array<double>").alias("v"))
-        state = new if now is None else now.join(new.select("ref"), "ref", "left_anti").unionByName(new)
-        number = 0 if now is None else int(os.path.basename(os.path.dirname(now.inputFiles()[0])).split("-")[1]) + 1
-        state.write.parquet(f"{self.path}/v-{number:06d}")
+        if dimension < 1:
+            raise ValueError("the dimension must be positive")
+        self.spark, self.dimension, self._versions = spark, dimension, Versions(spark, path)
+
+    def _state(self) -> tuple[int, dict[str, str]]:
+        """The last committed number, -1 if there is none, and its generations."""
+        found = self._versions.latest()
+        if found is None:
+            return -1, {}
+        if found[1]["dimension"] != self.dimension:
+            raise ValueError(f"the store holds vectors of {found[1]['dimension']} components, not {self.dimension}")
+        return found[0], found[1]["tables"]
+
+    def rows(self) -> DataFrame:
+        """``ref, v``: the newest vector of each reference."""
+        tables = self._state()[1]
+        if not tables:
+            return self.spark.createDataFrame([], "ref string, v array<double>")
+        parts = [self._versions.table(at).select("ref", "v", F.lit(int(g)).alias("g")) for g, at in tables.items()]
+        every = reduce(DataFrame.unionByName, parts)
+        return every.groupBy("ref").agg(F.max_by("v", "g").alias("v")) if len(parts) > 1 else every.select("ref", "v")
+
+    def upsert(self, rows: DataFrame, *, attempts: int = 10) -> None:
+        """Add or replace ``rows(ref string, v array<double>)``.
+
+        Null references, and vectors that are null, of another length or not finite, raise, and nothing is written. Of rows with
+        one reference that whose vector sorts last stays.
+        """
+        new = rows.select(F.col("ref").cast("string").alias("ref"), F.col("v").cast("array<double>").alias("v"))
+        sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+        good = F.col("ref").isNotNull() & F.coalesce((F.size("v") == self.dimension) & sound, F.lit(False))
+        if not new.where(~good).isEmpty():
+            raise ValueError(f"references must be given, and vectors must have {self.dimension} finite components")
+        self._state()
+        at = self._versions.write(new.groupBy("ref").agg(F.max("v").alias("v")), self._versions.folder(), "rows")
+        for _ in range(attempts):
+            number, tables = self._state()
+            try:
+                self._versions.commit(number + 1, {"dimension": self.dimension, "tables": {**tables, str(number + 1): at}})
+                return
+            except Conflict:  # another writer was faster: these rows come after its rows
+                continue
+        raise Conflict(f"{attempts} other writers were faster")
+
+    def compact(self) -> None:
+        """Fold all generations into one; raises ``Conflict`` if a writer commits meanwhile, and then changes nothing."""
+        number, tables = self._state()
+        if len(tables) > 1:
+            at = self._versions.write(self.rows(), self._versions.folder(), "rows")
+            self._versions.commit(number + 1, {"dimension": self.dimension, "tables": {str(number + 1): at}})
 
     def query(self, vector: list[float], k: int) -> DataFrame:
-        """``ref, score`` of the k nearest."""
+        """``ref, score`` of the k nearest by cosine, ties to the smaller reference."""
         if k <= 0:
             raise ValueError("k must be positive")
-        now = self._now()
-        if now is None:
+        if len(vector) != self.dimension:
+            raise ValueError(f"the query must have {self.dimension} components")
+        if not self._state()[1]:
             raise ValueError("the store is empty")
-        return now.select("ref", V.cosine(F.col("v"), F.array(*(F.lit(float(x)) for x in vector))).alias("score")).orderBy(F.desc("score"), "ref").limit(k)
+        probe = F.array(*(F.lit(float(x)) for x in vector))
+        return self.rows().select("ref", V.cosine(F.col("v"), probe).alias("score")).orderBy(F.desc("score"), "ref").limit(k)
 
     def query_many(self, queries: DataFrame, k: int) -> DataFrame:
-        """``query_id, ref, score`` of the k nearest to each row of ``queries(query_id, v)``, a stated query set against all rows."""
-        pairs = self._now().select("ref", "v").crossJoin(queries.select("query_id", F.col("v").alias("q")))
-        scored = pairs.select("query_id", "ref", V.cosine(F.col("v"), F.col("q")).alias("score"))
-        return scored.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "ref"))).where(F.col("r") <= k).drop("r")
+        """``query_id, ref, score, r`` of the k nearest to each row of ``queries(query_id, v)``: a stated query set against all rows, in blocks."""
+        if k <= 0:
+            raise ValueError("k must be positive")
+        found = best_of_base(queries, self.rows().withColumnRenamed("ref", "id"), k, query_id="query_id")
+        return found.withColumnRenamed("id", "ref")
 
 
 class ExperimentTable:

@@ -65,13 +65,17 @@ class Gate:
     precondition: Callable[[Mapping[str, Any]], bool] = lambda state: True
     human: bool = True
 
-    def evaluate(self, state: Mapping[str, Any], decision: GateDecision, recorder: Callable[[str, bool, str], None] | None = None) -> GateDecision:
+    def check(self, state: Mapping[str, Any], decision: GateDecision) -> None:
+        """Raise unless the gate may be decided now, and this is a decision on it."""
         if not legal_transition(self.frm, self.to, self.modes):
             raise GateError(f"{self.name}: {self.frm.name} does not lead to {self.to.name}")
         if not self.precondition(state):
             raise GateError(f"{self.name}: the precondition does not hold")
         if not isinstance(decision, GateDecision) or decision.gate != self.name or not isinstance(decision.approved, bool):
             raise GateError(f"{self.name}: not a decision on this gate")
+
+    def evaluate(self, state: Mapping[str, Any], decision: GateDecision, recorder: Callable[[str, bool, str], None] | None = None) -> GateDecision:
+        self.check(state, decision)
         if self.human and recorder is None:
             raise GateError(f"{self.name}: a human decision must be recorded")
         if recorder:
