@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.tokens import tokens
 from tessera.functions.vectors import ratio
+from tessera.plans.scratch import Scratch, broadcast_if_small
 
 
 def _terms(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -28,20 +29,22 @@ def _ranked(docs: DataFrame, doc_id: str, scores: DataFrame) -> DataFrame:
     return every.join(scores, "doc_id", "left").select("doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+def _idf(terms: DataFrame, n: int, smooth: bool) -> DataFrame:
+    df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return df.withColumn("idf", F.ln((F.lit(n) + 1) / (F.col("df") + 1)) + 1 if smooth else F.ln(F.lit(n) / F.col("df")) + 1)
+
+
 def idf_table(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", smooth: bool = True) -> DataFrame:
     """``term, df, idf`` over all documents."""
-    n = docs.count()
-    df = _terms(docs, doc_id, text).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.ln((F.lit(n) + 1) / (F.col("df") + 1)) + 1 if smooth else F.ln(F.lit(n) / F.col("df")) + 1
-    return df.withColumn("idf", idf)
+    return _idf(_terms(docs, doc_id, text), docs.count(), smooth)
 
 
 def tfidf_score(docs: DataFrame, query: str, *, doc_id: str = "doc_id", text: str = "text", smooth_idf: bool = True) -> DataFrame:
     """``doc_id, score``: cosine of TF-IDF vectors of each document and the query; unseen query terms weigh nothing."""
-    terms = _terms(docs, doc_id, text)
-    idf = idf_table(docs, doc_id=doc_id, text=text, smooth=smooth_idf)
+    terms = Scratch(docs.sparkSession, "tfidf").table(_terms(docs, doc_id, text), "terms")
+    idf = _idf(terms, docs.count(), smooth_idf)
     q = _query_terms(docs, query)
-    weights = terms.join(idf, "term").withColumn("w", F.col("c") / F.col("len") * F.col("idf"))
+    weights = terms.join(broadcast_if_small(idf, idf.count(), 200_000), "term").withColumn("w", F.col("c") / F.col("len") * F.col("idf"))
     length = q.agg(F.sum("qc").alias("ql"))
     qw = idf.join(F.broadcast(q), "term").crossJoin(F.broadcast(length)).select("term", (F.col("qc") / F.col("ql") * F.col("idf")).alias("qw"))
     norm = qw.agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))

@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
 from tessera.operators import anomaly, clustering, evaluation, graph, pairs, ranking, sampling, stats, testing, text_metrics
+from tessera.operators.inverted_index import InvertedIndex
 from tessera.plans.scratch import Scratch
 from tessera.plans.selection import quantiles
 from tessera.sources import stores
+from tessera.study import durable, governance
+from tessera.study.contracts import StudyMode
+from tessera.study.provenance import ProvenanceTrail
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -394,6 +398,32 @@ def rank_bm25(df: DataFrame) -> DataFrame:
     return _r(ranking.bm25_score(df, _WORDS))
 
 
+_MANY = f"WITH d AS (SELECT doc_id, {_TOKENS.format('text')} AS t FROM documents), x AS (SELECT doc_id, len(t) AS len, unnest(t) AS term FROM d), c AS (SELECT doc_id, any_value(len) AS len, term, count(*) AS c FROM x GROUP BY doc_id, term), n AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM d), f AS (SELECT term, count(*) AS df FROM c GROUP BY term), w AS (SELECT item_id, unnest({_TOKENS.format('text')}) AS term FROM benchmark), q AS (SELECT item_id, term, count(*) AS qc FROM w GROUP BY 1, 2)"
+_TOP = "s AS (SELECT b.item_id AS query_id, d.doc_id, round(coalesce(s, 0), 10) AS score FROM benchmark b CROSS JOIN documents d LEFT JOIN p ON p.item_id = b.item_id AND p.doc_id = d.doc_id) SELECT query_id, doc_id, round(score, 6) AS score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id))::INT AS rank FROM s QUALIFY rank <= 10"
+
+
+def _indexed(name: str, score: str, sql: str) -> None:
+    """Register the ten best documents for each text of ``benchmark``, from an index that is built, committed and opened again."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = Scratch(spark, "inverted").path
+        InvertedIndex.build(_read(spark, sf_dir, "documents"), path)
+        queries = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+        return _r(InvertedIndex(spark, path).top_k(queries, 10, score=score))
+
+    QUERIES[name] = run
+    ORACLE_SQL[name] = f"{_MANY}, {sql}, {_TOP}"
+
+
+_indexed("index_bm25_top_k", "bm25", "p AS (SELECT item_id, doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * c * 2.5 / (c + 1.5 * (0.25 + 0.75 * len / avgdl)) * qc) AS s FROM c JOIN q USING (term) JOIN f USING (term), n GROUP BY ALL)")
+_indexed(
+    "index_tfidf_top_k", "tfidf",
+    "i AS (SELECT term, ln((n + 1) / (df + 1)) + 1 AS idf FROM f, n), z AS (SELECT doc_id, sqrt(sum(power(c / len * idf, 2))) AS dn FROM c JOIN i USING (term) GROUP BY doc_id), "
+    "l AS (SELECT item_id, sum(qc) AS ql FROM q GROUP BY 1), u AS (SELECT item_id, term, idf, qc / ql * idf AS w FROM q JOIN l USING (item_id) JOIN i USING (term)), v AS (SELECT item_id, sqrt(sum(w * w)) AS qn FROM u GROUP BY 1), "
+    "p AS (SELECT u.item_id, c.doc_id, sum(c / len * idf * w) / (any_value(dn) * any_value(qn)) AS s FROM c JOIN u USING (term) JOIN z USING (doc_id) JOIN v USING (item_id) GROUP BY ALL)",
+)
+
+
 _LISTS = "WITH a AS (SELECT doc_id, source AS query_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS pos FROM documents), b AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars, doc_id) AS pos FROM documents)"
 
 
@@ -807,6 +837,62 @@ def stream_windowed_stats(df: DataFrame) -> DataFrame:
     return _r(windowed_stats(df).withColumn("start", F.unix_timestamp("start")))
 
 
+def _parked_run(spark: SparkSession, sf_dir: str) -> tuple[durable.RunStore, str]:
+    """A run over ``lineitem`` that parks at a gate, and is resumed by a graph and a store that know nothing of its beginning."""
+    path, run_id = Scratch(spark, "runs").path, "prices"
+    gate = governance.Gate("prices", governance.Phase.DISCOVERY, governance.Phase.PREREGISTER, frozenset([StudyMode.DISCOVERY]))
+    trail = ProvenanceTrail()
+
+    def graph() -> durable.Graph:
+        def ingest(state: durable.RunState) -> dict[str, DataFrame]:
+            return {"rows": _read(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_extendedprice")}
+
+        def baseline(state: durable.RunState) -> dict[str, DataFrame]:
+            return {"baseline": state.tables["rows"].groupBy("l_returnflag").agg(F.avg("l_extendedprice").alias("mean"))}
+
+        def report(state: durable.RunState) -> dict[str, DataFrame]:
+            above = state.tables["rows"].join(state.tables["baseline"], "l_returnflag").where("l_extendedprice > mean")
+            return {"report": above.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("above"))}
+
+        def build(b: durable.GraphBuilder) -> None:
+            b.phase("ingest", ingest, "baseline").phase("baseline", baseline, "prices")
+            b.phase("prices", durable.make_gate_node(gate, lambda s: {"groups": s.tables["baseline"].count()}, recorder=trail.as_recorder()), "report")
+            b.phase("report", report)
+
+        return durable.compile_graph(build, store=durable.RunStore(spark, path), requires_store=True)
+
+    durable.run(graph(), run_id=run_id)
+    durable.resume(graph(), run_id=run_id, gate="prices", approved=True, reason="in range")
+    return durable.RunStore(spark, path), run_id
+
+
+def study_resumed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a parked and resumed run reports."""
+    store, run_id = _parked_run(spark, sf_dir)
+    return store.load(run_id)[2]["report"]
+
+
+def study_run_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The commits of that run, each with the rows of what it added."""
+    store, run_id = _parked_run(spark, sf_dir)
+    tables = store.load(run_id)[2]
+    rows = [tables[t].select(F.lit(t).alias("added")) for t in ("rows", "baseline", "report")]
+    sizes = rows[0].unionByName(rows[1]).unionByName(rows[2]).groupBy("added").agg(F.count("*").alias("n_rows"))
+    commits = store.commits(run_id).withColumn("added", F.get(F.from_json("tables", "array<string>"), F.lit(0)))
+    return commits.join(sizes, "added", "left").select("number", "phase", F.col("next").alias("next_phase"), "parked", "n_rows")
+
+
+QUERIES["study_resumed_run"], QUERIES["study_run_commits"] = study_resumed_run, study_run_commits
+_REPORT = "SELECT l_returnflag, l_linestatus, count(*) AS above FROM lineitem JOIN (SELECT l_returnflag, avg(l_extendedprice) AS mean FROM lineitem GROUP BY 1) USING (l_returnflag) WHERE l_extendedprice > mean GROUP BY 1, 2"
+ORACLE_SQL["study_resumed_run"] = _REPORT
+ORACLE_SQL["study_run_commits"] = f"""
+SELECT 0::BIGINT AS number, 'ingest' AS phase, 'baseline' AS next_phase, NULL::VARCHAR AS parked, (SELECT count(*) FROM lineitem) AS n_rows
+UNION ALL SELECT 1, 'baseline', 'prices', NULL, (SELECT count(DISTINCT l_returnflag) FROM lineitem)
+UNION ALL SELECT 2, 'prices', 'prices', 'prices', NULL UNION ALL SELECT 3, 'prices', 'report', NULL, NULL
+UNION ALL SELECT 4, 'report', NULL, NULL, (SELECT count(*) FROM ({_REPORT}))
+"""
+
+
 def _three(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Three hypotheses: is the mean of a type above all; null and resampled values are means by user."""
     means = df.groupBy("event_type", "user_id").agg(F.avg("value").alias("value"))
