@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
-from tessera.functions.draws import index
+from tessera.functions.draws import index, uniform
+from tessera.plans.ordered import row_numbers
 from tessera.plans.scratch import Scratch
 
 
@@ -127,18 +128,24 @@ def graph_sage(graph: Graph, layers: Sequence[tuple[np.ndarray, np.ndarray, np.n
     return now.select("id", F.col("features").alias("v"))
 
 
+def _numbered(graph: Graph, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """``src, dst, k``: out-edges numbered from 0 by dst, and ``src, deg``.
+
+    Numbers come from running counts over ranges of (src, dst), so the edges of a hub are numbered in many tasks.
+    """
+    placed = scratch.table(row_numbers(graph.edges.select("src", "dst"), [F.col("src"), F.col("dst")]), "placed")
+    sizes = scratch.table(placed.groupBy("src").agg(F.count(F.lit(1)).alias("deg"), F.min("rn").alias("first")), "sizes")
+    return scratch.table(placed.join(sizes, "src").select("src", "dst", (F.col("rn") - F.col("first")).alias("k")), "out"), sizes.select("src", "deg")
+
+
 def random_walks(graph: Graph, *, walk_length: int = 80, num_walks: int = 10, seed: int = 0) -> DataFrame:
     """``id, walk, path``: uniform walks from every node; a walk ends early where no edge leaves.
 
     Each step joins the walks' ends with numbered out-edges on (node, drawn number), so no adjacency list is gathered. Repeated
     edges are drawn in proportion.
     """
-    from pyspark.sql import Window
-
     scratch = Scratch(graph.edges.sparkSession, "walks")
-    out = graph.edges.select("src", "dst").withColumn("k", F.row_number().over(Window.partitionBy("src").orderBy("dst")) - 1)
-    out = scratch.table(out, "out")
-    sizes = out.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
+    out, sizes = _numbered(graph, scratch)
     now = graph.nodes.select("id").withColumn("walk", F.explode(F.sequence(F.lit(0), F.lit(num_walks - 1)))).select("id", "walk", F.col("id").alias("at"), F.array("id").alias("path"))
     for step in range(1, walk_length):
         drawn = now.join(sizes, F.col("at") == F.col("src"), "left").withColumn("pick", index(F.col("deg"), seed, f"walk{step}", F.col("id"), F.col("walk"))).drop("src")
@@ -149,6 +156,73 @@ def random_walks(graph: Graph, *, walk_length: int = 80, num_walks: int = 10, se
     return now.select("id", "walk", "path")
 
 
+#: Proposals that one round makes for each walk, and after how many the step is drawn from all edges instead.
+PROPOSALS, PATIENCE = 4, 16
+
+
+def biased_walks(graph: Graph, *, walk_length: int = 20, num_walks: int = 5, p: float = 1.0, q: float = 1.0, seed: int = 0, proposals: int = PROPOSALS, patience: int = PATIENCE) -> DataFrame:
+    """``id, walk, path``: second-order walks. An edge from the present node weighs 1/p if it leads back to the node before, 1 if
+    that node has an edge to where it leads, else 1/q; a walk ends early where no edge leaves.
+
+    A step is drawn by rejection: an edge is proposed uniformly, by a join on (node, drawn number), and accepted in proportion to its
+    weight, which a join on (node before, proposed node) tells. Walks advance on their own, a few proposals each round; what is not
+    accepted in ``patience`` proposals is drawn exactly: of all edges of the node, that with the least ``-ln(u) / weight``, a minimum
+    that is taken map-side. No adjacency list is gathered or sent around, and repeated edges are drawn in proportion. The node's
+    return edge is looked up first, as without one its great weight would only delay acceptance.
+    """
+    if p <= 0 or q <= 0:
+        raise ValueError("p and q must be positive")
+    if walk_length < 1 or num_walks < 1:
+        raise ValueError("walks need a length and a number")
+    spark = graph.edges.sparkSession
+    scratch = Scratch(spark, "biased-walks")
+    out, sizes = _numbered(graph, scratch)
+    known = scratch.table(graph.edges.select(F.col("src").alias("ks"), F.col("dst").alias("kd")).where("ks IS NOT NULL AND kd IS NOT NULL").distinct(), "known")
+    starts = graph.nodes.select("id").withColumn("walk", F.explode(F.sequence(F.lit(0), F.lit(num_walks - 1))))
+    kind = graph.edges.schema["dst"].dataType
+    now = starts.select("id", "walk", F.lit(0).alias("pos"), F.lit(None).cast(kind).alias("prev"), F.col("id").cast(kind).alias("at"), F.lit(0).alias("tries"), F.lit(False).alias("back"))
+    state, rounds = ["id", "walk", "pos", "prev", "at", "tries", "back"], 0
+    back, near, away = 1 / p, 1.0, 1 / q
+
+    def weighed(edges: DataFrame) -> DataFrame:
+        """With ``w``, the weight of the step from ``at`` to ``dst``."""
+        marked = edges.join(known, (F.col("prev") == F.col("ks")) & (F.col("dst") == F.col("kd")), "left")
+        w = F.when(F.col("prev").isNull(), 1.0).when(F.col("dst") == F.col("prev"), back).when(F.col("kd").isNotNull(), near).otherwise(away)
+        return marked.withColumn("w", w).drop("ks", "kd")
+
+    while walk_length > 1:
+        rounds += 1
+        at = now.join(sizes, F.col("at") == F.col("src")).drop("src")
+        tried = at.where(F.col("tries") < patience).withColumn("t", F.explode(F.sequence(F.col("tries"), F.least(F.col("tries") + proposals, F.lit(patience)) - 1)))
+        tried = tried.withColumn("pick", index(F.col("deg"), seed, "propose", F.col("id"), F.col("walk"), F.col("pos"), F.col("t")))
+        proposed = weighed(tried.join(out, (F.col("at") == F.col("src")) & (F.col("pick") == F.col("k"))))
+        top = F.when(F.col("prev").isNull(), 1.0).when(F.col("back"), max(back, near, away)).otherwise(max(near, away))
+        accepted = uniform(seed, "accept", F.col("id"), F.col("walk"), F.col("pos"), F.col("t")) * top < F.col("w")
+        drawn = proposed.groupBy(*state).agg(F.min(F.when(accepted, F.struct("t", "dst")))["dst"].alias("next"))
+        # the rest: all edges race
+        every = weighed(at.where(F.col("tries") >= patience).join(out, F.col("at") == F.col("src")))
+        u = F.greatest(uniform(seed, "race", F.col("id"), F.col("walk"), F.col("pos"), F.col("k")), F.lit(1e-12))
+        raced = every.groupBy(*state).agg(F.min(F.struct((-F.ln(u) / F.col("w")).alias("key"), "dst"))["dst"].alias("next"))
+        moved = scratch.table(drawn.unionByName(raced), f"round{rounds:05d}")
+        ahead = moved.where(F.col("next").isNotNull() & (F.col("pos") + 2 < walk_length)).select("id", "walk", (F.col("pos") + 1).alias("pos"), F.col("at").alias("prev"), F.col("next").alias("at"), F.lit(0).alias("tries"))
+        ahead = ahead.join(known, (F.col("at") == F.col("ks")) & (F.col("prev") == F.col("kd")), "left").withColumn("back", F.col("ks").isNotNull()).drop("ks", "kd")
+        waiting = moved.where(F.col("next").isNull()).drop("next").withColumn("tries", F.col("tries") + proposals)
+        now = scratch.table(ahead.unionByName(waiting), f"now{rounds:05d}")
+        if now.isEmpty():
+            break
+    steps = starts.select("id", "walk", F.lit(0).alias("pos"), F.col("id").cast(kind).alias("node"))
+    if rounds:
+        made = spark.read.parquet(*(f"{scratch.path}/round{r:05d}" for r in range(1, rounds + 1)))
+        steps = steps.unionByName(made.where(F.col("next").isNotNull()).select("id", "walk", (F.col("pos") + 1).alias("pos"), F.col("next").alias("node")))
+    # a walk has walk_length nodes at most
+    return steps.groupBy("id", "walk").agg(F.sort_array(F.collect_list(F.struct("pos", "node")))["node"].alias("path"))
+
+
+def node2vec(graph: Graph, *, dim: int = 128, walk_length: int = 80, num_walks: int = 10, p: float = 1.0, q: float = 1.0, window: int = 10, epochs: int = 1, seed: int = 0) -> DataFrame:
+    """``id, v``: skip-gram vectors over biased walks."""
+    return walk_embeddings(biased_walks(graph, walk_length=walk_length, num_walks=num_walks, p=p, q=q, seed=seed), dim=dim, window=window, epochs=epochs, seed=seed)
+
+
 def walk_embeddings(walks: DataFrame, *, dim: int = 128, window: int = 5, epochs: int = 1, seed: int = 0) -> DataFrame:
     """``id, v``: skip-gram vectors of nodes that meet in walks."""
     from pyspark.ml.feature import Word2Vec

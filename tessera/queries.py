@@ -719,9 +719,47 @@ def graph_gcn(df: DataFrame) -> DataFrame:
     return _r(graph.gcn(_supply(df), layers).select("id", F.col("v")[0].alias("x"), F.col("v")[1].alias("y")))
 
 
-@_query("lineitem")
+_NUMBERED = f"{_EDGES}, z AS (SELECT src, count(*) AS deg FROM g GROUP BY 1), num AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS k FROM g)"
+
+
+def _pick(stream: str, ids: str) -> str:
+    return f"least(floor({_u(stream, ids)} * deg), deg - 1)::BIGINT"
+
+
+def _walks_sql(length: int, walks: int) -> str:
+    out = [f"{_NUMBERED}, w0 AS (SELECT id, walk::INT AS walk, id AS here, [id] AS path FROM v, range({walks}) t(walk))"]
+    for s in range(1, length):
+        pick = _pick(f"walk{s}", "w.id, walk")
+        out.append(f"w{s} AS (SELECT w.id, walk, e.dst AS here, CASE WHEN e.dst IS NULL THEN path ELSE list_append(path, e.dst) END AS path FROM w{s - 1} w LEFT JOIN z ON z.src = here LEFT JOIN num e ON e.src = here AND e.k = {pick})")
+    return f"{', '.join(out)} SELECT id, walk, array_to_string(path, ' ') AS path FROM w{length - 1}"
+
+
+@_query("lineitem", _walks_sql(4, 2))
 def graph_random_walks(df: DataFrame) -> DataFrame:
-    return graph.random_walks(_supply(df), walk_length=4, num_walks=2)
+    return graph.random_walks(_supply(df), walk_length=4, num_walks=2).withColumn("path", F.concat_ws(" ", F.col("path").cast("array<string>")))
+
+
+def _biased_sql(length: int, walks: int, p: float, q: float) -> str:
+    """The same draws: the first accepted of ``PATIENCE`` proposals, else the race of all edges."""
+    back, away = 1 / p, 1 / q
+    w = f"CASE WHEN prev IS NULL THEN 1.0 WHEN dst = prev THEN {back} WHEN near THEN 1.0 ELSE {away} END"
+    top = f"CASE WHEN prev IS NULL THEN 1.0 WHEN EXISTS (SELECT 1 FROM g WHERE g.src = here AND g.dst = prev) THEN {max(back, 1, away)} ELSE {max(1, away)} END"
+    out = [f"{_NUMBERED}, s0 AS (SELECT id, walk::INT AS walk, NULL::BIGINT AS prev, id AS here, [id] AS path FROM v, range({walks}) t(walk))"]
+    for i in range(length - 1):
+        ids = f"s.id, walk, {i}"
+        near = "(c.src IS NOT NULL) AS near"
+        out += [
+            f"p{i} AS (SELECT s.id, walk, prev, here, t, e.dst, {near}, {_u('accept', f'{ids}, t')} AS u FROM (SELECT *, unnest(range({graph.PATIENCE})) AS t FROM s{i} JOIN z ON z.src = here) s JOIN num e ON e.src = s.here AND e.k = {_pick('propose', f'{ids}, t')} LEFT JOIN g c ON c.src = prev AND c.dst = e.dst)",
+            f"a{i} AS (SELECT id, walk, arg_min(dst, t) AS nxt FROM (SELECT *, {w} AS w, {top} AS top FROM p{i}) WHERE u * top < w GROUP BY 1, 2)",
+            f"r{i} AS (SELECT id, walk, arg_min(dst, -ln(greatest(u, 1e-12)) / w) AS nxt FROM (SELECT *, {w} AS w FROM (SELECT s.id, walk, prev, e.dst, {near}, {_u('race', f'{ids}, e.k')} AS u FROM s{i} s JOIN num e ON e.src = here LEFT JOIN g c ON c.src = prev AND c.dst = e.dst)) GROUP BY 1, 2)",
+            f"s{i + 1} AS (SELECT s.id, s.walk, here AS prev, coalesce(a.nxt, r.nxt) AS here, CASE WHEN coalesce(a.nxt, r.nxt) IS NULL THEN path ELSE list_append(path, coalesce(a.nxt, r.nxt)) END AS path FROM s{i} s LEFT JOIN a{i} a ON a.id = s.id AND a.walk = s.walk LEFT JOIN r{i} r ON r.id = s.id AND r.walk = s.walk)",
+        ]
+    return f"{', '.join(out)} SELECT id, walk, array_to_string(path, ' ') AS path FROM s{length - 1}"
+
+
+@_query("lineitem", _biased_sql(4, 2, 0.25, 4.0))
+def graph_biased_walks(df: DataFrame) -> DataFrame:
+    return graph.biased_walks(_supply(df), walk_length=4, num_walks=2, p=0.25, q=4.0).withColumn("path", F.concat_ws(" ", F.col("path").cast("array<string>")))
 
 
 @_query("lineitem", f"{_EDGES}, s AS (SELECT src, dst, 1 / (1 + exp(-(0.01 * (src % 7) * (dst % 7) - 0.02 * (src % 5) * (dst % 5)))) AS s FROM g) SELECT src, dst, round(s, 6) AS score, s >= 0.5 AS predicted FROM s")
@@ -879,17 +917,17 @@ def study_run_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [tables[t].select(F.lit(t).alias("added")) for t in ("rows", "baseline", "report")]
     sizes = rows[0].unionByName(rows[1]).unionByName(rows[2]).groupBy("added").agg(F.count("*").alias("n_rows"))
     commits = store.commits(run_id).withColumn("added", F.get(F.from_json("tables", "array<string>"), F.lit(0)))
-    return commits.join(sizes, "added", "left").select("number", "phase", F.col("next").alias("next_phase"), "parked", "n_rows")
+    return commits.join(sizes, "added", "left").select("number", "phase", F.coalesce("next", F.lit("-")).alias("next_phase"), F.coalesce("parked", F.lit("-")).alias("parked"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
 
 
 QUERIES["study_resumed_run"], QUERIES["study_run_commits"] = study_resumed_run, study_run_commits
 _REPORT = "SELECT l_returnflag, l_linestatus, count(*) AS above FROM lineitem JOIN (SELECT l_returnflag, avg(l_extendedprice) AS mean FROM lineitem GROUP BY 1) USING (l_returnflag) WHERE l_extendedprice > mean GROUP BY 1, 2"
 ORACLE_SQL["study_resumed_run"] = _REPORT
 ORACLE_SQL["study_run_commits"] = f"""
-SELECT 0::BIGINT AS number, 'ingest' AS phase, 'baseline' AS next_phase, NULL::VARCHAR AS parked, (SELECT count(*) FROM lineitem) AS n_rows
-UNION ALL SELECT 1, 'baseline', 'prices', NULL, (SELECT count(DISTINCT l_returnflag) FROM lineitem)
-UNION ALL SELECT 2, 'prices', 'prices', 'prices', NULL UNION ALL SELECT 3, 'prices', 'report', NULL, NULL
-UNION ALL SELECT 4, 'report', NULL, NULL, (SELECT count(*) FROM ({_REPORT}))
+SELECT 0::BIGINT AS number, 'ingest' AS phase, 'baseline' AS next_phase, '-' AS parked, (SELECT count(*) FROM lineitem) AS n_rows
+UNION ALL SELECT 1, 'baseline', 'prices', '-', (SELECT count(DISTINCT l_returnflag) FROM lineitem)
+UNION ALL SELECT 2, 'prices', 'prices', 'prices', 0 UNION ALL SELECT 3, 'prices', 'report', '-', 0
+UNION ALL SELECT 4, 'report', '-', '-', (SELECT count(*) FROM ({_REPORT}))
 """
 
 

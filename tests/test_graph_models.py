@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -91,8 +94,39 @@ def test_hetero_and_temporal(spark, clubs):
 
 def test_biased_walks(spark):
     lone = graph.from_edge_list(spark, [(0, 1)], 3)
-    got = {(r.id, r.walk): r.path for r in gm.node2vec_walks(lone, walk_length=4, num_walks=1).collect()}
-    assert got[2, 0] == [2] and got[0, 0] == [0, 1]
+    got = {(r.id, r.walk): r.path for r in graph.biased_walks(lone, walk_length=4, num_walks=1).collect()}
+    assert got == {(0, 0): [0, 1], (1, 0): [1], (2, 0): [2]}
     line = graph.from_edge_list(spark, [(0, 1), (1, 0), (1, 2), (2, 1), (2, 3), (3, 2)], 4)
-    back = [r.path for r in gm.node2vec_walks(line, walk_length=8, num_walks=20, p=1e-6).collect()]
+    back = [r.path for r in graph.biased_walks(line, walk_length=8, num_walks=20, p=1e-6).collect()]
     assert sum(p[i] == p[i + 2] for p in back for i in range(6)) >= 0.95 * 6 * len(back)
+    assert sorted(r.path for r in graph.biased_walks(line, walk_length=1, num_walks=1).collect()) == [[0], [1], [2], [3]]
+    for bad in ({"p": 0}, {"q": -1}, {"walk_length": 0}):
+        with pytest.raises(ValueError):
+            graph.biased_walks(line, **bad)
+
+
+@pytest.mark.parametrize(("proposals", "patience"), [(4, 16), (2, 0)])
+def test_transitions_of_biased_walks(spark, proposals, patience):
+    """Second-order transition frequencies against the definition, by proposals and by the race of all edges alone."""
+    edges = [(0, 1), (1, 0), (0, 2), (2, 0), (1, 2), (2, 1), (1, 3), (3, 1), (1, 4), (4, 1), (1, 4), (3, 4), (4, 2)]
+    p, q = 0.3, 3.0
+    paths = [r.path for r in graph.biased_walks(graph.from_edge_list(spark, edges, 5), walk_length=5, num_walks=1500, p=p, q=q, proposals=proposals, patience=patience).collect()]
+    seen = Counter((a, b, c) for path in paths for a, b, c in zip(path, path[1:], path[2:], strict=False))
+    total = Counter()
+    for (a, b, _), n in seen.items():
+        total[a, b] += n
+    for (a, b), n in total.items():
+        weight = Counter()
+        for s, d in edges:
+            if s == b:
+                weight[d] += 1 / p if d == a else 1 if (a, d) in edges else 1 / q
+        for c, w in weight.items():
+            share = w / sum(weight.values())
+            assert abs(seen[a, b, c] / n - share) < 5 * math.sqrt(share * (1 - share) / n) + 1e-9, (a, b, c)
+    assert len({tuple(x) for x in paths}) > 50
+
+
+def test_walks_repeat_with_their_seed(spark):
+    g = graph.from_edge_list(spark, [(i, (i * 7 + j) % 20) for i in range(20) for j in range(4)], 20)
+    one, two, other = (sorted(map(str, graph.biased_walks(graph.Graph(g.nodes, g.edges.repartition(n)), walk_length=5, num_walks=2, q=0.2, seed=s).collect())) for n, s in ((1, 3), (5, 3), (1, 4)))
+    assert one == two != other
