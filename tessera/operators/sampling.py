@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.draws import index, md5_key
+from tessera.operators import resampling
 from tessera.plans.ordered import row_numbers
+from tessera.plans.selection import quantiles
 
 
 def _numbered(df: DataFrame, id_col: str, seed: int | None, shuffle: bool, stream: str) -> tuple[DataFrame, int]:
@@ -72,10 +74,12 @@ def stratified_kfold(df: DataFrame, id_col: str, label: str, k: int = 5, *, seed
     return keyed.withColumn("__own", own).join(sizes, [label, "__slice"]).withColumn("fold", F.pmod(F.col("__own") + F.col("__before"), F.lit(k)).cast("int")).select(*df.columns, "fold")
 
 
-def bootstrap(df: DataFrame, value: str, id_col: str, statistic: str | Callable[[list], float] = "mean", *, n_resamples: int = 10_000, confidence: float = 0.95, seed: int | None = None) -> DataFrame:
+def bootstrap(df: DataFrame, value: str, id_col: str, statistic: str | Callable[[list], float] = "mean", *, n_resamples: int = 10_000, confidence: float = 0.95, seed: int | None = None, method: str = "counts") -> DataFrame:
     """``statistic, mean, std, ci_lower, ci_upper, n_resamples``: percentile interval over resamples with replacement.
 
-    ``statistic`` is mean, sum, min, max or median, computed in the plan, or any function of a list, computed in Python for each resample.
+    ``statistic`` is mean, sum, min, max or median; by ``counts``, tasks work out what each run draws of their rows and shuffle one
+    row for each run (``resampling``). ``draws`` joins every single draw, by an md5 key that any engine can repeat, with its row.
+    Any other function of a list is computed in Python, from the drawn rows of each resample.
     """
     if n_resamples < 2 or not 0 < confidence < 1:
         raise ValueError("n_resamples must be at least 2 and confidence lie in (0, 1)")
@@ -83,18 +87,21 @@ def bootstrap(df: DataFrame, value: str, id_col: str, statistic: str | Callable[
     n = rows.count()
     if not n:
         raise ValueError("no values")
-    placed = row_numbers(rows, [F.col("id")], "at").select((F.col("at") - 1).alias("at"), "x")
     spark = df.sparkSession
-    draws = spark.range(n_resamples * n).select(F.floor(F.col("id") / n).alias("run"), F.pmod(F.col("id"), F.lit(n)).alias("draw")).withColumn("at", index(F.lit(n), seed, "bootstrap", F.col("run"), F.col("draw")))
-    drawn = draws.join(placed, "at").select("run", "x")
-    native = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "median": lambda c: F.percentile(c, F.lit(0.5))}
-    if callable(statistic):
-        fn = lambda p: pd.DataFrame({"s": [float(statistic(p["x"].tolist()))]})
-        seen, runs = rows.groupBy().applyInPandas(fn, "s double"), drawn.groupBy("run").applyInPandas(fn, "s double")
-    elif statistic in native:
-        seen, runs = rows.agg(native[statistic]("x").alias("s")), drawn.groupBy("run").agg(native[statistic]("x").alias("s"))
+    native = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max}
+    if method not in ("counts", "draws") or not (callable(statistic) or statistic in (*native, "median")):
+        raise ValueError(f"unknown statistic {statistic!r} or method {method!r}")
+
+    def seen_of(rows: DataFrame) -> DataFrame:
+        if statistic == "median":
+            return quantiles(rows.select("x"), [0.5]).select(F.col("q")[0].alias("s"))
+        return rows.agg(native[statistic]("x").alias("s"))
+
+    if method == "counts" and not callable(statistic):
+        at, n = resampling.placed(rows)
+        seen, runs = seen_of(rows), resampling.resampled(at, n, statistic, runs=n_resamples, seed=seed or 0)
     else:
-        raise ValueError(f"unknown statistic {statistic!r}")
+        seen, runs = _drawn(rows, n, statistic, n_resamples, seed, native, seen_of)
     tail = (1 - confidence) / 2
     low, high = int(np.floor(n_resamples * tail)), min(int(np.ceil(n_resamples * (1 - tail))), n_resamples - 1)
     # order statistics as exact percentiles at whole positions
@@ -103,6 +110,20 @@ def bootstrap(df: DataFrame, value: str, id_col: str, statistic: str | Callable[
     return seen.select(F.col("s").alias("statistic")).crossJoin(one).select("statistic", "mean", "std", F.col("q")[0].alias("ci_lower"), F.col("q")[1].alias("ci_upper"), F.lit(n_resamples).cast("long").alias("n_resamples"))
 
 
+def _drawn(rows: DataFrame, n: int, statistic: str | Callable[[list], float], n_resamples: int, seed: int | None, native: dict[str, Callable], seen_of: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """The statistic of all rows and of each resample, from single draws."""
+    spark = rows.sparkSession
+    placed = row_numbers(rows, [F.col("id")], "at").select((F.col("at") - 1).alias("at"), "x")
+    draws = spark.range(n_resamples * n).select(F.floor(F.col("id") / n).alias("run"), F.pmod(F.col("id"), F.lit(n)).alias("draw")).withColumn("at", index(F.lit(n), seed, "bootstrap", F.col("run"), F.col("draw")))
+    drawn = draws.join(placed, "at").select("run", "x")
+    if callable(statistic):
+        fn = lambda p: pd.DataFrame({"s": [float(statistic(p["x"].tolist()))]})
+        return rows.groupBy().applyInPandas(fn, "s double"), drawn.groupBy("run").applyInPandas(fn, "s double")
+    if statistic == "median":
+        return seen_of(rows), quantiles(drawn, [0.5], ["run"]).select("run", F.col("q")[0].alias("s"))
+    return seen_of(rows), drawn.groupBy("run").agg(native[statistic]("x").alias("s"))
+
+
 def reservoir_sample(df: DataFrame, id_col: str, n: int, *, seed: int | None = None) -> DataFrame:
     """A uniform sample of exactly ``n`` rows: those with the least keys, kept per task before they are merged."""
     if n < 1:

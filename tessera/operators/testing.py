@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tessera.functions.draws import md5_key
 from tessera.functions.special import chi2_tail, normal_cdf, t_two_tailed
 from tessera.functions.vectors import ratio
+from tessera.operators import resampling
 from tessera.plans.ordered import row_numbers, running
 
 _INF = float("inf")
@@ -111,17 +112,28 @@ def chi_squared_test(df: DataFrame, observed: str, expected: str | None = None,
     return one.select(*by, F.col("s").alias("statistic"), chi2_tail(F.col("s"), free).alias("p_value"), F.sqrt(ratio(F.col("s"), F.col("n") * free)).alias("effect_size"), F.col("n").cast("long").alias("n1"), F.col("k").alias("n2"))
 
 
-def permutation_test(df: DataFrame, value: str, group: str, a: object, b: object, *, id_col: str, n_permutations: int = 10_000, seed: int = 0, statistic: Callable[[list, list], float] | None = None) -> DataFrame:
+def permutation_test(df: DataFrame, value: str, group: str, a: object, b: object, *, id_col: str, n_permutations: int = 10_000, seed: int = 0, statistic: Callable[[list, list], float] | None = None, method: str = "counts") -> DataFrame:
     """``statistic, p_value, n1, n2``: how often a shuffled split is at least as far apart; p = (count + 1) / (permutations + 1).
 
-    A permutation orders rows by an md5 key and takes the first n1 as one sample. The difference of means is computed
-    in the plan; any other ``statistic`` runs in Python on each permutation.
+    The statistic is the difference of means. By ``counts``, tasks work out which of their rows each permutation takes as the first
+    sample and shuffle one sum for each permutation (``resampling``). ``draws`` orders the rows of every permutation by an md5 key
+    that any engine can repeat. Any other ``statistic`` runs in Python, on the rows of each permutation.
     """
     two = _two(df.withColumn("__id", F.col(id_col).cast("string")), value, group, a, b, ["__id"])
     sizes = two.agg(F.count_if("first").alias("n1"), F.count_if(~F.col("first")).alias("n2")).first()
     n1, n2 = sizes["n1"], sizes["n2"]
     if not n1 or not n2:
         raise ValueError("both samples need values")
+    if method == "counts" and statistic is None:
+        at, n = resampling.placed(two.select(F.col("__id").alias("id"), "x"))
+        mean = lambda c: F.avg(F.when(c, F.col("x")))
+        seen = two.agg((mean(F.col("first")) - mean(~F.col("first"))).alias("statistic"), F.sum("x").alias("all"))
+        sums = resampling.subset_sums(at, n, n1, runs=n_permutations, seed=seed).join(F.broadcast(seen))
+        far = F.abs(F.col("s") / n1 - (F.col("all") - F.col("s")) / n2) >= F.abs("statistic") - 1e-12
+        one = sums.groupBy("statistic").agg(F.count_if(far).alias("c"))
+        return one.select("statistic", ((F.col("c") + 1) / (n_permutations + 1)).alias("p_value"), F.lit(n1).cast("long").alias("n1"), F.lit(n2).cast("long").alias("n2"))
+    if method not in ("counts", "draws"):
+        raise ValueError(f"unknown method {method!r}")
     runs = df.sparkSession.range(n_permutations).withColumnRenamed("id", "run")
     # the samples are spread over the runs; a test's samples are far fewer than a corpus
     spread = two.crossJoin(runs).withColumn("rn", F.row_number().over(Window.partitionBy("run").orderBy(md5_key(seed, "permutation", F.col("run"), F.col("__id")), "__id")))

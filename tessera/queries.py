@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
+from tessera.functions.special import normal_cdf
 from tessera.operators import anomaly, clustering, evaluation, graph, pairs, ranking, sampling, stats, testing, text_metrics
 from tessera.operators.inverted_index import InvertedIndex
 from tessera.plans.scratch import Scratch
@@ -255,7 +256,7 @@ def _u(stream: str, ids: str, seed: int = 0) -> str:
 
 
 QUERIES["test_permutation"] = lambda spark, sf_dir: _r(
-    testing.permutation_test(_read(spark, sf_dir, "labels").join(_read(spark, sf_dir, "documents"), "doc_id"), "n_chars", "toxic", 1, 0, id_col="doc_id", n_permutations=200), 4
+    testing.permutation_test(_read(spark, sf_dir, "labels").join(_read(spark, sf_dir, "documents"), "doc_id"), "n_chars", "toxic", 1, 0, id_col="doc_id", n_permutations=200, method="draws"), 4
 )
 ORACLE_SQL["test_permutation"] = f"""
 WITH e AS (SELECT l.doc_id::VARCHAR AS id, d.n_chars::DOUBLE AS x, l.toxic = 1 AS f FROM labels l JOIN documents d USING (doc_id)), n AS (SELECT count(*) FILTER (f) AS n1, count(*) FILTER (NOT f) AS n2, avg(x) FILTER (f) - avg(x) FILTER (NOT f) AS s FROM e),
@@ -573,7 +574,43 @@ k AS (SELECT run, least(floor({_u("bootstrap", "run, draw", 7)} * n), n - 1) AS
 SELECT (SELECT round(avg(x), 6) FROM v) AS statistic, round(avg(s), 6) AS mean, round(stddev_samp(s), 6) AS std, round(list_sort(list(s))[6], 6) AS ci_lower, round(list_sort(list(s))[196], 6) AS ci_upper, 200::BIGINT AS n_resamples FROM s
 """)
 def sample_bootstrap(df: DataFrame) -> DataFrame:
-    return _r(sampling.bootstrap(df, "quality", "doc_id", n_resamples=200, seed=7))
+    return _r(sampling.bootstrap(df, "quality", "doc_id", n_resamples=200, seed=7, method="draws"))
+
+
+@_query("orders", "SELECT round(avg(o_totalprice), 4) AS statistic, 10000::BIGINT AS n_resamples, true AS mean_close, true AS std_close, true AS interval_close FROM orders")
+def sample_bootstrap_counts(df: DataFrame) -> DataFrame:
+    """All 10,000 resamples of order prices, held against what the law of large numbers says of their mean, deviation and interval."""
+    b = sampling.bootstrap(df, "o_totalprice", "o_orderkey")
+    known = df.agg(F.avg("o_totalprice").alias("m"), (F.stddev_pop("o_totalprice") / F.sqrt(F.count("*"))).alias("se"))
+    near = lambda x, y, tolerance: F.abs(x - y) < tolerance
+    m, se = F.col("m"), F.col("se")
+    return b.join(F.broadcast(known)).select(
+        F.round("statistic", 4).alias("statistic"), "n_resamples", near(F.col("mean"), m, se / 20).alias("mean_close"), near(F.col("std"), se, se / 20).alias("std_close"),
+        (near(F.col("ci_lower"), m - 1.96 * se, se / 5) & near(F.col("ci_upper"), m + 1.96 * se, se / 5)).alias("interval_close"),
+    )
+
+
+@_query("orders", "SELECT o_orderstatus, round(quantile_cont(o_totalprice, 0.5), 4) AS statistic, true AS inside FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")
+def sample_bootstrap_median(df: DataFrame) -> DataFrame:
+    """The median of 10,000 resamples, each from the leaf that holds its middle draw."""
+    b = sampling.bootstrap(df.where("o_orderstatus = 'F'"), "o_totalprice", "o_orderkey", "median", seed=5)
+    return b.select(F.lit("F").alias("o_orderstatus"), F.round("statistic", 4).alias("statistic"), ((F.col("ci_lower") <= F.col("statistic")) & (F.col("statistic") <= F.col("ci_upper")) & (F.col("std") > 0)).alias("inside"))
+
+
+def test_permutation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 10,000 permutations; p lies near that of the normal approximation."""
+    df = _read(spark, sf_dir, "labels").join(_read(spark, sf_dir, "documents"), "doc_id")
+    p = testing.permutation_test(df, "n_chars", "toxic", 1, 0, id_col="doc_id")
+    x, first = F.col("n_chars").cast("double"), F.col("toxic") == 1
+    n1, n2 = F.count_if(first), F.count_if(~first)
+    se = F.sqrt(F.var_samp(x) * (1 / n1 + 1 / n2))
+    known = df.where("toxic IN (0, 1)").agg((F.abs(F.avg(F.when(first, x)) - F.avg(F.when(~first, x))) / se).alias("z"))
+    normal = 2 * (1 - normal_cdf(F.col("z")))
+    return p.join(F.broadcast(known)).select(F.round("statistic", 4).alias("statistic"), (F.abs(F.col("p_value") - normal) < 0.05).alias("p_close"), "n1", "n2")
+
+
+QUERIES["test_permutation_counts"] = test_permutation_counts
+ORACLE_SQL["test_permutation_counts"] = "SELECT round(avg(n_chars) FILTER (toxic = 1) - avg(n_chars) FILTER (toxic = 0), 4) AS statistic, true AS p_close, count(*) FILTER (toxic = 1) AS n1, count(*) FILTER (toxic = 0) AS n2 FROM labels JOIN documents USING (doc_id)"
 
 
 # --- anomalies --------------------------------------------------------------------------------------------------------------
