@@ -41,11 +41,15 @@ def _first(df: DataFrame, n: int = 5) -> list[Any]:
 
 @dataclass(frozen=True)
 class Corpus:
-    """``units`` and ``relations`` tables (schemas ``UNITS`` and ``RELATIONS``) with small metadata. Duplicate ids and dangling relations raise."""
+    """``units`` and ``relations`` tables (schemas ``UNITS`` and ``RELATIONS``) with small metadata. Duplicate ids and dangling relations raise.
+
+    ``fingerprint`` is the content hash, where whoever made the corpus has taken it already.
+    """
 
     units: DataFrame
     relations: DataFrame
     metadata: dict[str, Any] = field(default_factory=dict)
+    fingerprint: str | None = None
 
     def __post_init__(self) -> None:
         if bad := _first(duplicate_ids(self.units, "unit_id")):
@@ -69,8 +73,8 @@ def subset_corpus(corpus: Corpus, ids: DataFrame) -> Corpus:
     return Corpus(units.select(*corpus.units.columns), relations.select(*corpus.relations.columns))
 
 
-def _row_json(df: DataFrame, names: dict[str, str], order: list[str]) -> DataFrame:
-    """Each row as canonical JSON text, sorted; ``attributes`` holds JSON text (null: empty)."""
+def canonical_rows(df: DataFrame, names: dict[str, str], order: list[str]) -> DataFrame:
+    """Each row's ids as ``k0``, ``k1``, ... and the row as canonical ``json``; ``attributes`` holds JSON text (null: empty)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
@@ -82,7 +86,12 @@ def _row_json(df: DataFrame, names: dict[str, str], order: list[str]) -> DataFra
             yield pd.DataFrame({**{f"k{i}": p[c] for i, c in enumerate(order)}, "json": out})
 
     keys = [f"k{i}" for i in range(len(order))]
-    return df.mapInPandas(run, ", ".join(f"{k} string" for k in keys) + ", json string").orderBy(*keys)
+    return df.mapInPandas(run, ", ".join(f"{k} string" for k in keys) + ", json string")
+
+
+def _row_json(df: DataFrame, names: dict[str, str], order: list[str]) -> DataFrame:
+    """Canonical rows in the order of their ids; rows with equal ids in that of their JSON."""
+    return canonical_rows(df, names, order).orderBy(*(f"k{i}" for i in range(len(order))), "json")
 
 
 def corpus_fingerprint(corpus: Corpus) -> str:
@@ -213,7 +222,7 @@ def build_baseline_artifact(corpus: Corpus, contents: dict[str, DataFrame], *, c
     """Hash all inputs and derive the seed from them unless one is given; a wrong ``corpus_hash`` raises unless it is trusted."""
     if "corpus" in (extra_inputs or {}):
         raise ValueError("'corpus' is reserved")
-    found = corpus_hash if corpus_hash and trust_corpus_hash else corpus_fingerprint(corpus)
+    found = corpus_hash if corpus_hash and trust_corpus_hash else corpus.fingerprint or corpus_fingerprint(corpus)
     if corpus_hash and corpus_hash != found:
         raise ValueError("the corpus does not have the given hash")
     hashes = {"corpus": found, **{k: hash_value(v) for k, v in (extra_inputs or {}).items()}}

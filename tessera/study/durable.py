@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.plans.versions import Conflict, Versions
 from tessera.study.governance import Gate, GateDecision, GateError, apply_gate_decision
+from tessera.study.tracing import Tracer, UnconfiguredTracer
 
 #: Phases that one run may go through, so that a gate that is refused for ever ends loudly.
 STEP_LIMIT = 50
@@ -95,6 +96,8 @@ class GraphBuilder:
 class MemoryStore:
     """States kept in this process: for tests, and for runs that nobody resumes elsewhere."""
 
+    writes = False  # tables stay plans
+
     def __init__(self) -> None:
         self._runs: dict[str, list[tuple[dict[str, Any], dict[str, DataFrame]]]] = {}
 
@@ -113,6 +116,8 @@ class MemoryStore:
 class RunStore:
     """States in a shared folder, one ``Versions`` for each run."""
 
+    writes = True
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
@@ -175,10 +180,11 @@ class Graph:
     next: Mapping[str, str | None | Branch]
     first: str
     store: MemoryStore | RunStore = field(default_factory=MemoryStore)
+    tracer: Tracer = field(default_factory=UnconfiguredTracer)
 
 
-def compile_graph(build: Callable[[GraphBuilder], Any], *, store: MemoryStore | RunStore | None = None, requires_store: bool = False) -> Graph:
-    """The graph that ``build`` adds phases to. ``requires_store`` refuses to go without a store, as a graph with gates should."""
+def compile_graph(build: Callable[[GraphBuilder], Any], *, store: MemoryStore | RunStore | None = None, requires_store: bool = False, tracer: Tracer | None = None) -> Graph:
+    """The graph that ``build`` adds phases to; each phase is a span of ``tracer``. ``requires_store`` refuses to go without a store, as a graph with gates should."""
     if requires_store and store is None:
         raise ValueError("a graph with gates needs a store, or a parked run is lost with its process")
     builder = GraphBuilder()
@@ -187,7 +193,7 @@ def compile_graph(build: Callable[[GraphBuilder], Any], *, store: MemoryStore |
         raise ValueError("the graph has no phase")
     if unknown := sorted({x for x in builder.next.values() if isinstance(x, str)} - set(builder.phases)):
         raise ValueError(f"no such phases: {unknown}")
-    return Graph(builder.phases, builder.next, builder.first, store or MemoryStore())
+    return Graph(builder.phases, builder.next, builder.first, store or MemoryStore(), tracer or UnconfiguredTracer())
 
 
 def make_gate_node(gate: Gate, propose: Callable[[RunState], Mapping[str, Any]], *, recorder: Callable[[str, bool, str], None] | None = None) -> Phase:
@@ -248,22 +254,25 @@ def _go(graph: Graph, run_id: str, values: Mapping[str, Any], answer: Mapping[st
         if steps >= limit:
             raise StepLimitError(f"run {run_id} has not ended after {limit} phases")
         began = time.time()
-        state, parked, new = RunState(kept, tables, answer), None, {}
-        try:
-            added, new = _parted(graph.phases[at](state))
-            kept = {**kept, **added}
-            answer = None  # a decision counts once
-            after = graph.next[at]
-            then = after(RunState(kept, {**tables, **new})) if callable(after) else after
-            steps += 1
-        except _Park as p:
-            parked, then = p.at, at
-        body = {
-            "phase": at, "next": then, "values": kept, "steps": steps, "seconds": round(time.time() - began, 3), "committed_at": datetime.now(UTC).isoformat(),
-            "parked": {"gate": parked.gate, "proposal": dict(parked.proposal), "error": parked.error} if parked else None,
-        }
-        number += 1
-        tables = graph.store.save(run_id, number, body, tables, new)
+        with graph.tracer.span(at, run_id=run_id, step=steps) as span:
+            state, parked, new = RunState(kept, tables, answer), None, {}
+            try:
+                added, new = _parted(graph.phases[at](state))
+                kept = {**kept, **added}
+                answer = None  # a decision counts once
+                after = graph.next[at]
+                then = after(RunState(kept, {**tables, **new})) if callable(after) else after
+                steps += 1
+            except _Park as p:
+                parked, then = p.at, at
+            body = {
+                "phase": at, "next": then, "values": kept, "steps": steps, "seconds": round(time.time() - began, 3), "committed_at": datetime.now(UTC).isoformat(),
+                "parked": {"gate": parked.gate, "proposal": dict(parked.proposal), "error": parked.error} if parked else None,
+            }
+            number += 1
+            if graph.store.writes:
+                new = {name: span.observe(df, name) for name, df in new.items()}
+            tables = graph.store.save(run_id, number, body, tables, new)
         if parked:
             return Outcome(run_id, RunState(kept, tables), parked, steps)
         at = then

@@ -23,11 +23,11 @@ from tessera.study.contracts import (
     StudyDefinition,
     StudyMode,
     claim_set_fingerprint,
-    corpus_fingerprint,
     diff_baseline_fingerprints,
 )
 from tessera.study.durable import Graph, GraphBuilder, MemoryStore, Parked, RunState, RunStore, compile_graph, make_gate_node
 from tessera.study.governance import Gate, GateDecision, GateError, Phase, required_phases
+from tessera.study.merkle import corpus_tree
 from tessera.study.methodology import (
     ClaimBlindGuard,
     DiscoverConfirmSplit,
@@ -45,6 +45,7 @@ from tessera.study.methodology import (
     verify_preregistration,
 )
 from tessera.study.provenance import ProvenanceTrail
+from tessera.study.tracing import Tracer, bootstrap_tracing, run_trace_context
 
 
 class IngestionError(RuntimeError):
@@ -134,7 +135,7 @@ class _Study:
     def corpus(self, state: RunState) -> Corpus:
         """The corpus as it was committed, checked once in a process."""
         if self._corpus is None:
-            self._corpus = Corpus(state.tables["units"], state.tables["relations"], state["metadata"])
+            self._corpus = Corpus(state.tables["units"], state.tables["relations"], state["metadata"], state["fingerprint"])
         return self._corpus
 
     def baseline(self, state: RunState) -> BaselineArtifact:
@@ -157,8 +158,11 @@ class _Study:
         corpus = study.parser.parse(self.spark, plan.source)
         if not isinstance(corpus, Corpus):
             raise IngestionError("the parser gave no corpus")
-        fingerprint, units = corpus_fingerprint(corpus), corpus.units.count()
-        found: dict[str, Any] = {"units": corpus.units, "relations": corpus.relations, "metadata": corpus.metadata, "fingerprint": fingerprint}
+        scratch = Scratch(self.spark, "ingest")  # parsed once
+        corpus = Corpus(scratch.table(corpus.units, "units"), scratch.table(corpus.relations, "relations"), corpus.metadata)
+        fingerprint, tree = corpus_tree(corpus)
+        units = corpus.units.count()
+        found: dict[str, Any] = {"units": corpus.units, "relations": corpus.relations, "metadata": corpus.metadata, "fingerprint": fingerprint, "tree": tree}
         if self.discovers:
             split = plan.split(corpus)
             both = split.discovery.select("unit_id").unionByName(split.confirm.select("unit_id"))
@@ -237,7 +241,7 @@ class _Study:
             "adjudication": (Gate("adjudication", before, Phase.ADJUDICATE, modes, lambda s: "baseline" in s), lambda s: {"baseline": s["baseline"]["fingerprint"]}),
         }
 
-    def graph(self, store: MemoryStore | RunStore) -> Graph:
+    def graph(self, store: MemoryStore | RunStore, tracer: Tracer) -> Graph:
         gates = self.gates()
         order: list[tuple[str, Any]] = [("ingest", self.ingest), ("baseline", self.build_baseline)]
         if self.discovers:
@@ -267,7 +271,7 @@ class _Study:
                 else:
                     b.phase(name, kept(phase), then)
 
-        return compile_graph(build, store=store)
+        return compile_graph(build, store=store, tracer=tracer)
 
 
 def run_study(
@@ -279,19 +283,23 @@ def run_study(
     tracker: Any = None,
     store: MemoryStore | RunStore | None = None,
     run_id: str | None = None,
+    spans: Tracer | None = None,
 ) -> StudyResult:
     """Run all phases that the study's modes need, in order; any failure is recorded before it is raised.
 
     Each phase is committed to ``store``. Called again with the same store and ``run_id``, here or in another process, the run
     goes on after its last commit, and its trail with it (a keyed trail needs its key again). A gate whose handler gives no
     decision parks the run; decisions pass ``Gate.check`` and go on record first. The corpus metadata must be plain JSON.
+
+    The corpus is known by the root of its hash tree; the tree is kept with the run, so that ``merkle.changed`` of two runs' trees
+    tells which units and relations drifted. Each phase is a span of ``spans``, by default of the process's tracer.
     """
     trail = trail or ProvenanceTrail()
     study = plan.study
     store, run_id = store or MemoryStore(), run_id or uuid.uuid4().hex
     claims = tuple(study.claims_source.claims()) if study.claims_source else None
     phases = _Study(spark, plan, trail, ClaimBlindGuard(claims))
-    graph = phases.graph(store)
+    graph = phases.graph(store, spans or bootstrap_tracing())
     found = store.load(run_id)
     if found:
         trail.restore(found[1]["values"]["trail"])
@@ -299,16 +307,17 @@ def run_study(
         trail.record("run_start", study.name, {"modes": sorted(m.value for m in study.modes)})
     run = tracker.start_run(study.name, {"modes": ",".join(sorted(m.value for m in study.modes)), "run_id": run_id}) if tracker else None
     try:
-        out = durable.run(graph, run_id=run_id)
-        while out.parked:
-            decision = gate_handler(GateReview(out.parked.gate, tuple(sorted(out.parked.proposal.items()))))
-            if decision is None:
-                break
-            if not isinstance(decision, GateDecision):
-                raise GateError(f"{out.parked.gate}: not a decision")
-            out = durable.resume(graph, run_id=run_id, gate=decision.gate, approved=decision.approved, reason=decision.reason, evidence=decision.evidence)
-            if out.parked and out.parked.error:
-                raise GateError(out.parked.error)
+        with run_trace_context(run_id):
+            out = durable.run(graph, run_id=run_id)
+            while out.parked:
+                decision = gate_handler(GateReview(out.parked.gate, tuple(sorted(out.parked.proposal.items()))))
+                if decision is None:
+                    break
+                if not isinstance(decision, GateDecision):
+                    raise GateError(f"{out.parked.gate}: not a decision")
+                out = durable.resume(graph, run_id=run_id, gate=decision.gate, approved=decision.approved, reason=decision.reason, evidence=decision.evidence)
+                if out.parked and out.parked.error:
+                    raise GateError(out.parked.error)
         if tracker:
             tracker.end_run(run, "FINISHED")
     except BaseException as error:
