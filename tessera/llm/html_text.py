@@ -208,6 +208,7 @@ def features(blocks: Sequence[Block], tags: set[str]) -> list[list[str]]:
     whole = [t for t in ("article", "main") if t in tags]
     for i, b in enumerate(blocks):
         said = {"bias", f"t:{b.inside.tag}", *b.inside.said, *b.inside.near}
+        said.update(f"{n}|{'a:article' in said}" for n in b.inside.near if n.startswith("n:"))
         said.update(f"out:{t}" for t in whole if f"a:{t}" not in said)
         words = b.text.split()
         share = b.linked / len(b.text)
@@ -260,7 +261,7 @@ def main_text(html: str | None, model: Model) -> str:
     return "\n".join(b.text for b, part in zip(blocks, model.decode(features(blocks, tags)), strict=True) if part == 0)
 
 
-def fit(pages: Sequence[str], *, rounds: int = 70, penalty: float = 0.2, least: int = 3, rate: float = 0.25) -> Model:
+def fit(pages: Sequence[str], *, rounds: int = 80, penalty: float = 0.1, least: int = 3, rate: float = 0.25) -> Model:
     """Maximise the penalised conditional likelihood of labelled pages, by adaptive gradient steps over all of them.
 
     Features of fewer than ``least`` pages are left out, and so are words that blocks of the main text use as well; blocks
@@ -465,11 +466,15 @@ class _Writer:
         chance = self.r.random
         before = [f() for f, p in ((self.notice, 0.2), (self.header, 0.5), (self.menu, 0.85), (self.form, 0.2), (self.advert, 0.4), (self.sidebar, 0.15)) if chance() < p]
         after = [f() for f, p in ((self.advert, 0.2), (self.comments, 0.35), (self.form, 0.15), (self.sidebar, 0.4), (self.menu, 0.2), (self.footer, 0.85), (self.notice, 0.2)) if chance() < p]
+        if chance() < 0.1:  # nothing but an article
+            before, after = [], []
         if chance() < 0.3:
             self.r.shuffle(before)
         main = self.part("article", self.body()) if chance() < 0.94 else ""
         if chance() < 0.25:
             main = self.r.choice(["<main>{}</main>", '<div class="main">{}</div>', '<div id="content">{}</div>', '<section>{}</section>']).format(main + (after.pop(0) if after and chance() < 0.5 else ""))
+        if chance() < 0.08:  # a file that ends early
+            main, after = main[: self.r.randint(len(main) // 2, len(main))].rpartition("<")[0] or main, []
         inner = "".join(before) + main + "".join(after)
         if chance() < 0.3:
             inner = f'<div class="{self.r.choice(_FRAMES)}">{inner}</div>'
