@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm._names import free
 from tessera.llm._text import Sequences, signed, slices, spans, word_hashes
 from tessera.plans.scratch import Scratch, broadcast_if_small
 
@@ -182,26 +183,28 @@ def _kept(text: bytes, mine: list[tuple[int, int]]) -> tuple[list[bytes], int]:
     return [w for w, ok in zip(words, keep.tolist(), strict=True) if ok], int((~keep).sum())
 
 
-def remove_repeats(docs: DataFrame, *, k: int = K, text: str = "text", doc_id: str = "doc_id", digest: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, k: int = K, text: str = "text", doc_id: str = "doc_id", digest: bool = False, names: tuple[str, str] = ("n_words", "n_removed")) -> DataFrame:
     """``docs`` without the words that repeat a passage of a smaller document, and with ``n_words, n_removed``.
 
     Texts that lose words are written with single spaces; others stay as they are. ``digest`` gives ``kept_sha256``, the
-    hash of all kept words joined by single spaces, in place of the other columns.
+    hash of all kept words joined by single spaces, in place of the other columns. Columns that already have one of ``names``
+    are replaced; any other column may have any name.
     """
     scratch = Scratch(docs.sparkSession, "substring-dedup")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     found = repeated_spans(rows, scratch, k=k)
     scratch.drop("paths", "distinct", "wanted", "edges")
     n = found.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0]
-    found = found.select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans"))
-    kept = [f for f in docs.schema.fields if f.name not in ("n_words", "n_removed", "kept_sha256") and (not digest or f.name == doc_id)]
+    own_id, own_spans = free(docs.columns, "__id", "__spans")
+    found = found.select(F.col("doc_id").alias(own_id), F.col("spans").alias(own_spans))
+    kept = [f for f in docs.schema.fields if f.name not in (*names, "kept_sha256") and (not digest or f.name == doc_id)]
     source = docs.select(*{doc_id: None, text: None}) if digest else docs.select(*(f.name for f in kept))
-    joined = source.join(broadcast_if_small(found, n, MOST_BROADCAST), F.col(doc_id) == F.col("__id"), "left").drop("__id")
-    names = [f.name for f in kept]
+    joined = source.join(broadcast_if_small(found, n, MOST_BROADCAST), F.col(doc_id) == F.col(own_id), "left").drop(own_id)
+    order = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans_of = batch.column("__spans").to_pylist()
+            spans_of = batch.column(own_spans).to_pylist()
             column, counts, gone, out = batch.column(text), [], [], []
             for t in slices(column):
                 starts, ends, first = spans(t)
@@ -219,9 +222,9 @@ def remove_repeats(docs: DataFrame, *, k: int = K, text: str = "text", doc_id: s
                     gone.append(removed)
             new = [pa.array(counts, pa.int64()), pa.array(gone, pa.int64())]
             if digest:
-                yield pa.RecordBatch.from_arrays([batch.column(doc_id), *new, pa.array(out, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+                yield pa.RecordBatch.from_arrays([batch.column(doc_id), *new, pa.array(out, pa.string())], ["doc_id", *names, "kept_sha256"])
             else:
-                yield pa.RecordBatch.from_arrays([*(pa.array(out, pa.string()) if x == text else batch.column(x) for x in names), *new], [*names, "n_words", "n_removed"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(out, pa.string()) if x == text else batch.column(x) for x in order), *new], [*order, *names])
 
-    schema = type(docs.schema)(kept).add("n_words", "long").add("n_removed", "long")
+    schema = type(docs.schema)(kept).add(names[0], "long").add(names[1], "long")
     return joined.mapInArrow(run, schema.add("kept_sha256", "string") if digest else schema)

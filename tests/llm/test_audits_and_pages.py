@@ -220,3 +220,25 @@ def test_given_pages(spark, sf_dir, model):
     want = {r.page_id: article(r.html) for r in pages.collect()}
     got = html_text.extract(pages, model).collect()
     assert {r.page_id: r.text for r in got} == want and all(r.n_chars == len(r.text) for r in got)
+
+
+# -- columns of any name --------------------------------------------------------------------------------------------------
+
+
+def test_stages_leave_columns_of_any_name_alone(spark, tmp_path):
+    """Columns named as those that stages use within come out as they went in."""
+    import corpus_pipeline
+
+    odd = ["__id", "__key", "__spans", "__toxic", "__severity", "__grade", "__lang", "__score", "__bits", "n_words", "n_removed"]
+    passage = " ".join(f"word{i}" for i in range(60))
+    texts = [f"{passage} first tail of the text", f"another start {passage}", "the cat sat on the mat and slept", "the dog ran to the park and barked", None]
+    rows = [(i, t, "en", "s", len(t or ""), *([f"own{i}"] * len(odd))) for i, t in enumerate(texts)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in odd)
+    spark.createDataFrame([(i, 1, i % 2) for i in range(2, 4)], LABELS).write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, f"file://{tmp_path}")
+        assert out.columns == docs.columns, name
+        assert all(r[c] == f"own{r.doc_id}" for r in out.collect() for c in odd), name
+    deduped = {r.doc_id: r.text for r in corpus_pipeline.passages(spark, docs, "").collect()}
+    assert deduped[1] == "another start" and deduped[0] == texts[0]
