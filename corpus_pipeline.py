@@ -25,36 +25,38 @@ from pyspark.sql import functions as F
 
 from tessera.llm import language_id, ngram_join, packing, substring_dedup
 from tessera.llm import toxicity as toxicity_model
+from tessera.llm._names import free
 from tessera.plans.scratch import Scratch, broadcast_if_small
 from tessera.plans.session import prepare
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity_model.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    names = ("__severity", "__grade", "__toxic")
-    return toxicity_model.predict(docs, model, names=names).where(~F.col("__toxic")).drop(*names)
+    names = free(docs.columns, "__severity", "__grade", "__toxic")
+    return toxicity_model.predict(docs, model, names=names).where(~F.col(names[2])).drop(*names)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    names = ("__lang", "__score", "__bits")
+    names = free(docs.columns, "__lang", "__score", "__bits")
     found = language_id.predict(docs, language_id.fit(docs), names=names)
-    kept = found.where((F.col("__lang") != "und") & (F.col("__bits") <= language_id.MOST_BITS))
-    return kept.withColumn("lang", F.coalesce("lang", "__lang")).drop(*names)
+    kept = found.where((F.col(names[0]) != "und") & (F.col(names[2]) <= language_id.MOST_BITS))
+    return kept.withColumn("lang", F.coalesce("lang", names[0])).drop(*names)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline-join")
     groups = scratch.table(ngram_join.similar_rows(docs, n=5, threshold=0.8), "groups")
+    own_id, own_key = free(docs.columns, "__id", "__key")
     # a row is known by doc_id and text: equal ones are always in one component
     linked = groups.where("component is not null")
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")
     stays = linked.groupBy("component").agg(F.min(order).alias("stays"))
-    gone = linked.join(stays, "component").where(~order.eqNullSafe(F.col("stays"))).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct()
+    gone = linked.join(stays, "component").where(~order.eqNullSafe(F.col("stays"))).select(F.col("doc_id").alias(own_id), F.col("key").alias(own_key)).distinct()
     gone = scratch.table(gone, "gone")
     copied = F.col("doc_id").isNotNull() | F.col("component").isNotNull()
-    repeated = groups.where(copied).groupBy("doc_id", "key").count().where("count > 1").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"))
+    repeated = groups.where(copied).groupBy("doc_id", "key").count().where("count > 1").select(F.col("doc_id").alias(own_id), F.col("key").alias(own_key))
     repeated = scratch.table(repeated, "repeated")
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (ngram_join.text_key("text") == F.col("__key"))
+    same = F.col("doc_id").eqNullSafe(F.col(own_id)) & (ngram_join.text_key("text") == F.col(own_key))
     kept = docs.join(broadcast_if_small(gone, gone.count(), 1_000_000), same, "left_anti")
     n = repeated.count()
     if not n:
@@ -64,9 +66,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = substring_dedup.remove_repeats(docs)
-    changed = F.col("n_removed") > 0
-    kept = found.where(~changed | (F.col("n_words") > F.col("n_removed")))
+    words, removed = names = free(docs.columns, "n_words", "n_removed")
+    found = substring_dedup.remove_repeats(docs, names=names)
+    changed = F.col(removed) > 0
+    kept = found.where(~changed | (F.col(words) > F.col(removed)))
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return kept.select(*docs.columns)
