@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from tessera.plans.ordered import row_numbers
 from tessera.plans.scratch import Scratch
 
+#: Draws of all runs together that may be made and moved one by one.
+MOST_DRAWN = 1_000_000
 #: Values of a leaf, and draws of a leaf that are held at once.
 LEAF, DRAWS = 512, 1 << 21
 

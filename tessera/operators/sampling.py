@@ -74,12 +74,12 @@ def stratified_kfold(df: DataFrame, id_col: str, label: str, k: int = 5, *, seed
     return keyed.withColumn("__own", own).join(sizes, [label, "__slice"]).withColumn("fold", F.pmod(F.col("__own") + F.col("__before"), F.lit(k)).cast("int")).select(*df.columns, "fold")
 
 
-def bootstrap(df: DataFrame, value: str, id_col: str, statistic: str | Callable[[list], float] = "mean", *, n_resamples: int = 10_000, confidence: float = 0.95, seed: int | None = None, method: str = "counts") -> DataFrame:
+def bootstrap(df: DataFrame, value: str, id_col: str, statistic: str | Callable[[list], float] = "mean", *, n_resamples: int = 10_000, confidence: float = 0.95, seed: int | None = None, method: str | None = None) -> DataFrame:
     """``statistic, mean, std, ci_lower, ci_upper, n_resamples``: percentile interval over resamples with replacement.
 
     ``statistic`` is mean, sum, min, max or median; by ``counts``, tasks work out what each run draws of their rows and shuffle one
     row for each run (``resampling``). ``draws`` joins every single draw, by an md5 key that any engine can repeat, with its row.
-    Any other function of a list is computed in Python, from the drawn rows of each resample.
+    Unless told, more than ``resampling.MOST_DRAWN`` draws go by counts; both have the same distribution. Any other function of a list is computed in Python, from the drawn rows of each resample.
     """
     if n_resamples < 2 or not 0 < confidence < 1:
         raise ValueError("n_resamples must be at least 2 and confidence lie in (0, 1)")
@@ -89,6 +89,7 @@ def bootstrap(df: DataFrame, value: str, id_col: str, statistic: str | Callable[
         raise ValueError("no values")
     spark = df.sparkSession
     native = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max}
+    method = method or ("draws" if n * n_resamples <= resampling.MOST_DRAWN else "counts")
     if method not in ("counts", "draws") or not (callable(statistic) or statistic in (*native, "median")):
         raise ValueError(f"unknown statistic {statistic!r} or method {method!r}")
 

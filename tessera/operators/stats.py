@@ -50,7 +50,7 @@ def describe(df: DataFrame, value: str, by: Sequence[str] = (), *, method: str =
     raw = (F.col("g2") + 3) * shrink * shrink
     kurt = ratio((n + 1) * (n - 1) * raw, (n - 2) * (n - 3)) - ratio(3 * (n - 1) * (n - 1), (n - 2) * (n - 3))
     flat = F.col("variance") == 0
-    out = attach(attach(one, q, by), deviation.withColumn("mad", F.col("mad")[0]), by) if by else one.join(F.broadcast(q)).join(F.broadcast(deviation.withColumn("mad", F.col("mad")[0])))
+    out = attach(attach(one, q, by), deviation.withColumn("mad", F.col("mad")[0]), by) if by else one.join(F.broadcast(q), how="left").join(F.broadcast(deviation.withColumn("mad", F.col("mad")[0])), how="left")
     return out.select(
         *by, "n", "mean", "variance", F.sqrt("variance").alias("std"), "minimum", F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q75"), "maximum",
         (F.col("q")[2] - F.col("q")[0]).alias("iqr"), F.when(flat | (F.col("n") < 3), 0.0).otherwise(skew).alias("skewness"), F.when(flat | (F.col("n") < 4), 0.0).otherwise(kurt).alias("kurtosis"), "mad",

@@ -112,18 +112,20 @@ def chi_squared_test(df: DataFrame, observed: str, expected: str | None = None,
     return one.select(*by, F.col("s").alias("statistic"), chi2_tail(F.col("s"), free).alias("p_value"), F.sqrt(ratio(F.col("s"), F.col("n") * free)).alias("effect_size"), F.col("n").cast("long").alias("n1"), F.col("k").alias("n2"))
 
 
-def permutation_test(df: DataFrame, value: str, group: str, a: object, b: object, *, id_col: str, n_permutations: int = 10_000, seed: int = 0, statistic: Callable[[list, list], float] | None = None, method: str = "counts") -> DataFrame:
+def permutation_test(df: DataFrame, value: str, group: str, a: object, b: object, *, id_col: str, n_permutations: int = 10_000, seed: int = 0, statistic: Callable[[list, list], float] | None = None, method: str | None = None) -> DataFrame:
     """``statistic, p_value, n1, n2``: how often a shuffled split is at least as far apart; p = (count + 1) / (permutations + 1).
 
     The statistic is the difference of means. By ``counts``, tasks work out which of their rows each permutation takes as the first
     sample and shuffle one sum for each permutation (``resampling``). ``draws`` orders the rows of every permutation by an md5 key
-    that any engine can repeat. Any other ``statistic`` runs in Python, on the rows of each permutation.
+    that any engine can repeat. Unless told, more than ``resampling.MOST_DRAWN`` ordered rows go by counts; both have the same
+    distribution. Any other ``statistic`` runs in Python, on the rows of each permutation.
     """
     two = _two(df.withColumn("__id", F.col(id_col).cast("string")), value, group, a, b, ["__id"])
     sizes = two.agg(F.count_if("first").alias("n1"), F.count_if(~F.col("first")).alias("n2")).first()
     n1, n2 = sizes["n1"], sizes["n2"]
     if not n1 or not n2:
         raise ValueError("both samples need values")
+    method = method or ("draws" if (n1 + n2) * n_permutations <= resampling.MOST_DRAWN else "counts")
     if method == "counts" and statistic is None:
         at, n = resampling.placed(two.select(F.col("__id").alias("id"), "x"))
         mean = lambda c: F.avg(F.when(c, F.col("x")))

@@ -580,7 +580,7 @@ def sample_bootstrap(df: DataFrame) -> DataFrame:
 @_query("orders", "SELECT round(avg(o_totalprice), 4) AS statistic, 10000::BIGINT AS n_resamples, true AS mean_close, true AS std_close, true AS interval_close FROM orders")
 def sample_bootstrap_counts(df: DataFrame) -> DataFrame:
     """All 10,000 resamples of order prices, held against what the law of large numbers says of their mean, deviation and interval."""
-    b = sampling.bootstrap(df, "o_totalprice", "o_orderkey")
+    b = sampling.bootstrap(df, "o_totalprice", "o_orderkey", method="counts")
     known = df.agg(F.avg("o_totalprice").alias("m"), (F.stddev_pop("o_totalprice") / F.sqrt(F.count("*"))).alias("se"))
     near = lambda x, y, tolerance: F.abs(x - y) < tolerance
     m, se = F.col("m"), F.col("se")
@@ -593,14 +593,14 @@ def sample_bootstrap_counts(df: DataFrame) -> DataFrame:
 @_query("orders", "SELECT o_orderstatus, round(quantile_cont(o_totalprice, 0.5), 4) AS statistic, true AS inside FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")
 def sample_bootstrap_median(df: DataFrame) -> DataFrame:
     """The median of 10,000 resamples, each from the leaf that holds its middle draw."""
-    b = sampling.bootstrap(df.where("o_orderstatus = 'F'"), "o_totalprice", "o_orderkey", "median", seed=5)
+    b = sampling.bootstrap(df.where("o_orderstatus = 'F'"), "o_totalprice", "o_orderkey", "median", seed=5, method="counts")
     return b.select(F.lit("F").alias("o_orderstatus"), F.round("statistic", 4).alias("statistic"), ((F.col("ci_lower") <= F.col("statistic")) & (F.col("statistic") <= F.col("ci_upper")) & (F.col("std") > 0)).alias("inside"))
 
 
 def test_permutation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 10,000 permutations; p lies near that of the normal approximation."""
     df = _read(spark, sf_dir, "labels").join(_read(spark, sf_dir, "documents"), "doc_id")
-    p = testing.permutation_test(df, "n_chars", "toxic", 1, 0, id_col="doc_id")
+    p = testing.permutation_test(df, "n_chars", "toxic", 1, 0, id_col="doc_id", method="counts")
     x, first = F.col("n_chars").cast("double"), F.col("toxic") == 1
     n1, n2 = F.count_if(first), F.count_if(~first)
     se = F.sqrt(F.var_samp(x) * (1 / n1 + 1 / n2))

@@ -59,7 +59,7 @@ def test_statistics_of_resamples(spark):
 def test_small_and_constant_samples(spark):
     for xs in ([3.0], [3.0] * 700):
         for name, want in (("mean", 3), ("median", 3), ("min", 3), ("sum", 3 * len(xs))):
-            r = sampling.bootstrap(values(spark, xs), "x", "id", name, n_resamples=20).first()
+            r = sampling.bootstrap(values(spark, xs), "x", "id", name, n_resamples=20, method="counts").first()
             assert (r.statistic, r.mean, r.std, r.ci_lower, r.ci_upper) == (want, want, 0, want, want)
     # both values of a sample of two, by all four draws
     got = [r.s for r in resampling.resampled(*resampling.placed(values(spark, [0, 1])), "mean", runs=4000, seed=0).collect()]
@@ -68,7 +68,7 @@ def test_small_and_constant_samples(spark):
 
 def test_the_seed_decides_and_partitioning_does_not(spark):
     xs = np.arange(300.0)
-    one, two, other = (sampling.bootstrap(values(spark, xs).repartition(n), "x", "id", n_resamples=50, seed=s).first() for n, s in ((1, 4), (5, 4), (1, 5)))
+    one, two, other = (sampling.bootstrap(values(spark, xs).repartition(n), "x", "id", n_resamples=50, seed=s, method="counts").first() for n, s in ((1, 4), (5, 4), (1, 5)))
     assert one.mean == pytest.approx(two.mean) and one.ci_lower == pytest.approx(two.ci_lower) and one.mean != other.mean
 
 
@@ -79,7 +79,7 @@ def test_permutations_against_all_splits(spark):
     gaps = [np.mean([both[i] for i in c]) - np.mean([both[i] for i in range(9) if i not in c]) for c in combinations(range(9), 4)]
     want = np.mean([abs(g) >= abs(seen) - 1e-12 for g in gaps])
     df = spark.createDataFrame([(i, "a" if i < 4 else "b", x) for i, x in enumerate(both)], "id long, g string, x double")
-    got = testing.permutation_test(df, "x", "g", "a", "b", id_col="id", n_permutations=20_000).first()
+    got = testing.permutation_test(df, "x", "g", "a", "b", id_col="id", n_permutations=20_000, method="counts").first()
     drawn = testing.permutation_test(df, "x", "g", "a", "b", id_col="id", n_permutations=500, method="draws").first()
     assert got.statistic == pytest.approx(seen) == drawn.statistic and abs(got.p_value - want) < 0.015 and abs(drawn.p_value - want) < 0.08
     assert (got.n1, got.n2) == (4, 5)
