@@ -534,7 +534,14 @@ def text_rouge_s(df: DataFrame) -> DataFrame:
     return _r(_turns(df).select("conv_id", "turn", text_metrics.rouge_s(F.col("r"), F.col("h"), skip_distance=2).alias("m")).select("conv_id", "turn", "m.*"))
 
 
-@_query("conversations")
+@_query("conversations", f"""
+{_TURNS}, g AS (SELECT conv_id, turn, 1 AS n, 'h' AS side, unnest(th) AS g FROM p UNION ALL SELECT conv_id, turn, 1, 'r', unnest(tr) FROM p
+  UNION ALL SELECT conv_id, turn, 2, 'h', unnest(list_transform(range(1, len(th)), lambda i: th[i] || ' ' || th[i + 1])) FROM p UNION ALL SELECT conv_id, turn, 2, 'r', unnest(list_transform(range(1, len(tr)), lambda i: tr[i] || ' ' || tr[i + 1])) FROM p),
+k AS (SELECT conv_id, turn, n, g, count(*) FILTER (side = 'h') AS a, count(*) FILTER (side = 'r') AS b FROM g GROUP BY ALL), m AS (SELECT conv_id, turn, n, CASE WHEN sum(a) > 0 THEN sum(least(a, b)) / sum(a) ELSE 0 END AS q FROM k GROUP BY ALL),
+v AS (SELECT conv_id, turn, coalesce(max(q) FILTER (n = 1), 0) AS p1, coalesce(max(q) FILTER (n = 2), 0) AS p2 FROM m GROUP BY ALL),
+b AS (SELECT p.conv_id, p.turn, coalesce(p1, 0) AS p1, coalesce(p2, 0) AS p2, CASE WHEN len(th) > len(tr) THEN 1.0 ELSE exp(1 - CASE WHEN len(th) > 0 THEN len(tr) / len(th) ELSE 0 END) END AS bp FROM p LEFT JOIN v USING (conv_id, turn))
+SELECT conv_id, turn, round(CASE WHEN p1 > 0 AND p2 > 0 THEN bp * exp(0.5 * ln(greatest(p1, 1e-300)) + 0.5 * ln(greatest(p2, 1e-300))) ELSE 0 END, 6)::DOUBLE AS score, round(CASE WHEN p1 > 0 AND p2 > 0 THEN bp ELSE 0 END, 6)::DOUBLE AS bp FROM b
+""")
 def text_bleu(df: DataFrame) -> DataFrame:
     return _r(_turns(df).select("conv_id", "turn", text_metrics.bleu(F.array("r"), F.col("h"), max_n=2).alias("m")).select("conv_id", "turn", "m.score", "m.bp"))
 
@@ -749,11 +756,29 @@ def graph_gat_propagate(df: DataFrame) -> DataFrame:
     return _r(graph.gat_propagate(_supply(df), [0.1, -0.2]).select("id", F.col("v")[0].alias("x"), F.col("v")[1].alias("y")))
 
 
-@_query("lineitem")
-def graph_gcn(df: DataFrame) -> DataFrame:
+def _gcn_layers() -> list[tuple[np.ndarray, np.ndarray | None]]:
     rng = np.random.default_rng(0)
-    layers = [(rng.standard_normal((2, 4)), np.zeros(4)), (rng.standard_normal((4, 2)), None)]
-    return _r(graph.gcn(_supply(df), layers).select("id", F.col("v")[0].alias("x"), F.col("v")[1].alias("y")))
+    return [(rng.standard_normal((2, 4)), np.zeros(4)), (rng.standard_normal((4, 2)), None)]
+
+
+def _gcn_sql() -> str:
+    """Two layers: sums over neighbours scaled at both ends, times the weights, with ReLU between."""
+    (first, _), (second, _) = _gcn_layers()
+    term = lambda names, w: " + ".join(f"{n} * ({float(x)!r})" for n, x in zip(names, w, strict=True))
+    hidden = ", ".join(f"greatest(0, {term(['a', 'b'], first[:, j])}) AS h{j}" for j in range(4))
+    moved = ", ".join(f"sum(weight * p.s * q.s * x.h{j}) AS m{j}" for j in range(4))
+    out = [term([f"m{j}" for j in range(4)], second[:, k]) for k in range(2)]
+    return f"""
+{_EDGES}, e AS (SELECT src, dst, weight FROM g WHERE src <> dst UNION ALL SELECT id, id, 1.0 FROM v), s AS (SELECT dst AS id, 1 / sqrt(sum(weight)) AS s FROM e GROUP BY dst),
+n AS (SELECT e.dst AS id, sum(weight * p.s * q.s * (e.src % 7)) AS a, sum(weight * p.s * q.s * (e.src % 5)) AS b FROM e JOIN s p ON p.id = e.src JOIN s q ON q.id = e.dst GROUP BY e.dst),
+x AS (SELECT id, {hidden} FROM n), m AS (SELECT e.dst AS id, {moved} FROM e JOIN s p ON p.id = e.src JOIN s q ON q.id = e.dst JOIN x ON x.id = e.src GROUP BY e.dst)
+SELECT id, round({out[0]}, 6) + 0.0 AS x, round({out[1]}, 6) + 0.0 AS y FROM m
+"""
+
+
+@_query("lineitem", _gcn_sql())
+def graph_gcn(df: DataFrame) -> DataFrame:
+    return _r(graph.gcn(_supply(df), _gcn_layers()).select("id", F.col("v")[0].alias("x"), F.col("v")[1].alias("y")))
 
 
 _NUMBERED = f"{_EDGES}, z AS (SELECT src, count(*) AS deg FROM g GROUP BY 1), num AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS k FROM g)"
