@@ -82,16 +82,35 @@ def _authority_leaves(authority: str) -> bool:
     return "\\" in authority or not hosts or not all(m and is_loopback_host(m[1]) for m in bare)
 
 
+#: A driver prefix and the schemes after it, up to an authority; and databases that live in a file or in memory. Fixed values.
+_DRIVER = re.compile(r"(?i)\s*jdbc:(?:[a-z][\w+.-]*:)*//")
+_EMBEDDED = re.compile(r"(?i)\s*jdbc:(sqlite|duckdb|derby(?!:/*\w+:)|h2:(file|mem)|hsqldb:(file|mem)):")
+
+
+def _driver_leaves(uri: str) -> bool:
+    """Whether a driver's connection string names a host elsewhere; what names neither a host nor an embedded database may do so."""
+    found = _DRIVER.match(uri)
+    if not found:
+        return _EMBEDDED.match(uri) is None
+    address, _, settings = uri[found.end() :].partition(";")
+    parts = urlsplit(f"driver://{address}")
+    more = [tuple(x.split("=", 1)) for x in settings.split(";") if "=" in x]
+    return _authority_leaves(parts.netloc) or _settings_leave([*parse_qsl(parts.query), *more])
+
+
 def require_local_uri(uri: str, *, what: str = "URI") -> str:
     """``uri`` if all that it names is on this machine; else, and where that cannot be told, ``NonLocalEndpointError``.
 
     A URI with an authority needs loopback hosts there and in the query keys that override them. A connection string of
-    ``key=value`` settings needs loopback hosts or local sockets. Either must not name a service file. Anything else is a local
+    ``key=value`` settings needs loopback hosts or local sockets. A driver's string (``jdbc:``) needs loopback hosts, or a database
+    in a file or in memory. Either must not name a service file. Anything else is a local
     path, unless it begins as a network share does, or is the bare scheme of a database whose host the environment would choose.
     """
     try:
         parts = urlsplit(uri)
-        if parts.netloc:
+        if uri.strip().lower().startswith("jdbc:"):
+            leaves = _driver_leaves(uri)
+        elif parts.netloc:
             leaves = _authority_leaves(parts.netloc) or _settings_leave(parse_qsl(parts.query))
         elif "=" in uri:
             leaves = _settings_leave((k, v.strip("'\"")) for k, v in _SETTING.findall(uri))
