@@ -131,11 +131,13 @@ def graph_sage(graph: Graph, layers: Sequence[tuple[np.ndarray, np.ndarray, np.n
 def _numbered(graph: Graph, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """``src, dst, k``: out-edges numbered from 0 by dst, and ``src, deg``.
 
-    Numbers come from running counts over ranges of (src, dst), so the edges of a hub are numbered in many tasks.
+    Numbers come from running counts over ranges of (src, dst), so the edges of a hub are numbered in many tasks. Both carry a
+    hint to be merged: they grow with the graph, and Spark would judge by their compressed files that they can be broadcast.
     """
     placed = scratch.table(row_numbers(graph.edges.select("src", "dst"), [F.col("src"), F.col("dst")]), "placed")
     sizes = scratch.table(placed.groupBy("src").agg(F.count(F.lit(1)).alias("deg"), F.min("rn").alias("first")), "sizes")
-    return scratch.table(placed.join(sizes, "src").select("src", "dst", (F.col("rn") - F.col("first")).alias("k")), "out"), sizes.select("src", "deg")
+    out = scratch.table(placed.join(sizes.hint("merge"), "src").select("src", "dst", (F.col("rn") - F.col("first")).alias("k")), "out")
+    return out.hint("merge"), sizes.select("src", "deg").hint("merge")
 
 
 def random_walks(graph: Graph, *, walk_length: int = 80, num_walks: int = 10, seed: int = 0) -> DataFrame:
@@ -177,7 +179,7 @@ def biased_walks(graph: Graph, *, walk_length: int = 20, num_walks: int = 5, p:
     spark = graph.edges.sparkSession
     scratch = Scratch(spark, "biased-walks")
     out, sizes = _numbered(graph, scratch)
-    known = scratch.table(graph.edges.select(F.col("src").alias("ks"), F.col("dst").alias("kd")).where("ks IS NOT NULL AND kd IS NOT NULL").distinct(), "known")
+    known = scratch.table(graph.edges.select(F.col("src").alias("ks"), F.col("dst").alias("kd")).where("ks IS NOT NULL AND kd IS NOT NULL").distinct(), "known").hint("merge")
     starts = graph.nodes.select("id").withColumn("walk", F.explode(F.sequence(F.lit(0), F.lit(num_walks - 1))))
     kind = graph.edges.schema["dst"].dataType
     now = starts.select("id", "walk", F.lit(0).alias("pos"), F.lit(None).cast(kind).alias("prev"), F.col("id").cast(kind).alias("at"), F.lit(0).alias("tries"), F.lit(False).alias("back"))

@@ -130,3 +130,17 @@ def test_walks_repeat_with_their_seed(spark):
     g = graph.from_edge_list(spark, [(i, (i * 7 + j) % 20) for i in range(20) for j in range(4)], 20)
     one, two, other = (sorted(map(str, graph.biased_walks(graph.Graph(g.nodes, g.edges.repartition(n)), walk_length=5, num_walks=2, q=0.2, seed=s).collect())) for n, s in ((1, 3), (5, 3), (1, 4)))
     assert one == two != other
+
+
+def test_walks_broadcast_no_part_of_the_graph(spark, monkeypatch):
+    """Tables that grow with the graph are merged, however small their compressed files are."""
+    from tessera.plans.scratch import Scratch
+
+    plans, table = [], Scratch.table
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    monkeypatch.setattr(Scratch, "table", lambda self, df, name, *a, **k: (plans.append((name, plan(df))), table(self, df, name, *a, **k))[1])
+    g = graph.from_edge_list(spark, [(0, 1), (1, 0), (1, 2), (2, 0)], 3)
+    graph.biased_walks(g, walk_length=3, num_walks=1).collect()
+    plans.append(("walks", plan(graph.random_walks(g, walk_length=3, num_walks=1))))
+    seen = [(name, p) for name, p in plans if name[:3] in ("out", "now", "rou", "wal")]
+    assert len(seen) >= 4 and not [name for name, p in seen if "BroadcastHashJoin" in p]
