@@ -24,6 +24,8 @@ from tessera.plans.scratch import Scratch
 MOST_DRAWN = 1_000_000
 #: Values of a leaf, and draws of a leaf that are held at once.
 LEAF, DRAWS = 512, 1 << 21
+#: Tasks that leaves are dealt to, at most.
+TASKS = 240
 
 _PARTIAL = "run long, s double, low double, high double, a double, z double"
 
@@ -37,21 +39,39 @@ class _Tree:
     def _size(self, lo: int, hi: int) -> int:
         return min(self.n, hi * self.leaf) - lo * self.leaf
 
+    def _split(self, lo: int, hi: int, here: np.ndarray) -> np.ndarray:
+        """How many of a node's draws fall into its left half."""
+        mid = (lo + hi) // 2
+        rng = np.random.default_rng([self.seed, 1, lo, hi])
+        left, right = self._size(lo, mid), self._size(mid, hi)
+        return rng.hypergeometric(left, right, here) if self.once else rng.binomial(here, left / (left + right))
+
     def at(self, leaf: int) -> tuple[np.ndarray, np.ndarray]:
         """Draws of each run from this leaf, and from all leaves before it."""
         lo, hi = 0, -(-self.n // self.leaf)
         here, before = np.full(self.runs, self.total, np.int64), np.zeros(self.runs, np.int64)
         while hi - lo > 1:
-            mid = (lo + hi) // 2
-            rng = np.random.default_rng([self.seed, 1, lo, hi])
-            left, right = self._size(lo, mid), self._size(mid, hi)
-            taken = rng.hypergeometric(left, right, here) if self.once else rng.binomial(here, left / (left + right))
+            mid, taken = (lo + hi) // 2, self._split(lo, hi, here)
             if leaf < mid:
                 here, hi = taken, mid
             else:
                 here, before, lo = here - taken, before + taken, mid
         return here, before
 
+    def holding(self, ranks: tuple[int, ...]) -> list[int]:
+        """Leaves that hold one of these ranks of any run's draws; nodes without one are not looked into."""
+        found, open_nodes = [], [(0, -(-self.n // self.leaf), np.full(self.runs, self.total, np.int64), np.zeros(self.runs, np.int64))]
+        while open_nodes:
+            lo, hi, here, before = open_nodes.pop()
+            if not any(((before <= r) & (r < before + here)).any() for r in ranks):
+                continue
+            if hi - lo == 1:
+                found.append(lo)
+                continue
+            mid, taken = (lo + hi) // 2, self._split(lo, hi, here)
+            open_nodes += [(lo, mid, taken, before), (mid, hi, here - taken, before + taken)]
+        return sorted(found)
+
     def draws(self, leaf: int, size: int, counts: np.ndarray, of: Callable[[np.ndarray, np.ndarray, np.ndarray], None], *, ordered: bool = True) -> None:
         """``of(runs, ends, places)`` for batches of runs: the places in the leaf that each run takes, up to its end, ascending if ``ordered``."""
         rng = np.random.default_rng([self.seed, 2, leaf])
@@ -59,8 +79,11 @@ class _Tree:
         for lo in range(0, self.runs, step):
             c = counts[lo : lo + step]
             if self.once:
-                order = rng.random((len(c), size)).argsort(axis=1).argsort(axis=1)
-                run, place = np.nonzero(order < c[:, None])
+                order = rng.random((len(c), size)).argsort(axis=1)
+                if ordered:
+                    run, place = np.nonzero(order.argsort(axis=1) < c[:, None])
+                else:
+                    place = order[np.arange(size) < c[:, None]]
             else:
                 run = np.repeat(np.arange(len(c)), c)
                 place = rng.integers(0, size, len(run))
@@ -101,7 +124,11 @@ def _partials(rows: DataFrame, tree: _Tree, ranks: tuple[int, int] | None, *, su
         columns = [pa.array(v, mask=np.isnan(v)) for v in (s, low, high, a, z)]
         return pa.table([pa.array(np.arange(tree.runs)), *columns], names=["run", "s", "low", "high", "a", "z"])
 
-    return rows.withColumn("leaf", F.floor(F.col("at") / leaf_size)).groupBy("leaf").applyInArrow(work, _PARTIAL)
+    leaves = rows.withColumn("leaf", F.floor(F.col("at") / leaf_size))
+    if ranks is not None:  # other leaves hold no wanted value
+        leaves = leaves.where(F.col("leaf").isin(tree.holding(ranks)))
+    # a leaf is little data but much work, so the number of tasks is said, or small partitions would be put together
+    return leaves.repartition(max(1, min(TASKS, -(-tree.n // leaf_size))), "leaf").groupBy("leaf").applyInArrow(work, _PARTIAL)
 
 
 def placed(rows: DataFrame) -> tuple[DataFrame, int]:

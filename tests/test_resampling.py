@@ -6,6 +6,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import resampling, sampling, testing
 
@@ -87,3 +88,20 @@ def test_permutations_against_all_splits(spark):
         testing.permutation_test(df, "x", "g", "a", "b", id_col="id", method="x")
     with pytest.raises(ValueError, match="unknown"):
         sampling.bootstrap(df, "x", "id", "mode")
+
+
+def test_a_rank_opens_few_leaves():
+    """Only leaves that hold the rank of some run are worked on, and they are all of them."""
+    tree = resampling._Tree(100_000, 100_000, 200, 3, False, 500)
+    rank = 49_999
+    want = [leaf for leaf in range(200) for here, before in [tree.at(leaf)] if ((before <= rank) & (rank < before + here)).any()]
+    assert tree.holding((rank,)) == want and len(want) < 20
+
+
+def test_leaves_are_dealt_to_many_tasks(spark):
+    """Little data, much work: partitions are not put together."""
+    rows = spark.range(20_000).select(F.col("id").alias("at"), F.col("id").cast("double").alias("x"))
+    sums = resampling._partials(rows, resampling._Tree(20_000, 7_000, 3, 0, True, 512), None, sums_only=True)
+    assert sums.select(F.spark_partition_id()).distinct().count() > 10
+    got = sorted(r.s for r in resampling.subset_sums(rows, 20_000, 20_000, runs=3, seed=0).collect())
+    assert got == [19_999 * 10_000.0] * 3
