@@ -17,6 +17,7 @@ from tessera.functions.draws import md5_key
 from tessera.functions.vectors import ratio
 from tessera.operators.pairs import nearest
 from tessera.operators.stats import attach, robust_z_scores, z_scores
+from tessera.plans.scratch import Scratch
 from tessera.plans.selection import quantiles
 
 
@@ -50,7 +51,7 @@ def lof(df: DataFrame, *, id_col: str = "id", vector: str = "v", k: int = 20, th
     """
     if not 0 < k < df.count():
         raise ValueError("k must lie between 1 and the number of points less one")
-    near = nearest(df, k, id_col=id_col, vector=vector)
+    near = Scratch(df.sparkSession, "lof").table(nearest(df, k, id_col=id_col, vector=vector), "near")  # read three times
     reach = near.groupBy(F.col("i").alias("j")).agg(F.max("d").alias("kd"))
     dist = near.join(reach, "j").select("i", "j", F.greatest("kd", "d").alias("rd"))
     density = dist.groupBy("i").agg(F.avg("rd").alias("m")).select("i", F.when(F.col("m") > 0, F.try_divide(F.lit(1.0), "m")).otherwise(float("inf")).alias("lrd"))

@@ -7,7 +7,8 @@ to the pivot, by how far the cell reaches, and by the half space between its own
 block are dealt into parts, each of which gets the block.
 
 Nothing is approximate: pivots decide how many pairs are compared, never which neighbours are found. On vectors without any
-structure all blocks are visited, which is what comparing all pairs costs.
+structure all blocks would be visited; where a look at some rows says so, pairs are compared in larger blocks instead
+(``pairs.nearest_by_blocks``), so that what is shuffled does not follow their number.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.pairs import _distances, _ids, _k_best, _matrix
+from tessera.operators.pairs import _distances, _ids, _k_best, _matrix, nearest_by_blocks
 from tessera.plans.ordered import row_numbers
 from tessera.plans.scratch import Scratch, broadcast_if_small
 
@@ -27,6 +28,10 @@ from tessera.plans.scratch import Scratch, broadcast_if_small
 BLOCK, VISITORS = 512, 4_096
 #: Pivots at most; they are chosen among so many rows for each, far from one another.
 PIVOTS, CANDIDATES = 256, 8
+#: Rows that tell which share of the blocks has to be visited; beyond this share, all pairs are compared by larger blocks instead.
+LOOKED, WORTH = 1_000, 0.2
+#: Rows up to which visits are few anyway.
+WORTH_FROM = 2_048
 #: Bounds give way by this share, so that rounding never hides a neighbour.
 SLACK = 1e-9
 
@@ -178,6 +183,10 @@ def nearest_by_cells(df: DataFrame, k: int, *, id_col: str = "id", vector: str =
 
     own = first.where("j IS NULL").groupBy(F.col("i").alias("id")).agg(F.min("d").alias("local"))
     bounded = cells.rows.join(own, "id").select("id", "v", "cell", "ring", "local").mapInArrow(bound, f"id {kind}, v array<double>, cell int, ring int, bound double")
+    # a look at some rows decides how neighbours are found, never which
+    looked = bounded.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(max(1, cells.n // LOOKED))) == 0)
+    if cells.n > WORTH_FROM and cells.visits(looked, own=False).count() > WORTH * cells.n_blocks * looked.count():
+        return nearest_by_blocks(cells.rows, k)
     visits = cells.visits(bounded, own=False)
     return first.where("j IS NOT NULL").unionByName(cells.meet(visits, k))
 

@@ -100,3 +100,27 @@ def test_within(spark, eps):
     assert len(got) == len(set(got)) and set(got) == want
     odd = spark.createDataFrame([(1, [math.nan]), (2, [math.inf]), (3, [1.0])], "id long, v array<double>")
     assert [tuple(r) for r in pairs.within(odd, eps).collect()] == [(3, 3)]
+
+
+def test_pairs_of_wide_blocks(spark, monkeypatch):
+    """Rows are copied once for each block, whose number does not follow that of rows; neighbours and sums stay those of all pairs."""
+    monkeypatch.setattr(pairs, "BLOCK", 16)
+    monkeypatch.setattr(pairs, "WIDE", 3)
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(150, 5)) * 8) / 8  # exact sums
+    x[40:90] = x[3]  # copies: ties go to smaller ids
+    df = spark.createDataFrame([(i, [float(v) for v in r], i % 3) for i, r in enumerate(x)], "id long, v array<double>, y int").repartition(3)
+    assert pairs._sides(df, "id", "v", wide=True)[0].count() == sum(r.b * (3 - r.bi) for r in pairs._sides(df, "id", "v", wide=True)[0].where("bi = bj").groupBy("bi").agg(F.count("*").alias("b")).collect())
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    best = Window.partitionBy("i").orderBy("d", "j")
+    for k in (1, 6):
+        got = pairs.nearest_by_blocks(df, k)
+        assert got.count() <= 150 * k * 4
+        rows = got.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).collect()
+        want = {(i, r + 1): j for i in range(150) for r, j in enumerate(sorted((j for j in range(150) if j != i), key=lambda j: (round(d[i, j], 12), j))[:k])}
+        assert {(r.i, r.r): r.j for r in rows} == want
+    sums = {(r.i, r.lj): (r.t, r.n) for r in pairs.label_distances(df, "y").groupBy("i", "lj").agg(F.sum("total").alias("t"), F.sum("n").alias("n")).collect()}
+    for i in range(150):
+        for y in range(3):
+            others = [j for j in range(150) if j % 3 == y and j != i]
+            assert sums[i, y] == (pytest.approx(d[i, others].sum()), len(others))
