@@ -124,3 +124,24 @@ def test_pairs_of_wide_blocks(spark, monkeypatch):
         for y in range(3):
             others = [j for j in range(150) if j % 3 == y and j != i]
             assert sums[i, y] == (pytest.approx(d[i, others].sum()), len(others))
+
+
+@pytest.mark.parametrize("offset, scale", [(0.0, 1.0), (1e6, 1.0), (0.0, 1e-25), (3.0, 1e30)])
+def test_nearest_by_wide_blocks_is_exact_where_single_precision_is_not(spark, offset, scale):
+    """Rough products may only rule out what is surely farther: far from the origin, very small and very large vectors, and ties."""
+    rng = np.random.default_rng(7)
+    x = (rng.integers(0, 40, (1500, 3)) / 8 + offset) * scale
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "id long, v array<double>")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    best = Window.partitionBy("i").orderBy("d", "j")
+    got = pairs.nearest_by_blocks(df, 4).withColumn("r", F.row_number().over(best)).where("r <= 4").toPandas().sort_values(["i", "r"])
+    order = np.argsort(d, axis=1, kind="stable")[:, :4]
+    assert (got["j"].to_numpy().reshape(-1, 4) == order).all()
+    assert (got["d"].to_numpy().reshape(-1, 4) == np.take_along_axis(d, order, 1)).all()
+
+
+def test_wide_blocks_copy_single_precision_vectors_as_they_are(spark):
+    df = spark.createDataFrame([(1, [0.5, 1.0])], "id long, v array<float>")
+    wide, narrow = (dict(pairs._sides(df, "id", "v", wide=w)[0].dtypes)["a"] for w in (True, False))
+    assert (wide, narrow) == ("array<float>", "array<double>")
