@@ -6,6 +6,7 @@ import math
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import ranking
 from tessera.operators.inverted_index import InvertedIndex
@@ -99,3 +100,26 @@ def test_refusals(spark, tmp_path):
     for bad in (lambda: index.top_k(ask, 0), lambda: index.top_k(ask, 1, score="x"), lambda: index.top_k(ask.union(ask), 1)):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_postings_are_counted_where_documents_are_read(spark):
+    docs = [(1, "b a b"), (2, None), (3, ""), (4, "A a")]
+    counted = ranking.counted_terms(spark.createDataFrame(docs, DOCS), "doc_id", "text")
+    rows = {r.doc_id: (r.len, dict(zip(r.terms, r.counts, strict=True))) for r in counted.collect()}
+    assert rows == {1: (3, {"a": 1, "b": 2}), 2: (0, {}), 3: (0, {}), 4: (2, {"a": 2})}
+    assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("frequent", [1, 3, 20, 10**6])
+def test_only_rare_terms_move_to_their_weights(spark, frequent):
+    docs = spark.createDataFrame(corpus(), DOCS)
+    want = {i: s for s, i in zip(*brute(corpus(), "the rare3 w5", 10**6, "tfidf")[::-1], strict=True)}
+    got = {r.doc_id: r.score for r in ranking.tfidf_score(docs, "the rare3 w5", frequent=frequent).collect()}
+    assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_bounds_are_those_of_the_postings(spark, path):
+    index = InvertedIndex(spark, path)
+    sums = index.postings.groupBy("term", "block").agg(F.count("*").alias("n"), F.max("bm25").alias("bm25"), F.max("tfidf").alias("tfidf"))
+    want = {(r.term, r.block): (r.n, r.bm25, r.tfidf) for r in sums.collect()}
+    assert {(r.term, r.block): (r.n, r.bm25, r.tfidf) for r in index.bounds.collect()} == want
