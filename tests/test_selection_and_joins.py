@@ -145,3 +145,20 @@ def test_wide_blocks_copy_single_precision_vectors_as_they_are(spark):
     df = spark.createDataFrame([(1, [0.5, 1.0])], "id long, v array<float>")
     wide, narrow = (dict(pairs._sides(df, "id", "v", wide=w)[0].dtypes)["a"] for w in (True, False))
     assert (wide, narrow) == ("array<float>", "array<double>")
+
+
+def test_blocks_meet_without_copies_in_a_shuffle(spark, monkeypatch):
+    """Matrices and neighbours of all pairs shuffle vectors once, to write their blocks; nothing else of a matrix is shuffled."""
+    for name, value in (("BLOCK", 16), ("WIDE", 3), ("TILE", 8), ("BATCH", 50)):
+        monkeypatch.setattr(pairs, name, value)
+    x = np.random.default_rng(9).normal(size=(130, 4))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, v array<double>").repartition(3)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    unit = x / np.sqrt((x * x).sum(1))[:, None]
+    for matrix, want in ((pairs.distance_matrix, d), (pairs.similarity_matrix, unit @ unit.T), (pairs.cosine_matrix_blocks, unit @ unit.T)):
+        found = matrix(df)
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+        cells = [tuple(r) for r in found.collect()]
+        assert len(cells) == len({c[:2] for c in cells}) == 130 * 130
+        assert all(v == pytest.approx(want[i, j], abs=1e-9) for i, j, v in cells)
+    assert "Exchange" not in pairs.nearest_by_blocks(df, 3)._jdf.queryExecution().executedPlan().toString()
