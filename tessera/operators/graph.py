@@ -46,9 +46,24 @@ def degrees(graph: Graph) -> DataFrame:
     return graph.nodes.select("id").join(counts, "id", "left").select("id", F.coalesce("in_degree", F.lit(0)).cast("long").alias("in_degree"), F.coalesce("out_degree", F.lit(0)).cast("long").alias("out_degree"))
 
 
-def _sum_vectors(rows: DataFrame, key: str, vector: Column, average: bool = False) -> DataFrame:
-    """Per key the component-wise sum (or mean) of vectors."""
-    parts = rows.select(key, F.posexplode(vector).alias("d", "x")).groupBy(key, "d").agg((F.avg if average else F.sum)("x").alias("x"))
+#: Edges that one task joins, about, and components up to which vectors are added as columns.
+EDGES, COLUMNS = 500_000, 64
+
+
+def _size(nodes: DataFrame, features: str) -> int:
+    """Components of a node's vector; 1 without nodes."""
+    one = nodes.where(F.col(features).isNotNull()).select(F.size(features)).first()
+    return one[0] if one else 1
+
+
+def _sum_vectors(rows: DataFrame, key: str, vector: Column, average: bool = False, size: int | None = None) -> DataFrame:
+    """Per key the component-wise sum (or mean) of vectors. If they are known to have a small ``size``, a key is one row of sums throughout."""
+    fold = F.avg if average else F.sum
+    if size is not None and 0 < size <= COLUMNS:
+        whole = F.when(F.size("m") == size, F.col("m")).otherwise(F.raise_error(F.lit("vectors must have the same, positive length")))
+        one = rows.select(key, vector.alias("m")).where("m IS NOT NULL").select(key, whole.alias("m")).groupBy(key).agg(*(fold(F.col("m")[d]).alias(f"x{d}") for d in range(size)))
+        return one.select(key, F.array(*(f"x{d}" for d in range(size))).alias("v"))
+    parts = rows.select(key, F.posexplode(vector).alias("d", "x")).groupBy(key, "d").agg(fold("x").alias("x"))
     return parts.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("d", "x"))).alias("s")).select(key, F.col("s.x").alias("v"))
 
 
@@ -56,22 +71,36 @@ def _scaled(v: Column, w: Column) -> Column:
     return F.transform(v, lambda x: x * w)
 
 
-def gcn_propagate(graph: Graph, features: str = "features") -> DataFrame:
-    """``id, v``: symmetric normalised sum over neighbours and the node itself (weights count; self weight 1)."""
+def _normalised(graph: Graph, parts: int | None = None) -> DataFrame:
+    """``src, dst, weight`` of edges and loops (of weight 1), over the roots of both ends' degrees; ``parts`` tasks join them, if said.
+
+    Joins are merged: degrees grow with the graph, and Spark would judge by compressed files that they can be broadcast.
+    """
     loops = graph.nodes.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("weight"))
     edges = graph.edges.select("src", "dst", F.coalesce("weight", F.lit(1.0)).alias("weight")).where("src <> dst").unionByName(loops)
     degree = edges.groupBy(F.col("dst").alias("id")).agg(F.sum("weight").alias("deg"))
     scale = degree.select("id", F.when(F.col("deg") > 0, 1 / F.sqrt("deg")).otherwise(0.0).alias("s"))
-    sent = graph.nodes.select(F.col("id").alias("src"), F.col(features).alias("x")).join(scale.withColumnRenamed("id", "src"), "src")
-    rows = edges.join(sent, "src").select("dst", _scaled(F.col("x"), F.col("weight") * F.col("s")).alias("m"))
-    total = _sum_vectors(rows, "dst", F.col("m")).withColumnRenamed("dst", "id")
-    return total.join(scale, "id").select("id", _scaled(F.col("v"), F.col("s")).alias("v"))
+    one, two = (scale.select(F.col("id").alias(end), F.col("s").alias(f"{end}_s")).hint("merge") for end in ("src", "dst"))
+    dealt = lambda d, end: d.repartition(parts, end) if parts else d
+    return dealt(dealt(edges, "src").join(one, "src"), "dst").join(two, "dst").select("src", "dst", (F.col("weight") * F.col("src_s") * F.col("dst_s")).alias("weight"))
+
+
+def _propagated(edges: DataFrame, nodes: DataFrame, features: str, size: int, parts: int | None = None) -> DataFrame:
+    """``id, v``: per target the sum of its sources' vectors times the edges' weights; ``parts`` tasks join them, if said."""
+    x = nodes.select(F.col("id").alias("src"), F.col(features).alias("x")).where("x IS NOT NULL")
+    rows = (edges.repartition(parts, "src") if parts else edges).join(x.hint("merge"), "src")
+    return _sum_vectors(rows, "dst", _scaled(F.col("x"), F.col("weight")), size=size).withColumnRenamed("dst", "id")
+
+
+def gcn_propagate(graph: Graph, features: str = "features") -> DataFrame:
+    """``id, v``: symmetric normalised sum over neighbours and the node itself (weights count; self weight 1)."""
+    return _propagated(_normalised(graph), graph.nodes, features, _size(graph.nodes, features))
 
 
 def sage_propagate(graph: Graph, features: str = "features") -> DataFrame:
     """``id, own, v``: a node's vector and the mean of its in-neighbours' (zeros without any)."""
     sent = graph.nodes.select(F.col("id").alias("src"), F.col(features).alias("x"))
-    mean = _sum_vectors(graph.edges.join(sent, "src"), "dst", F.col("x"), True).withColumnRenamed("dst", "id")
+    mean = _sum_vectors(graph.edges.join(sent, "src"), "dst", F.col("x"), True, _size(graph.nodes, features)).withColumnRenamed("dst", "id")
     own = graph.nodes.select("id", F.col(features).alias("own"))
     return own.join(mean, "id", "left").select("id", "own", F.coalesce("v", F.transform("own", lambda x: x * 0.0)).alias("v"))
 
@@ -92,7 +121,7 @@ def gat_propagate(graph: Graph, attention: Sequence[float], slope: float = 0.2,
     top = rows.groupBy("dst").agg(F.max("e").alias("top"))
     rows = rows.join(top, "dst").withColumn("w", F.exp(F.col("e") - F.col("top")))
     total = rows.groupBy("dst").agg(F.sum("w").alias("t"))
-    out = _sum_vectors(rows.select("dst", _scaled(F.col("x"), F.col("w")).alias("m")), "dst", F.col("m")).join(total, "dst")
+    out = _sum_vectors(rows.select("dst", _scaled(F.col("x"), F.col("w")).alias("m")), "dst", F.col("m"), size=_size(graph.nodes, features)).join(total, "dst")
     return out.select(F.col("dst").alias("id"), _scaled(F.col("v"), 1 / F.col("t")).alias("v"))
 
 
@@ -108,12 +137,20 @@ def dense(vector: Column, weights: np.ndarray, bias: np.ndarray | None = None, a
 
 
 def gcn(graph: Graph, layers: Sequence[tuple[np.ndarray, np.ndarray | None]], features: str = "features") -> DataFrame:
-    """``id, v``: inference of stacked GCN layers with ReLU between them."""
+    """``id, v``: inference of stacked GCN layers with ReLU between them.
+
+    Edges are scaled once and written; a layer joins them by bounded parts with its vectors and adds up one row of sums for each target.
+    """
     scratch = Scratch(graph.edges.sparkSession, "gcn")
-    now = graph.nodes.select("id", F.col(features).alias("features"))
+    now = scratch.table(graph.nodes.select("id", F.col(features).alias("features")), "nodes")
+    n = now.count()
+    parts = max(1, -(-(graph.edges.count() + n) // EDGES))
+    edges = scratch.table(_normalised(Graph(now, graph.edges), parts), "edges")
     for k, (w, b) in enumerate(layers):
-        moved = gcn_propagate(Graph(now, graph.edges))
+        moved = _propagated(edges, now, "features", len(w), parts)
         now = scratch.table(moved.select("id", dense(F.col("v"), w, b, "relu" if k + 1 < len(layers) else "none").alias("features")), f"layer{k}")
+        if k + 1 < len(layers) and now.count() != n:  # targets that were no nodes have become some, with loops
+            edges, n = scratch.table(_normalised(Graph(now, graph.edges), parts), f"edges{k}"), now.count()
     return now.select("id", F.col("features").alias("v"))
 
 

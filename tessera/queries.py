@@ -724,8 +724,9 @@ _EDGES = "WITH g AS (SELECT l_suppkey AS src, l_partkey AS dst, count(*)::DOUBLE
 
 
 def _supply(df: DataFrame) -> graph.Graph:
-    """Suppliers and parts that occur together; a node's vector is its id's last digits."""
+    """Suppliers and parts that occur together, counted once and written; a node's vector is its id's last digits."""
     edges = df.groupBy(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    edges = Scratch(df.sparkSession, "supply").table(edges, "edges")
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     return graph.Graph(nodes.withColumn("features", F.array((F.col("id") % 7).cast("double"), (F.col("id") % 5).cast("double"))), edges)
 

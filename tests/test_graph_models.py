@@ -144,3 +144,26 @@ def test_walks_broadcast_no_part_of_the_graph(spark, monkeypatch):
     plans.append(("walks", plan(graph.random_walks(g, walk_length=3, num_walks=1))))
     seen = [(name, p) for name, p in plans if name[:3] in ("out", "now", "rou", "wal")]
     assert len(seen) >= 4 and not [name for name, p in seen if "BroadcastHashJoin" in p]
+
+
+def test_gcn_scales_edges_once_and_adds_vectors_by_columns(spark, monkeypatch):
+    """No component is a row of its own, nothing is broadcast by its file size, and targets that are no nodes count as before."""
+    from tessera.plans.scratch import Scratch
+
+    plans, table = [], Scratch.table
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(Scratch, "table", lambda self, df, name, *a, **k: (plans.append((name, plan(df))), table(self, df, name, *a, **k))[1])
+    monkeypatch.setattr(graph, "EDGES", 2)
+    edges = spark.createDataFrame([(0, 1, 2.0), (1, 2, None), (2, 0, 1.0), (1, 9, 3.0)], "src long, dst long, weight double")
+    nodes = spark.createDataFrame([(0, [1.0, 2.0]), (1, [0.0, -1.0]), (2, [3.0, 1.0])], "id long, features array<double>")
+    w, z = np.array([[1.0, -2.0, 0.5], [0.5, 1.0, 1.0]]), np.array([[1.0], [2.0], [-1.0]])
+    got = {r.id: r.v for r in graph.gcn(graph.Graph(nodes, edges), [(w, np.array([0.1, 0.0, 0.2])), (z, None)]).collect()}
+    x, known = {0: [1.0, 2.0], 1: [0.0, -1.0], 2: [3.0, 1.0]}, [0, 1, 2]
+    for weights, bias, last in ((w, np.array([0.1, 0.0, 0.2]), False), (z, 0, True)):
+        every = [(0, 1, 2.0), (1, 2, 1.0), (2, 0, 1.0), (1, 9, 3.0)] + [(i, i, 1.0) for i in known]
+        deg = {i: sum(v for _, d, v in every if d == i) for i in (0, 1, 2, 9)}
+        x = {i: sum(v / np.sqrt(deg[s] * deg[d]) * np.array(x[s]) for s, d, v in every if d == i) @ weights + bias for i in (0, 1, 2, 9)}
+        x, known = {i: v if last else np.maximum(v, 0) for i, v in x.items()}, [0, 1, 2, 9]
+    assert got.keys() == x.keys() and all(got[i] == pytest.approx(list(x[i])) for i in x)
+    layers = [p for name, p in plans if name.startswith("layer")]
+    assert len(layers) == 2 and not any("Generate" in p or "Broadcast" in p for p in layers)
