@@ -11,6 +11,7 @@ The index is committed as a whole (``plans/versions.py``): readers see the last
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -77,7 +78,9 @@ class InvertedIndex:
         # a document moves as one row; where there are many, Spark would judge by their compressed file that they can be broadcast
         placed = versions.table(tables["docs"]).select("doc_id", "number", "block", "norm")
         placed = F.broadcast(placed) if n <= FEW_DOCS else placed.hint("merge")
-        shares = postings(counted.join(placed, "doc_id"), "number", "block", "norm").select(
+        # what a posting gives follows from its document's length and norm, which take less room on the way than both shares
+        moved = postings(counted.join(placed, "doc_id"), "number", "block", "norm").select("term", "block", "number", "c", "len", "norm").repartitionByRange("term", "block")
+        shares = moved.select(
             "term", "block", "number", "c",
             (F.col("c") * (k1 + 1) / (F.col("c") + k1 * (1 - b + b * F.col("len") / F.lit(mean)))).alias("bm25"), (F.col("c") / F.col("len") / F.col("norm")).alias("tfidf"),
         )
@@ -86,7 +89,7 @@ class InvertedIndex:
         run = Window.partitionBy("term", "block").orderBy("number")
         every = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         first = F.row_number().over(run) == 1
-        shares = shares.repartitionByRange("term", "block").sortWithinPartitions("term", "block", "number")
+        shares = shares.sortWithinPartitions("term", "block", "number")
         shares = shares.select("*", F.when(first, F.count("*").over(every)).alias("n"), *(F.when(first, F.max(x).over(every)).alias(f"most_{x}") for x in SCORES))
         tables["postings"] = versions.write(shares, folder, "postings")
         latest = versions.latest()
@@ -131,7 +134,9 @@ class InvertedIndex:
         closed = self._of_terms(self.bounds, few).join(side, "term").groupBy("query_id", "block").agg(share)
         best_first = Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")
         closed = scratch.table(closed.withColumn("place", F.row_number().over(best_first)), "closed")
-        held = self._of_terms(self.postings, few).select("block", "number", "term", score)
+        # postings of the queries' terms move once, block by block, so that each round sums scores where they are
+        parts = max(1, min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-self.n // BLOCK)))
+        held = self._of_terms(self.postings, few).select("block", "number", "term", score).repartition(parts, "block").persist(StorageLevel.DISK_ONLY)
         opening = F.col("block").cast("long") * (n_queries + 1) + F.col("query_id")
         ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
         reach, before, n, opened = max(1, -(-2 * k // BLOCK)), 0, 0, 0
@@ -148,9 +153,8 @@ class InvertedIndex:
             now = scratch.table(pending(before).where(F.col("place") <= reach).select("query_id", "block", opening.alias("opening")), f"open{n}")
             pairs = now.count()
             opened += pairs
-            # postings of open blocks move once, block by block, so that scores are summed where they are
             blocks = now.select("block").distinct()
-            here = held.join(broadcast_if_small(blocks, blocks.count(), MANY_TERMS), "block", "left_semi").repartition("block")
+            here = held.join(broadcast_if_small(blocks, blocks.count(), MANY_TERMS), "block", "left_semi")
             each = here.join(side, "term").withColumn("opening", opening).join(broadcast_if_small(now.select("opening"), pairs, MANY_PAIRS), "opening", "left_semi")
             hits = each.groupBy("query_id", "block", "number").agg(F.round(F.sum(F.col(score) * F.col("weight")), DECIMALS).alias("score"))
             # ids are only needed of the best and what ties with them
@@ -161,6 +165,7 @@ class InvertedIndex:
             if pending(reach).isEmpty():
                 break
             before, reach, n = reach, reach * 4, n + 1
+        held.unpersist()
         self.opened = (opened, closed.count())
         names = given.select(F.col("query_id").alias("name"), F.col("asked").alias("query_id"))
         return self._filled(asked, best, k).join(names, "query_id").select(F.col("name").alias("query_id"), "doc_id", "score", "rank")

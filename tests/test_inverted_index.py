@@ -123,3 +123,18 @@ def test_bounds_are_those_of_the_postings(spark, path):
     sums = index.postings.groupBy("term", "block").agg(F.count("*").alias("n"), F.max("bm25").alias("bm25"), F.max("tfidf").alias("tfidf"))
     want = {(r.term, r.block): (r.n, r.bm25, r.tfidf) for r in sums.collect()}
     assert {(r.term, r.block): (r.n, r.bm25, r.tfidf) for r in index.bounds.collect()} == want
+
+
+def test_rounds_move_postings_once(spark, tmp_path, monkeypatch):
+    """Postings of the queries' terms are dealt by block before the first round; later rounds sum them without another shuffle."""
+    from tessera.plans.scratch import Scratch
+
+    plans, table = [], Scratch.table
+    monkeypatch.setattr(Scratch, "table", lambda self, df, name, *a, **k: (plans.append((name, df._jdf.queryExecution().optimizedPlan().toString())), table(self, df, name, *a, **k))[1])
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 17}" for j in range(1, 3 + i % 9))) for i in range(400)], "doc_id long, text string")
+    InvertedIndex.build(docs, str(tmp_path / "i"), block=8)
+    queries = spark.createDataFrame([(0, "w1 w2 w3"), (1, "w5"), (2, "w16 w4 w4")], "query_id long, text string")
+    got = InvertedIndex(spark, str(tmp_path / "i")).top_k(queries, 40, score="tfidf")
+    assert got.count() == 120
+    rounds = [p for name, p in plans if name.startswith("best")]
+    assert rounds and all("InMemoryRelation" in p and "RepartitionByExpression [block" not in p.split("InMemoryRelation")[0] for p in rounds)
