@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -162,3 +163,23 @@ def test_blocks_meet_without_copies_in_a_shuffle(spark, monkeypatch):
         assert len(cells) == len({c[:2] for c in cells}) == 130 * 130
         assert all(v == pytest.approx(want[i, j], abs=1e-9) for i, j, v in cells)
     assert "Exchange" not in pairs.nearest_by_blocks(df, 3)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_few_cells_of_a_wide_block_are_measured_exactly(spark, monkeypatch):
+    """Limits are set anew whenever the tiles double, so a row holds about k cells for each doubling, not k for each tile."""
+    rng, k, n, cells = np.random.default_rng(8), 10, 12 * pairs.TILE, []
+    x, y = rng.normal(size=(n, 16)), rng.normal(size=(n, 16))
+    found, add = {}, pairs._Best.add
+    monkeypatch.setattr(pairs, "_by_block", lambda df, work, schema, **more: found.update(work=work))
+    monkeypatch.setattr(pairs._Best, "add", lambda self, at, to, d2: (cells.append(len(at)), add(self, at, to, d2))[1])
+    pairs.nearest_by_blocks(spark.createDataFrame([], "id long, v array<double>"), k)
+    side = lambda v, first, names: pa.table([pa.array(np.arange(first, first + n)), pa.array(list(v))], names=names)
+    t = found["work"](side(x, 0, ["i", "a"]), side(y, n, ["j", "c"]), False)
+    i, j, d = (t[c].to_numpy() for c in ("i", "j", "d"))
+    assert len(i) == 2 * n * k
+    far = np.sqrt(((x[:40, None] - y[None]) ** 2).sum(2))
+    for row in range(40):
+        at = np.flatnonzero(i == row)
+        assert sorted(j[at] - n) == sorted(far[row].argsort()[:k])
+        assert np.allclose(np.sort(d[at]), np.sort(far[row])[:k])
+    assert sum(cells) < 2 * n * k * 6
