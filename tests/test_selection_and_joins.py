@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera import queries
 from tessera.operators import metric_join, pairs, stats
 from tessera.plans import selection
 
@@ -165,6 +166,28 @@ def test_blocks_meet_without_copies_in_a_shuffle(spark, monkeypatch):
     assert "Exchange" not in pairs.nearest_by_blocks(df, 3)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_matrices_leave_in_order_of_value(spark, monkeypatch):
+    """Within a pair of blocks equal values follow one another, each cell beside its mirror image, so that files hold runs; no cell is lost."""
+    monkeypatch.setattr(pairs, "BATCH", 1_000)
+    x = np.random.default_rng(6).normal(size=(200, 8))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, v array<double>")
+    for blocks in (1, 50):
+        monkeypatch.setattr(pairs, "SQUARE", 2_048 if blocks == 1 else 50)
+        for matrix in (pairs.distance_matrix, pairs.similarity_matrix, pairs.cosine_matrix_blocks):
+            rows = matrix(df).collect()
+            assert {(r.i, r.j) for r in rows} == {(i, j) for i in range(200) for j in range(200)} and len(rows) == 200 * 200
+            falls = sum(a.value > b.value + 1e-12 for a, b in zip(rows, rows[1:], strict=False) if a.i != a.j and b.i != b.j)
+            assert falls <= (0 if blocks == 1 else 9)
+
+
+def test_many_rows_are_rounded_as_few(spark):
+    values = [0.0078125, -0.0078125, 0.0234375, -0.0, 1e300, float("inf"), None, 0.1234564999, 2.0**53 + 2, -0.4999999]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    few, many = ([r.v for r in rounded(df).collect()] for rounded in (queries._r, queries._r_many))
+    assert few == many
+    assert str(many[3]) == "0.0" and np.isnan(queries._r_many(df.select(F.lit(float("nan")).alias("v"))).first().v)
+
+
 def test_few_cells_of_a_wide_block_are_measured_exactly(spark, monkeypatch):
     """Limits are set anew whenever the tiles double, so a row holds about k cells for each doubling, not k for each tile."""
     rng, k, n, cells = np.random.default_rng(8), 10, 12 * pairs.TILE, []
