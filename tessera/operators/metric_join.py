@@ -134,8 +134,12 @@ class Cells:
             i, j = _ids(a["i"]), _ids(c["j"])
             if not len(i) or not len(j):
                 return pa.table([i.slice(0, 0), j.slice(0, 0), pa.array([], pa.float64())], names=["i", "j", "d"])
-            d = _distances(_matrix(a["a"]), _matrix(c["c"]))
-            keep = d <= a["bound"].to_numpy()[:, None]
+            x, y, bound = _matrix(a["a"]), _matrix(c["c"]), a["bound"].to_numpy()[:, None]
+            d = _distances(x, y)
+            if most is None:  # whether a pair at just this distance is within it, its differences say
+                at, to = np.nonzero(np.abs(d - bound) <= 4 * SLACK * bound)
+                d[at, to] = np.sqrt(((x[at] - y[to]) ** 2).sum(1))
+            keep = d <= bound
             if most is not None:
                 own = np.asarray(i.to_pylist(), object)[:, None] == np.asarray(j.to_pylist(), object)[None, :]
                 keep &= ~own & _k_best(np.where(own, np.inf, d), most)

@@ -380,6 +380,44 @@ def test_dbscan_joins_distinct_points_only(spark, monkeypatch):
     assert got == {**{i: (i % 3, True) for i in range(90)}, 100: (0, True), 101: (-1, False), 102: (-1, False), 103: (-1, False)}
 
 
+def _clustered(x, eps, min_samples):
+    """By the definition; points are numbered by their place."""
+    near = np.sqrt(sum((x[:, None, k] - x[None, :, k]) ** 2 for k in range(x.shape[1]))) <= eps
+    core, label, clusters = near.sum(1) >= min_samples, {}, 0
+    for start in np.flatnonzero(core):
+        todo = [] if start in label else [start]
+        clusters += len(todo)
+        while todo:
+            at = todo.pop()
+            if at not in label:
+                label[at] = clusters - 1
+                todo += np.flatnonzero(near[at] & core).tolist()
+    return {i: (label[i] if core[i] else min((label[j] for j in np.flatnonzero(near[i] & core)), default=-1), bool(core[i])) for i in range(len(x))}
+
+
+def test_dbscan_lets_dense_cells_stand_for_their_points(spark, monkeypatch):
+    """Points of dense cells are no pairs, and clusters are those of the definition: ties at eps, borders, noise, cells apart or hardly in reach."""
+    joined = []
+    monkeypatch.setattr(clustering, "within", lambda d, eps: (joined.append(d.count()), pairs.within(d, eps))[1])
+    monkeypatch.setattr(clustering, "PART", 7)
+    rng = np.random.default_rng(2)
+    line = np.c_[rng.integers(0, 300, 500) / 100, rng.integers(0, 3, 500) * 4.0]
+    blobs = np.r_[rng.normal(size=(250, 2)) * 0.05, rng.random((250, 2)) * 4 - 2]
+    for x, eps, min_samples, most in ((line, 0.05, 4, 500), (blobs, 0.2, 5, 300), (rng.random((400, 2)), 0.3, 12, 200)):
+        df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, v array<double>")
+        assert {r.id: (r.label, r.core) for r in clustering.dbscan(df, eps=eps, min_samples=min_samples).collect()} == _clustered(x, eps, min_samples)
+        assert joined.pop() < most
+    with pytest.raises(ValueError, match="same, positive length"):
+        clustering.dbscan(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "id long, v array<double>"))
+    assert clustering.dbscan(spark.createDataFrame([(1, None)], "id long, v array<double>")).count() == 0
+
+
+def test_pairs_at_just_the_distance_are_those_of_the_differences(spark):
+    x = np.arange(200) / 10
+    df = spark.createDataFrame([(i, [float(v)]) for i, v in enumerate(x)], "id long, v array<double>")
+    assert {tuple(r) for r in pairs.within(df, 0.1).collect()} == {(i, j) for i in range(200) for j in range(200) if abs(x[i] - x[j]) <= 0.1}
+
+
 def test_kmeans_shuffles_one_row_for_each_task_and_sum(spark):
     rows = spark.range(4_000).select("id", F.array((F.col("id") % 7).cast("double"), (F.col("id") % 5).cast("double")).alias("v")).repartition(2)
     cs = [(0, np.array([1.0, 1.0])), (0, np.array([5.0, 3.0])), (1, np.array([3.0, 2.0]))]
